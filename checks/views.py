@@ -95,6 +95,17 @@ SELECT page_id + 1000000000, url || ' http://missing.example.org/' || CAST(page_
 FROM {pages} WHERE page_id % 10 = 0
 """
 
+RICH_PAGES = """
+SELECT page_id, url,
+       replace(html, '<head>', '<head>' || CASE page_id % 4
+         WHEN 1 THEN '<meta name="description" content="A &quot;short&quot; text of page ' || CAST(page_id AS STRING) || '">'
+         WHEN 2 THEN '<meta content=' || chr(39) || 'Own title ' || CAST(page_id AS STRING) || chr(39)
+              || ' property=' || chr(39) || 'og:title' || chr(39) || '/><meta name="description" content="Single">'
+         WHEN 3 THEN '<meta charset="x"><meta name=description content="caf&#233; &#x41;lpha &amp;lt; beta">'
+         ELSE '' END) AS html
+FROM {pages}
+"""
+
 _TURN = """'| ' || CASE turn WHEN 0 THEN 'OPS intro, [slides](/hess/s' || CAST(conv_id AS STRING) || ')'
         WHEN 1 THEN 'Day shift report' WHEN 2 THEN 'HESSIU status' WHEN 3 THEN 'DAQ status'
         WHEN 4 THEN 'FC status, [slides](/hess/f)' WHEN 5 THEN 'Pointing' WHEN 6 THEN 'Tracking'
@@ -128,7 +139,7 @@ MINUTES_SPARK = (_MINUTES_HEAD + "array_join(transform(array_sort(collect_list(s
 MINUTES_DUCK = _MINUTES_HEAD + "string_agg(" + _TURN + ", '' ORDER BY turn)" + _MINUTES_TAIL
 
 VIEWS = {"papers": PAPERS, "paper_urls": PAPER_URLS, "repos": REPOS, "connected": CONNECTED,
-         "url_lists": URL_LISTS, "minutes": MINUTES_DUCK}
+         "url_lists": URL_LISTS, "rich_pages": RICH_PAGES, "minutes": MINUTES_DUCK}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
