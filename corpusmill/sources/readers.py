@@ -58,12 +58,6 @@ def page_inputs(spark: SparkSession, path: str, layout: str = "dataframe") -> Da
     raise ValueError("layout can either be 'dataframe' or 'base_file'")
 
 
-def skip_take(rows: DataFrame, key: str, skip: int = 0, take: int | None = None) -> DataFrame:
-    """Rows after the first `skip`, at most `take`, in key order."""
-    out = rows.orderBy(key).offset(skip)
-    return out if take is None else out.limit(take)
-
-
 def month_pattern(folder: str, kind: str, year: str | None = None) -> str:
     """Glob of the month files of one kind; with a two-digit year only that year's files."""
     return f"{folder}/*{kind}_{year or ''}*"
