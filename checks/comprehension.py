@@ -35,7 +35,7 @@ sent AS (SELECT text_id, title, body, regexp_extract_all(body, '{tx.SENTENCE}')
 
 
 def rule_sql(rule: mx.Rule) -> str:
-    pattern = "(?i)" + rule.pattern.replace("'", "''")
+    pattern = rule.pattern.replace("'", "''")
     group = {name: f"unnest(regexp_extract_all(body, '{pattern}', {i}))" for name, i in
              (("verbalizer", 4), ("s1", 2), ("s2", 6))}
     return (f"SELECT text_id, '{rule.task}' AS task, '{rule.label}' AS label, "

@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import strip
+from corpusmill.functions.text import bind, strip
 
 # What is markup, and the named characters that are decoded.
 HIDDEN = (r"<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
           r"|<template\b[^>]*>.*?(?:</template\s*>|\z)|<!doctype[^>]*>")
 TAG = r"</?[a-z][^>]*>"
 ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®",
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®",
     "middot": "·", "laquo": "«", "raquo": "»", "deg": "°", "para": "¶", "sect": "§",
     "euro": "€", "pound": "£", "cent": "¢", "yen": "¥", "trade": "™", "times": "×",
     "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’",
@@ -27,32 +27,32 @@ ENTITIES = {
 
 
 def decode_entities(text: Column) -> Column:
-    """Named and numeric characters; `&amp;` last, so that nothing is decoded twice."""
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return F.replace(_numeric(text), F.lit("&amp;"), F.lit("&"))
+    """Named and numeric characters, each decoded once.
 
+    The text is cut at every `&`; a piece that starts with a known name or a
+    number gets its character, any other gets its `&` back.
+    """
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
-def _numeric(text: Column) -> Column:
-    """Decode &#123; and &#x7b; by cutting the text at each `&#`."""
     def char(code: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
+    def number(name: Column) -> Column:
+        hexed = F.conv(F.substr(name, F.lit(3)), 16, 10)
+        code = F.when(name.rlike("^#[0-9]{1,7}$"), F.substr(name, F.lit(2))).when(
+            name.rlike("^#[xX][0-9a-fA-F]{1,6}$"), hexed).cast("bigint")
+        return F.when(code.between(1, 55295) | code.between(57344, 1114111), char(code))
+
     def piece(p: Column) -> Column:
-        number = F.regexp_extract(p, r"^([0-9]{1,7});?", 1)
-        hexed = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6});?", 1)
-        code = F.when(number != "", number.cast("bigint")).when(
-            hexed != "", F.conv(hexed, 16, 10).cast("bigint"))
-        valid = code.between(1, 55295) | code.between(57344, 1114111)
-        rest = F.regexp_replace(p, r"^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", "")
-        return F.when(valid, F.concat(char(code), rest)).otherwise(F.concat(F.lit("&#"), p))
+        name = F.regexp_extract(p, "^(#?[A-Za-z0-9]{1,8});", 1)
+        found = F.when(name.startswith("#"), number(name)).when(name != "", F.try_element_at(names, name))
+        return bind(found, lambda c: F.when(
+            c.isNotNull(), F.concat(c, F.substr(p, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), p)))
 
     def joined(parts: Column) -> Column:
-        tail = F.transform(F.slice(parts, 2, F.size(parts)), piece)
-        return F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
 
-    decoded = F.transform(F.array(F.split(text, "&#")), joined)[0]
-    return F.when(F.contains(text, F.lit("&#")), decoded).otherwise(text)
+    return bind(F.split(text, "&"), joined)
 
 
 def page_text(html: Column) -> Column:

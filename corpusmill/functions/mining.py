@@ -16,7 +16,10 @@ from corpusmill.functions.text import bind, h32
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern whose groups 2, 4 and 6 are first part, connective and second part."""
+    """A pattern whose groups 2, 4 and 6 are first part, connective and second part.
+
+    Only the connective has letters, so only it ignores case.
+    """
     task: str
     label: str
     pattern: str
@@ -26,7 +29,7 @@ def sentence_pair(task: str, label: str, connectives: str, barred: str = ",", co
     """Two sentences of 50 characters or more, the second opened by a connective."""
     sentence = rf"([^.!?\n{barred}]{{50,}}[.!?]+)"
     joint = r"([\s]*,[\s]+)" if comma else r"([\s]+)"
-    return Rule(task, label, rf"([.!?]+[\s]+){sentence}([\s]+)({connectives}){joint}{sentence}([\s]+)")
+    return Rule(task, label, rf"([.!?]+[\s]+){sentence}([\s]+)((?i:{connectives})){joint}{sentence}([\s]+)")
 
 
 # The connectives of each task and label, and the two free patterns.
@@ -39,9 +42,9 @@ RULES = (
     sentence_pair("paraphrase", "Similar",
                   "In other words|In other word|Namely|That is to say|i.e.|Scilicet|Similarly|Equally", ""),
     sentence_pair("paraphrase", "Different", "No|However|But|On the contrary|In contrast|Whereas", ""),
-    Rule("word2text", "definition", r"""([\s]+)([^.!?,;\s"]{10,})([\s]+)(is defined as|'s definition is)"""
+    Rule("word2text", "definition", r"""([\s]+)([^.!?,;\s"]{10,})([\s]+)((?i:is defined as|'s definition is))"""
          r"""([\s]+)([^.!?\n]{20,}[.!?]+)([\s]+)"""),
-    Rule("word2text", "topic", r"""([.!?]+[\s]+)([^.!?,;\n]{20,})([\s]+)(was about|talks about|is about|'s topic is)"""
+    Rule("word2text", "topic", r"""([.!?]+[\s]+)([^.!?,;\n]{20,})([\s]+)((?i:was about|talks about|is about|'s topic is))"""
          r"""([\s]+)([^.!?\n]{20,}[.!?]+)([\s]+)"""),
 )
 TASKS = ("nli", "common_reason", "paraphrase", "word2text")
@@ -59,7 +62,7 @@ def mined(text: Column, rule: Rule) -> Column:
 
     The text is searched once; the parts are then taken from each short match.
     """
-    pattern = "(?iU)" + rule.pattern
+    pattern = "(?U)" + rule.pattern
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.transform(matches, lambda m, i: example(
         rule.task, rule.label, i, F.regexp_extract(m, pattern, 4), F.regexp_extract(m, pattern, 2),

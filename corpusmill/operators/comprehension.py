@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import mining as mx
 from corpusmill.functions import text as tx
-from corpusmill.templates import DEMOS, FRAMES, INTROS, OPTIONS, pick
+from corpusmill.templates import DEMOS, FRAMES, INTROS, OPTIONS, fill, formats
 
 MAX_TOKENS = 1848
 NONE = "array<struct<task:string,label:string,pos:int,verbalizer:string,s1:string,s2:string>>"
@@ -136,35 +136,48 @@ def slots(task: str, e: Column, domain: str) -> dict[str, Column]:
             "definition": e["s2"], "sentence": e["s1"], "topic": e["s2"], "verbalizer": verbalizer}
 
 
-def template_index(text_id: Column, n: int) -> Column:
-    return (tx.h32("template", text_id) % n).cast("int")
+def _pick(choices: Column, seed: Column, n: int) -> Column:
+    """One of `n` array items by a hash."""
+    return F.get(choices, (seed % n).cast("int"))
 
 
 def _by_template(task: Column, label: Column, text_id: Column, demos,
-                 value: Callable[[str, list, Column], Column]) -> Column:
-    """`value(task, rows, index)` for the template rows that fit an example."""
+                 choices: Callable[[str, list], Column]) -> Column:
+    """The hashed pick from `choices(task, rows)` for the template rows that fit an example."""
     groups: dict[tuple[str, str, str], list[tuple[str, str]]] = {}
     for t, lab, variant, question, answer in demos:
         groups.setdefault((t, lab, variant), []).append((question, answer))
+    seed, nli_variant = tx.h32("template", text_id), mx.nli_variant(text_id)
     out = F.lit(None)
     for (t, lab, variant), rows in reversed(groups.items()):
         fits = task == t
         if lab != "*":
             fits = fits & (label == lab)
         if variant:
-            fits = fits & (mx.nli_variant(text_id) == variant)
-        out = F.when(fits, value(t, rows, template_index(text_id, len(rows)))).otherwise(out)
+            fits = fits & (nli_variant == variant)
+        out = F.when(fits, _pick(choices(t, rows), seed, len(rows))).otherwise(out)
     return out
 
 
 def _filled(e: Column, text_id: Column, domain: str, demos) -> Column:
     """struct<task, label, pos, question, answer> of one example."""
-    def part(i: int) -> Column:
-        return _by_template(e["task"], e["label"], text_id, demos,
-                            lambda task, rows, index: pick([r[i] for r in rows], index, slots(task, e, domain)))
+    values = {task: slots(task, e, domain) for task in mx.TASKS}
 
-    return F.struct(e["task"].alias("task"), e["label"].alias("label"), e["pos"].alias("pos"),
-                    part(0).alias("question"), part(1).alias("answer"))
+    def forms(task: str, rows: list) -> Column:
+        return F.arrays_zip(*[formats([r[i] for r in rows], list(values[task])).alias(name)
+                              for i, name in enumerate(("question", "answer"))])
+
+    def filled(form: Column) -> Column:
+        def part(name: str) -> Column:
+            out = F.lit(None).cast("string")
+            for task in mx.TASKS:
+                out = F.when(e["task"] == task, fill(form[name], values[task])).otherwise(out)
+            return out.alias(name)
+
+        return F.struct(e["task"].alias("task"), e["label"].alias("label"), e["pos"].alias("pos"),
+                        part("question"), part("answer"))
+
+    return tx.bind(_by_template(e["task"], e["label"], text_id, demos, forms), filled)
 
 
 def fill_template_qa(rows: DataFrame, domain: str, demos=DEMOS) -> DataFrame:
@@ -181,15 +194,14 @@ def fill_template(rows: DataFrame, domain: str, demos=DEMOS) -> DataFrame:
 
 def choose_template(rows: DataFrame, demos=DEMOS) -> DataFrame:
     """(text_id, task, label, pos, idx, question, answer): templates before filling."""
-    def part(value: Callable[[str, list, Column], Column]) -> Column:
-        return _by_template(F.col("task"), F.col("label"), F.col("text_id"), demos, value)
-
-    def text(i: int) -> Column:
-        return part(lambda task, rows, index: F.get(F.array(*[F.lit(r[i]) for r in rows]), index))
+    def choices(task: str, found: list) -> Column:
+        return F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(q).alias("question"), F.lit(a).alias("answer"))
+                         for i, (q, a) in enumerate(found)])
 
-    return rows.select("text_id", F.inline("examples")).select(
-        "text_id", "task", "label", "pos", part(lambda task, rows, index: index).alias("idx"),
-        text(0).alias("question"), text(1).alias("answer"))
+    chosen = _by_template(F.col("task"), F.col("label"), F.col("text_id"), demos, choices)
+    e = rows.select("text_id", F.inline("examples"))
+    return e.select("text_id", "task", "label", "pos", chosen.alias("t")).select(
+        "text_id", "task", "label", "pos", "t.idx", "t.question", "t.answer")
 
 
 def answer_map(rows: DataFrame) -> DataFrame:
@@ -228,8 +240,8 @@ def _demos(rows: DataFrame, domain: str, demos, intros) -> DataFrame:
         F.array_join(F.transform(of(t), lambda f: F.concat(f["question"], F.lit(" "), f["answer"])), "\n\n").alias("d"))
         for t in mx.TASKS])
     shuffled = F.transform(F.sort_array(F.filter(blocks, lambda b: b["d"] != "")), lambda b: b["d"])
-    intro = F.get(F.array(*[F.lit(i.replace("{domain}", domain)) for i in intros]),
-                  (tx.h32("intro", F.col("text_id")) % len(intros)).cast("int"))
+    intro = _pick(F.array(*[F.lit(i.replace("{domain}", domain)) for i in intros]),
+                  tx.h32("intro", F.col("text_id")), len(intros))
     in_order = F.concat(*[of(t) for t in mx.TASKS])
 
     def joined(name: str) -> Column:
@@ -270,34 +282,41 @@ def cut_point(texts: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
         "text_id", "cut", tx.strip(first).alias("first_half"), tx.strip(second).alias("second_half"))
 
 
-def _frame_slots(domain: str) -> dict[str, Column]:
-    body = tx.strip(F.array_join("sents", ""))
+def _with_contexts(rows: DataFrame) -> DataFrame:
+    """Add the text pieces the frames use; the cut is at the first sentence where there is no other."""
     first, second = mx.halves(F.col("sents"), F.coalesce("cut", F.lit(1)))
     head = F.concat("title", F.lit("\n"))
+    body = tx.strip(F.array_join("sents", ""))
     first_half = F.when(F.col("mode") == "text_completion", F.concat(head, tx.strip(first))).otherwise(tx.strip(first))
-    return {"context_wo_title": body, "title": F.col("title"), "domain": F.lit(domain),
-            "context_1st_half": first_half, "context_2nd_half": tx.strip(second), "context": F.concat(head, body),
-            "qa_demos": F.col("qa_demos"), "q_demos": F.col("q_demos"), "a_demos": F.col("a_demos")}
+    return rows.select("text_id", "mode", "title", "qa_demos", "q_demos", "a_demos", body.alias("context_wo_title"),
+                       first_half.alias("context_1st_half"), tx.strip(second).alias("context_2nd_half"),
+                       F.concat(head, body).alias("context"))
+
+
+FRAME_SLOTS = ("context_wo_title", "title", "context_1st_half", "context_2nd_half", "context", "qa_demos", "q_demos",
+               "a_demos")
 
 
-def _frames(domain: str, form: str, part: int, frames) -> Column:
+def _frame(domain: str, form: str, part: int, frames) -> Column:
     """The chosen frame of a row's mode with its slots filled; `part` 0 is the question, 1 the answer."""
-    out = F.lit(None).cast("string")
+    values = {"domain": F.lit(domain), **{name: F.col(name) for name in FRAME_SLOTS}}
+    seed = tx.h32("template", F.col("text_id"))
+    chosen = F.lit(None).cast("string")
     for mode in dict.fromkeys(row[0] for row in frames):
         rows = [row[2 + part] for row in frames if row[0] == mode and row[1] == form]
-        used = {name: value for name, value in _frame_slots(domain).items() if any("{" + name + "}" in r for r in rows)}
-        out = F.when(F.col("mode") == mode, pick(rows, template_index(F.col("text_id"), len(rows)), used)).otherwise(out)
-    return tx.squeeze_spaces(out)
+        picked = _pick(formats(rows, list(values)), seed, len(rows))
+        chosen = F.when(F.col("mode") == mode, picked).otherwise(chosen)
+    return tx.squeeze_spaces(fill(chosen, values))
 
 
 def reading_comprehension(texts: DataFrame, domain: str, vocabulary: DataFrame | None = None,
                           input_name: str = "input", max_tokens: int = MAX_TOKENS, demos=DEMOS, intros=INTROS,
                           frames=FRAMES) -> DataFrame:
     """(text_id, mode, text, question, answer, file_name): the finished rows."""
-    rows = _modes(_demos(with_examples(texts, vocabulary, max_tokens), domain, demos, intros))
+    rows = _with_contexts(_modes(_demos(with_examples(texts, vocabulary, max_tokens), domain, demos, intros)))
     return rows.select(
-        "text_id", "mode", _frames(domain, "single", 0, frames).alias("text"),
-        _frames(domain, "qa", 0, frames).alias("question"), _frames(domain, "qa", 1, frames).alias("answer"),
+        "text_id", "mode", _frame(domain, "single", 0, frames).alias("text"),
+        _frame(domain, "qa", 0, frames).alias("question"), _frame(domain, "qa", 1, frames).alias("answer"),
         F.concat(F.lit(input_name + ", line_"), F.col("text_id").cast("string")).alias("file_name"))
 
 

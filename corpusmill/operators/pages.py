@@ -63,7 +63,7 @@ def _token_counts(words: Column, terms: Sequence[str], wanted: Column) -> Column
 
 def page_counts(pages: DataFrame, keywords: Sequence[str] = KEYWORDS, terms: Sequence[str] = LANGUAGES) -> DataFrame:
     """(url, keywords, top_keyword, extensions): the counts of each page, as arrays."""
-    text = pages.select("url", F.lower(hx.page_text(F.col("html"))).alias("text")).where("text is not null")
+    text = pages.where("html is not null").select("url", F.lower(hx.page_text(F.col("html"))).alias("text"))
     words = text.withColumn("words", tx.words(F.col("text")))
     counted = words.select("url", "words", _count_array(F.col("text"), F.col("words"), keywords).alias("keywords"))
     best = F.array_max(F.transform("keywords", lambda k: F.struct(

@@ -31,16 +31,20 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _counted(docs, id_col, tx.terms(F.col(text_col)), keep_empty)
 
 
-def _vocabulary(docs: DataFrame, items: Column) -> DataFrame:
-    total = docs.agg(F.count(F.lit(1))).scalar()
-    counts = docs.select(F.explode(F.array_distinct(items)).alias("term")).groupBy("term").agg(
+def _frequencies(docs: DataFrame, items: Column) -> DataFrame:
+    """(term, df): in how many rows each item occurs, combined before the shuffle."""
+    return docs.select(F.explode(F.array_distinct(items)).alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("df"))
-    return counts.withColumn("idf", F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0)
+
+
+def _idf(total: Column, df: Column) -> Column:
+    return F.log((1.0 + total) / (1.0 + df)) + 1.0
 
 
 def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, df, idf) over the corpus; counts are combined before the shuffle."""
-    return _vocabulary(docs, tx.terms(F.col(text_col)))
+    """(term, df, idf) over the corpus."""
+    total = docs.agg(F.count(F.lit(1))).scalar()
+    return _frequencies(docs, tx.terms(F.col(text_col))).withColumn("idf", _idf(total, F.col("df")))
 
 
 def tfidf_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -76,11 +80,12 @@ def cosine_scores(docs: DataFrame, queries: Sequence[str], id_col: str = "doc_id
     whatever the number of queries.
     """
     vocab = spool(document_frequency(docs, text_col), "vocabulary") if vocabulary is None else vocabulary
-    weights = query_weights(queries, vocab)
-    known = vocab.select("term", "idf").join(weights, "term", "left")
+    weights = F.broadcast(query_weights(queries, vocab))  # no more rows than words in the queries
     raw = F.col("n") * F.col("idf")
     dots = [F.coalesce(F.sum(raw * F.get("q", F.lit(i))), F.lit(0.0)) for i in range(len(queries))]
-    per_doc = term_counts(docs, id_col, text_col, keep_empty=True).join(known, "term", "left").groupBy(id_col).agg(
+    postings = term_counts(docs, id_col, text_col, keep_empty=True)
+    weighted = postings.join(vocab.select("term", "idf"), "term", "left").join(weights, "term", "left")
+    per_doc = weighted.groupBy(id_col).agg(
         F.sqrt(F.sum(raw * raw)).alias("length"), F.array(*dots).alias("dots"))
     scored = per_doc.select(id_col, "length", F.posexplode("dots").alias("query_id", "dot"))
     score = F.when(F.col("length") > 0, F.col("dot") / F.col("length")).otherwise(0.0)
@@ -214,11 +219,18 @@ def chunk_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keyphrases_topk(docs: DataFrame, top: int = 6, max_n: int = 3, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(id, rank, phrase, score): the best 1..max_n word phrases of each text by tf-idf."""
+    """(id, rank, phrase, score): the best 1..max_n word phrases of each text by tf-idf.
+
+    Most phrases occur in one text only, so the table of frequencies holds the
+    others and a phrase not found there has frequency one.
+    """
     grams = tx.ngrams(tx.terms(F.col(text_col)), max_n)
-    vocab = spool(_vocabulary(docs, grams), "phrases")
-    scored = _counted(docs, id_col, grams).join(vocab, "term").select(
-        id_col, F.col("term").alias("phrase"), F.round(F.col("n") * F.col("idf"), SCORE_DIGITS).alias("score"))
+    total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    repeated = spool(_frequencies(docs, grams).where(F.col("df") > 1), "phrases")
+    found = _counted(docs, id_col, grams).join(repeated, "term", "left")
+    idf = _idf(total, F.coalesce("df", F.lit(1)))
+    scored = found.select(id_col, F.col("term").alias("phrase"),
+                          F.round(F.col("n") * idf, SCORE_DIGITS).alias("score"))
     order = Window.partitionBy(id_col).orderBy(F.col("score").desc(), "phrase")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 

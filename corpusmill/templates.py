@@ -80,8 +80,13 @@ FRAMES = (
 )
 
 
-def pick(templates: Sequence[str], index: Column, slots: dict[str, Column]) -> Column:
-    """The template at `index` with its slots filled; filled-in text is not read again for slots."""
+def formats(templates: Sequence[str], slots: Sequence[str]) -> Column:
+    """The templates as an array of format strings whose places are the slots in order."""
     place = {name: i + 1 for i, name in enumerate(slots)}
-    formats = [re.sub(r"\{(\w+)\}", lambda m: f"%{place[m.group(1)]}$s", t.replace("%", "%%")) for t in templates]
-    return F.call_function("format_string", F.get(F.array(*[F.lit(f) for f in formats]), index), *slots.values())
+    found = [re.sub(r"\{(\w+)\}", lambda m: f"%{place[m.group(1)]}$s", t.replace("%", "%%")) for t in templates]
+    return F.array(*[F.lit(f) for f in found])
+
+
+def fill(form: Column, slots: dict[str, Column]) -> Column:
+    """A format string with its slots filled; filled-in text is not read again for slots."""
+    return F.call_function("format_string", form, *slots.values())
