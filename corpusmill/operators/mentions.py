@@ -132,7 +132,7 @@ def intersect_ids(urls: DataFrame, papers: DataFrame) -> DataFrame:
     """Distinct numeric identifiers found on both sides."""
     left = filter_digit_id(urls).select(F.col("identifier").try_cast("bigint").alias("identifier"))
     right = filter_new_style_id(papers).select(F.col("identifier_num").alias("identifier"))
-    return left.intersect(right)
+    return left.distinct().intersect(right.distinct())
 
 
 def first_urls(urls: DataFrame, order: str = "seq") -> DataFrame:
@@ -145,20 +145,22 @@ def cross_check_mentions(papers: DataFrame, urls: DataFrame, order: str = "seq",
 
     Keywords are the header list where it stands beside code sentences, else
     the best phrases of the abstract. The joined papers are written once, as
-    the phrases need them several times.
+    the phrases need them several times; both small sides are written too, so
+    that their size is known and a hot key on the other side can be split.
     """
     numbered = filter_new_style_id(papers).where(F.col("identifier_num").isNotNull() & F.col("description").isNotNull())
     body = tx.strip_comment(F.col("description"))
     joined = numbered.select(F.col("identifier_num").alias("id_num"), "title", "category", body.alias("body")).join(
-        first_urls(urls, order), "id_num")
+        spool(first_urls(urls, order), "first"), "id_num")
     marked = spool(joined.select(
         F.col("id_num").alias("identifier"), "title", "category", "body", "urls",
         tx.keywords_header(F.col("body")).alias("header"), tx.code_sentences(F.col("body")).alias("code"),
         F.xxhash64("id_num", "title", "body").alias("key")), "cross")
     listed = F.col("header").isNotNull() & (F.size("code") > 0)
     wanting = marked.where(~listed).dropDuplicates(["key"])
-    phrases = keyphrases_topk(wanting, top, id_col="key", text_col="body").groupBy("key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda x: x["phrase"]).alias("phrases"))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "phrase")))  # `top` entries at most
+    phrases = spool(keyphrases_topk(wanting, top, id_col="key", text_col="body").groupBy("key").agg(
+        F.transform(ordered, lambda x: x["phrase"]).alias("phrases")), "phrases")
     none = F.expr("array()").cast("array<string>")
     keywords = F.when(listed, F.array("header")).otherwise(F.coalesce("phrases", none))
     return marked.join(phrases, "key", "left").select(
@@ -177,7 +179,7 @@ def lookup_url_lastwins(ids: DataFrame, software: DataFrame, titles: DataFrame,
     """(identifier, answer): the last URL of each id, or a message naming the title."""
     last = software.groupBy("identifier").agg(F.max_by("url", order).alias("url"))
     missing = F.concat(F.lit("No url was included with the paper title '"), "title", F.lit("'"))
-    return ids.join(titles, "identifier").join(last, "identifier", "left").select(
+    return ids.distinct().join(titles, "identifier").join(last, "identifier", "left").select(
         "identifier", F.coalesce("url", missing).alias("answer"))
 
 

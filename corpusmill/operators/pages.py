@@ -100,13 +100,17 @@ def page_scan(url_lists: DataFrame, pages: DataFrame, keywords: Sequence[str] =
     """(url, keywords, extensions, keyword_total, extension_total) of each listed page once.
 
     URLs with "git" in them are left to `search_summary`, which counts them.
+    Of several pages under one URL the one with the most hits stands for it.
     """
     wanted = listed_urls(url_lists).where(~F.col("url").contains("git")).distinct()
     total = lambda name: F.aggregate(name, F.lit(0).cast("bigint"), lambda acc, x: acc + x["cnt"])
     counted = page_counts(pages.where(~F.col("url").contains("git")), keywords, terms).select(
         "url", "keywords", "extensions", total("keywords").alias("keyword_total"),
         total("extensions").alias("extension_total"))
-    return counted.join(wanted, "url", "left_semi")
+    row = F.struct("keyword_total", "extension_total", "keywords", "extensions")
+    single = counted.groupBy("url").agg(F.max(row).alias("row"))
+    return single.join(wanted, "url", "left_semi").select(
+        "url", "row.keywords", "row.extensions", "row.keyword_total", "row.extension_total")
 
 
 def scan_counts(scan: DataFrame) -> DataFrame:

@@ -31,19 +31,20 @@ def table_preview_widths(table: DataFrame, max_chars: int = 16) -> DataFrame:
 
 
 def row_ids(rows: DataFrame, *key: str, name: str = "id") -> DataFrame:
-    """Consecutive ids from 1 in key order.
+    """Consecutive ids from 1 in key order; the key columns together should be unique.
 
-    Rows are sorted into ranges and written once; each range is numbered by
-    itself and shifted by the size of the ranges before it. Only the range
+    Rows are sorted into ranges, numbered inside their range as they are
+    written, and shifted by the size of the ranges before. Only the range
     sizes, one row per partition, pass through a single task.
     """
-    ranged = spool(rows.repartitionByRange(*key).withColumn("_range", F.spark_partition_id()), "ranges")
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    counter = F.monotonically_increasing_id()  # partition number above bit 33, row number below
+    ranged = spool(rows.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_at", counter), "ranges")
+    numbered = ranged.withColumns({"_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    sizes = numbered.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_shift"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*key))
-    numbered = ranged.withColumn("_place", place).join(shifts, "_range")
-    return numbered.select((F.col("_place") + F.col("_shift")).cast("bigint").alias(name), *rows.columns)
+    shifts = F.broadcast(sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_shift")))  # a row per partition
+    return numbered.join(shifts, "_range").select(
+        (F.col("_place") + F.col("_shift") + 1).cast("bigint").alias(name), *rows.columns)
 
 
 def skip_take(rows: DataFrame, key: str, skip: int = 0, take: int | None = None) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 ABSTRACT_COLUMNS = ("identifier", "title", "description", "category", "link", "creator", "dates")
 JSONL_SCHEMA = "prompt STRING, response STRING, source STRING"
 
-_NEVER = "\u0001"  # a null marker that no cell holds, so that empty cells stay empty texts
 
 
 def parquet_table(spark: SparkSession, path: str) -> DataFrame:
@@ -22,23 +21,31 @@ def parquet_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _delimited(spark: SparkSession, path: str, columns, sep: str, header: bool) -> DataFrame:
-    """Lines with too many fields dropped, short ones padded with null, empty cells kept."""
-    schema = ", ".join(f"`{c}` STRING" for c in [*columns, "_extra"])
-    rows = (spark.read.schema(schema).option("nullValue", _NEVER).option("emptyValue", "")
+    """Lines with too many fields dropped, short ones padded with null; empty cells are null.
+
+    The parser hands over every line whose field count is off; of these the
+    ones with too many separators outside quotes go. It must see all columns
+    for that, so column pruning inside the parser is off.
+    """
+    schema = ", ".join(f"`{c}` STRING" for c in [*columns, "_odd"])
+    rows = (spark.read.schema(schema).option("columnNameOfCorruptRecord", "_odd").option("columnPruning", False)
             .csv(path, sep=sep, header=header, enforceSchema=True))
-    return rows.where(F.col("_extra").isNull()).drop("_extra")
+    separators = F.regexp_count(F.regexp_replace("_odd", '"[^"]*"', ""), F.lit(sep))
+    too_long = F.coalesce(separators >= len(columns), F.lit(False))
+    # Spark reads the odd lines only beside a data column, hence the condition that is always met.
+    return rows.where(~too_long & (F.coalesce(F.length(columns[0]), F.lit(0)) >= 0))
 
 
 def abstracts_tsv(spark: SparkSession, path: str, columns=ABSTRACT_COLUMNS) -> DataFrame:
     """Paper metadata with a header line; empty cells are null."""
     rows = _delimited(spark, path, columns, "\t", True)
-    return rows.select([F.nullif(F.col(c), F.lit("")).alias(c) for c in columns])
+    return rows.select(*columns)
 
 
 def url_list(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
     """(identifier, url); an empty URL cell stays an empty text."""
     rows = _delimited(spark, path, ("identifier", "url"), "\t", header)
-    return rows.withColumn("url", F.coalesce("url", F.lit("")))
+    return rows.select("identifier", F.coalesce("url", F.lit("")).alias("url"))
 
 
 def csv_dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -54,7 +61,7 @@ def page_inputs(spark: SparkSession, path: str, layout: str = "dataframe") -> Da
         return csv_dataset(spark, path, schema).select("identifier", "urls")
     if layout == "base_file":
         rows = _delimited(spark, path, ("index", "identifier", "url"), "\t", True)
-        return rows.select("identifier", F.nullif(F.col("url"), F.lit("")).alias("urls"))
+        return rows.select("identifier", F.col("url").alias("urls"))
     raise ValueError("layout can either be 'dataframe' or 'base_file'")
 
 
@@ -68,12 +75,9 @@ def months(spark: SparkSession, folder: str, kind: str = "clean", year: str | No
 
     The year is part of the glob, so files of other years are never opened.
     """
-    schema = "identifier STRING, url STRING, _extra STRING"
-    rows = (spark.read.schema(schema).option("nullValue", _NEVER).option("emptyValue", "")
-            .csv(month_pattern(folder, kind, year), sep="\t"))
-    named = rows.select("identifier", F.coalesce("url", F.lit("")).alias("url"), "_extra",
-                        F.regexp_extract("_metadata.file_path", kind + r"_(\d{4})", 1).alias("yymm"))
-    return named.where(F.col("_extra").isNull()).drop("_extra")
+    rows = _delimited(spark, month_pattern(folder, kind, year), ("identifier", "url"), "\t", False)
+    return rows.select("identifier", F.coalesce("url", F.lit("")).alias("url"),
+                       F.regexp_extract("_metadata.file_path", kind + r"_(\d{4})", 1).alias("yymm"))
 
 
 def month_files(spark: SparkSession, folder: str, kind: str) -> DataFrame:
