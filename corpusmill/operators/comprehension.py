@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import mining as mx
 from corpusmill.functions import text as tx
+from corpusmill.session import spool
 from corpusmill.templates import DEMOS, FRAMES, INTROS, OPTIONS, fill, formats
 
 MAX_TOKENS = 1848
@@ -101,7 +102,8 @@ def with_examples(texts: DataFrame, vocabulary: DataFrame | None = None, max_tok
     rows = bodies.select("text_id", "title", tx.sentences(F.col("body")).alias("sents"), found.alias("examples"))
     if vocabulary is None:
         return rows
-    picked = _picked_words(qualified_sentences(texts, vocabulary, max_tokens=max_tokens))
+    # Written first: by its size the planner decides whether the bodies have to be shuffled.
+    picked = spool(_picked_words(qualified_sentences(texts, vocabulary, max_tokens=max_tokens)), "picked")
     joined = rows.join(picked, "text_id", "left")
     words = _word_examples(F.col("sents"), F.col("picked"))
     return joined.select("text_id", "title", "sents", F.concat("examples", words).alias("examples"))

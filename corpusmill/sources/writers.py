@@ -29,6 +29,14 @@ _KEEP = {"quote": '"', "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpa
          "ignoreTrailingWhiteSpace": False}
 
 
+def _gathered(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows of a folder brought together before the write, so that not every task adds a file to every folder.
+
+    The rebalance hint leaves it to AQE to split a folder that holds much of the rows.
+    """
+    return rows.hint("rebalance", *columns)
+
+
 def option_name(base: str, category_only: bool, subject_only: bool, skip: int, rows: int) -> str:
     """Data set name that carries the options it was made with."""
     return f"{base}_astroph{int(category_only)}_hess{int(subject_only)}_skiprows{skip}_maxrows{rows}"
@@ -49,7 +57,7 @@ def write_csv(rows: DataFrame, path: str) -> str:
 
 def write_tsv_merged(rows: DataFrame, path: str) -> str:
     """Tab-separated files, one folder per month."""
-    rows.write.mode("overwrite").partitionBy("yymm").csv(path, sep="\t", header=True, **_KEEP)
+    _gathered(rows, "yymm").write.mode("overwrite").partitionBy("yymm").csv(path, sep="\t", header=True, **_KEEP)
     return path
 
 
@@ -73,5 +81,5 @@ def append_columns(rows: DataFrame, added: DataFrame, on: str, path: str) -> str
 
 def write_splits(rows: DataFrame, path: str, columns: Sequence[str] = ("split",)) -> str:
     """One folder per split (or shard)."""
-    rows.write.mode("overwrite").partitionBy(*columns).parquet(path)
+    _gathered(rows, *columns).write.mode("overwrite").partitionBy(*columns).parquet(path)
     return path

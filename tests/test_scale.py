@@ -5,10 +5,8 @@ from __future__ import annotations
 import io
 from contextlib import redirect_stdout
 
-import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as spark_entry
 from conftest import rows
 from corpusmill.operators import comprehension as rc
 from corpusmill.operators import mentions as mt
@@ -17,10 +15,6 @@ from corpusmill.operators import search as se
 from corpusmill.operators import tables as tb
 from corpusmill.session import spool
 
-QUERIES = spark_entry.queries()
-SF_DIR = "/root/testdata/sf0.001"
-
-
 def plan(df) -> str:
     out = io.StringIO()
     with redirect_stdout(out):
@@ -28,13 +22,6 @@ def plan(df) -> str:
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
-def test_no_cross_joins_and_no_python(spark, name):
-    text = plan(QUERIES[name](spark, SF_DIR))
-    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
-        assert operator not in text
-
-
 def docs(spark, tmp_path):
     path = str(tmp_path / "docs")
     spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("some words of text. and more").alias("text"),

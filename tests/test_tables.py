@@ -95,3 +95,12 @@ def test_tables_are_replaced_and_typed(spark, tmp_path):
 
 def test_names_carry_options():
     assert writers.option_name("dataset", True, False, 5, 10) == "dataset_astroph1_hess0_skiprows5_maxrows10"
+
+
+def test_folders_are_gathered_before_the_write(spark, tmp_path):
+    import glob
+
+    many = sp.shard(numbers(spark).repartition(50), "k", 4)
+    path = writers.write_splits(many, str(tmp_path / "s"), ("shard",))
+    assert spark.read.parquet(path).count() == 1000
+    assert len(glob.glob(path + "/shard=*/*.parquet")) < 20
