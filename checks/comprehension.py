@@ -172,13 +172,13 @@ def truncate_tokens(spark, sf_dir):
     return rc.truncate_tokens(texts(spark, sf_dir), 120)
 
 
-@check("sentences", sql("SELECT text_id, unnest(sents) AS sentence, generate_subscripts(sents, 1) - 1 AS pos FROM sent"))
+@check("sentences", sql("SELECT text_id, unnest(sents) AS sentence, generate_subscripts(sents, 1) - 1 AS pos FROM sent"), ints="pos")
 def sentences(spark, sf_dir):
     return rc.sentences(texts(spark, sf_dir))
 
 
 def _mine(name: str, task: str) -> None:
-    @check(name, sql(f"SELECT * FROM mined WHERE task = '{task}'", f"{body()}, {MINED}"))
+    @check(name, sql(f"SELECT * FROM mined WHERE task = '{task}'", f"{body()}, {MINED}"), ints="pos")
     def query(spark, sf_dir):
         return rc.mine(texts(spark, sf_dir), (task,))
 
@@ -188,7 +188,7 @@ for _name, _task in (("mine_nli", "nli"), ("mine_common_reason", "common_reason"
     _mine(_name, _task)
 
 
-@check("cap_per_subcategory", sql("SELECT * FROM pat", f"{body()}, {MINED}, {CAPPED}"))
+@check("cap_per_subcategory", sql("SELECT * FROM pat", f"{body()}, {MINED}, {CAPPED}"), ints="pos")
 def cap_per_subcategory(spark, sf_dir):
     return rc.cap_per_subcategory(rc.mine(texts(spark, sf_dir)))
 
@@ -198,12 +198,12 @@ def mined_counts(spark, sf_dir):
     return rc.mined_counts(rc.mine(texts(spark, sf_dir)))
 
 
-@check("mine_word2text", sql("SELECT * FROM w2t", f"{body()}, {WORDS}"))
+@check("mine_word2text", sql("SELECT * FROM w2t", f"{body()}, {WORDS}"), ints="pos")
 def mine_word2text(spark, sf_dir):
     return rc.mine_word2text(texts(spark, sf_dir), vocabulary(spark, sf_dir))
 
 
-@check("cap_sentences", sql("SELECT text_id, pos, array_to_string(words, ',') AS words, rank FROM capq", f"{body()}, {WORDS}"))
+@check("cap_sentences", sql("SELECT text_id, pos, array_to_string(words, ',') AS words, rank FROM capq", f"{body()}, {WORDS}"), ints="pos rank")
 def cap_sentences(spark, sf_dir):
     qualified = rc.qualified_sentences(texts(spark, sf_dir), vocabulary(spark, sf_dir))
     return rc.cap_sentences(qualified).withColumn("words", F.array_join("words", ","))
@@ -225,7 +225,7 @@ def task_mix(spark, sf_dir):
 
 
 @check("cut_point", sql(f"SELECT text_id, cut, {FIRST} AS first_half, {LAST} AS second_half FROM modes WHERE cut IS NOT NULL",
-                        f"{body()}, {MODE}"))
+                        f"{body()}, {MODE}"), ints="cut")
 def cut_point(spark, sf_dir):
     return rc.cut_point(texts(spark, sf_dir))
 
@@ -235,34 +235,34 @@ def nli_variant(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", mx.nli_variant(F.col("doc_id")).alias("variant"))
 
 
-@check("choose_template", sql("SELECT text_id, task, label, pos, idx, q AS question, a AS answer FROM chosen", f"{EXAMPLES}, {CHOSEN}"))
+@check("choose_template", sql("SELECT text_id, task, label, pos, idx, q AS question, a AS answer FROM chosen", f"{EXAMPLES}, {CHOSEN}"), ints="pos")
 def choose_template(spark, sf_dir):
     return rc.choose_template(examples(spark, sf_dir))
 
 
 @check("answer_map", sql(f"SELECT text_id, label, pos, {nli_answer(0)} AS answer, {nli_answer(1)} AS connect_answer, "
-                         f"{nli_answer(2)} AS relation_answer FROM ex WHERE task = 'nli'", EXAMPLES))
+                         f"{nli_answer(2)} AS relation_answer FROM ex WHERE task = 'nli'", EXAMPLES), ints="pos")
 def answer_map(spark, sf_dir):
     return rc.answer_map(examples(spark, sf_dir))
 
 
 @check("cause_effect_slots", sql(f"SELECT text_id, label, pos, {SLOTS['common_reason']['cause']} AS cause, "
-                                 f"{SLOTS['common_reason']['effect']} AS effect FROM ex WHERE task = 'common_reason'", EXAMPLES))
+                                 f"{SLOTS['common_reason']['effect']} AS effect FROM ex WHERE task = 'common_reason'", EXAMPLES), ints="pos")
 def cause_effect_slots(spark, sf_dir):
     return rc.cause_effect_slots(examples(spark, sf_dir))
 
 
-@check("word2text_slots", sql("SELECT text_id, pos, s1 AS tripleset, s2 AS target FROM w2t", f"{body()}, {WORDS}"))
+@check("word2text_slots", sql("SELECT text_id, pos, s1 AS tripleset, s2 AS target FROM w2t", f"{body()}, {WORDS}"), ints="pos")
 def word2text_slots(spark, sf_dir):
     return rc.word2text_slots(examples(spark, sf_dir))
 
 
-@check("fill_template", sql("SELECT text_id, task, label, pos, question || ' ' || answer AS demo FROM filled", f"{EXAMPLES}, {FILLED}"))
+@check("fill_template", sql("SELECT text_id, task, label, pos, question || ' ' || answer AS demo FROM filled", f"{EXAMPLES}, {FILLED}"), ints="pos")
 def fill_template(spark, sf_dir):
     return rc.fill_template(examples(spark, sf_dir), DOMAIN)
 
 
-@check("fill_template_qa", sql("SELECT * FROM filled", f"{EXAMPLES}, {FILLED}"))
+@check("fill_template_qa", sql("SELECT * FROM filled", f"{EXAMPLES}, {FILLED}"), ints="pos")
 def fill_template_qa(spark, sf_dir):
     return rc.fill_template_qa(examples(spark, sf_dir), DOMAIN)
 

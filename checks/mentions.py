@@ -202,7 +202,7 @@ def linked(spark, sf_dir):
 
 @check("join_by_title", duck("papers paper_urls", f"""WITH {LINKED}, hits AS (
   SELECT title, len(title) AS score FROM papers ORDER BY score DESC, title LIMIT 50)
-SELECT title, urls, score FROM hits JOIN linked USING (title)"""))
+SELECT title, urls, score FROM hits JOIN linked USING (title)"""), ints="score")
 def join_by_title(spark, sf_dir):
     ranked = papers(spark, sf_dir).select("title", F.length("title").alias("score"))
     hits = ranked.orderBy(F.col("score").desc(), "title").limit(50)
@@ -220,7 +220,7 @@ def lookup_url_lastwins(spark, sf_dir):
 
 
 @check("url_explode", duck("paper_urls", """SELECT seq, unnest(string_split(url, ' ')) AS url,
-  generate_subscripts(string_split(url, ' '), 1) - 1 AS pos FROM paper_urls"""))
+  generate_subscripts(string_split(url, ' '), 1) - 1 AS pos FROM paper_urls"""), ints="pos")
 def url_explode(spark, sf_dir):
     return mt.url_explode(urls(spark, sf_dir), "url", ["seq"])
 

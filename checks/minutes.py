@@ -64,17 +64,17 @@ def minutes_clean(spark, sf_dir):
 
 
 @check("minutes_urls", sql(r"""SELECT path, unnest(regexp_extract_all(cleaned, '/hess\S+')) AS url,
-  generate_subscripts(regexp_extract_all(cleaned, '/hess\S+'), 1) - 1 AS pos FROM clean""", CLEAN))
+  generate_subscripts(regexp_extract_all(cleaned, '/hess\S+'), 1) - 1 AS pos FROM clean""", CLEAN), ints="pos")
 def minutes_urls(spark, sf_dir):
     return mn.minutes_urls(minutes(spark, sf_dir))
 
 
-@check("minutes_sections", sql("SELECT path, key, value, row_number() OVER (PARTITION BY path ORDER BY pos) - 1 AS pos FROM ent"))
+@check("minutes_sections", sql("SELECT path, key, value, row_number() OVER (PARTITION BY path ORDER BY pos) - 1 AS pos FROM ent"), ints="pos")
 def minutes_sections(spark, sf_dir):
     return mn.minutes_sections(minutes(spark, sf_dir))
 
 
-@check("minutes_table", sql("SELECT path, key, value, row_number() OVER (PARTITION BY path ORDER BY pos) - 1 AS pos FROM items"))
+@check("minutes_table", sql("SELECT path, key, value, row_number() OVER (PARTITION BY path ORDER BY pos) - 1 AS pos FROM items"), ints="pos")
 def minutes_table(spark, sf_dir):
     return mn.minutes_table(minutes(spark, sf_dir))
 

@@ -83,7 +83,7 @@ def topk_cosine(spark, sf_dir):
     return search.topk_cosine(scores, 10)
 
 
-@check("topk_per_query", f"WITH {tfidf_ctes('documents', QUESTIONS)} {ranked(20)}")
+@check("topk_per_query", f"WITH {tfidf_ctes('documents', QUESTIONS)} {ranked(20)}", ints="rank")
 def topk_per_query(spark, sf_dir):
     return search.topk_per_query(search.cosine_scores(docs(spark, sf_dir), QUESTIONS), 20)
 
@@ -195,14 +195,14 @@ FROM (SELECT query_id, vec_id, round(list_sum(list_transform(range(1, len(q) + 1
       FROM {source} CROSS JOIN ({asked_points})) QUALIFY rank <= {k}"""
 
 
-@check("knn_vectors", knn_sql("embeddings", [POINT, POINT_2], 5))
+@check("knn_vectors", knn_sql("embeddings", [POINT, POINT_2], 5), ints="rank")
 def knn_vectors(spark, sf_dir):
     return search.knn_vectors(table(spark, sf_dir, "embeddings"), [POINT, POINT_2])
 
 
 @check("prefilter_then_rank", f"WITH {tfidf_ctes('documents', [QUESTION])}, "
        "pre AS (SELECT doc_id FROM scored ORDER BY score DESC, doc_id LIMIT 20) "
-       + knn_sql("(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM pre))", [POINT], 5))
+       + knn_sql("(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM pre))", [POINT], 5), ints="rank")
 def prefilter_then_rank(spark, sf_dir):
     return search.prefilter_then_rank(docs(spark, sf_dir), QUESTION, table(spark, sf_dir, "embeddings"), POINT)
 
@@ -237,7 +237,7 @@ CHUNKS = """SELECT doc_id, pos - 1 AS pos, chunk FROM (
 CHUNKS = CHUNKS.replace(", CAST([] AS VARCHAR[])) AS folded", ") AS folded").replace("SIZE", "250")
 
 
-@check("chunk_text", CHUNKS)
+@check("chunk_text", CHUNKS, ints="pos")
 def chunk_text(spark, sf_dir):
     return search.chunk_text(docs(spark, sf_dir))
 
@@ -250,7 +250,7 @@ tf AS (SELECT doc_id, phrase, count(*) AS n FROM grams GROUP BY ALL),
 vocab AS (SELECT phrase, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY phrase)
 SELECT doc_id, phrase, round(n * idf, 6) AS score,
        row_number() OVER (PARTITION BY doc_id ORDER BY round(n * idf, 6) DESC, phrase) AS rank
-FROM tf JOIN vocab USING (phrase) QUALIFY rank <= 6""")
+FROM tf JOIN vocab USING (phrase) QUALIFY rank <= 6""", ints="rank")
 def keyphrases_topk(spark, sf_dir):
     return search.keyphrases_topk(docs(spark, sf_dir))
 

@@ -294,7 +294,7 @@ def column_subset_mode(spark, sf_dir):
 
 @check("table_preview_widths", duck("repos", """SELECT greatest(max(len(substr(owner, 1, 16))), 5) AS owner, greatest(max(len(substr(repo, 1, 16))), 4) AS repo,
   greatest(max(len(substr(name, 1, 16))), 4) AS name, greatest(max(len(substr(coalesce(description, 'None'), 1, 16))), 11) AS description,
-  greatest(max(len(stars::VARCHAR)), 5) AS stars, greatest(max(len(substr(coalesce(language, 'None'), 1, 16))), 8) AS language FROM repos"""))
+  greatest(max(len(stars::VARCHAR)), 5) AS stars, greatest(max(len(substr(coalesce(language, 'None'), 1, 16))), 8) AS language FROM repos"""), ints="owner repo name description stars language")
 def table_preview_widths(spark, sf_dir):
     return tb.table_preview_widths(view(spark, sf_dir, "repos"))
 

@@ -115,11 +115,11 @@ def page_scan(url_lists: DataFrame, pages: DataFrame, keywords: Sequence[str] =
 
 def scan_counts(scan: DataFrame) -> DataFrame:
     """(url, kind, term, cnt): the scan in long form."""
-    kinds = [scan.select("url", F.lit(kind).alias("kind"), F.col(f"{column}.term").alias("terms"),
-                         F.col(f"{column}.cnt").alias("cnts"))
-             for kind, column in (("keyword", "keywords"), ("extension", "extensions"))]
-    both = kinds[0].unionByName(kinds[1])
-    return both.select("url", "kind", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("cnts").alias("cnt"))))
+    def marked(column: str, kind: str) -> Column:
+        return F.transform(column, lambda x: F.struct(
+            F.lit(kind).alias("kind"), x["term"].alias("term"), x["cnt"].alias("cnt")))
+
+    return scan.select("url", F.inline(F.concat(marked("keywords", "keyword"), marked("extensions", "extension"))))
 
 
 def count_per_url(scan: DataFrame) -> DataFrame:
