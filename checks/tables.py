@@ -172,17 +172,18 @@ def sink_tsv_merged(spark, sf_dir):
     return rows
 
 
-@check("src_whole_text", "SELECT source AS name, count(*) AS documents FROM documents GROUP BY source")
+@check("src_whole_text", """SELECT source, count(*) AS documents, sum(length(text))::BIGINT AS letters
+FROM documents GROUP BY source""")
 def src_whole_text(spark, sf_dir):
-    # Each source's documents become one text file that starts with the source's name.
+    # The corpus as many text files of a few documents each, one line per document.
     path = new_path(spark, "texts")
-    lines = table(spark, sf_dir, "documents").select(
-        F.concat(F.col("source"), F.lit("\t"), F.regexp_replace("text", "\n", " ")).alias("value"), "source")
-    lines.repartition("source").write.partitionBy("source").text(path)
-    files = readers.whole_text(spark, path + "/*/*.txt")
-    counted = files.select(F.substring_index("text", "\t", 1).alias("name"),
-                           F.regexp_count("text", F.lit("\n")).cast("bigint").alias("documents"))
-    return counted.groupBy("name").agg(F.sum("documents").alias("documents"))
+    line = F.concat(F.col("source"), F.lit("\t"), F.replace("text", F.lit("\n"), F.lit(" ")))
+    table(spark, sf_dir, "documents").select(line.alias("value")).write.option("maxRecordsPerFile", 25).text(path)
+    files = readers.whole_text(spark, path + "/*.txt")
+    lines = files.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    rest = F.substr("line", F.length(F.substring_index("line", "\t", 1)) + 2)
+    return lines.groupBy(F.substring_index("line", "\t", 1).alias("source")).agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(F.length(rest)).alias("letters"))
 
 
 @check("src_table_scan", duck("paper_urls repos", """SELECT p_partkey AS paper_identifier, 'u' || p_partkey AS url, 'repo' || p_partkey AS repo_name,

@@ -106,40 +106,35 @@ SELECT page_id, url,
 FROM {pages}
 """
 
-_TURN = """'| ' || CASE turn WHEN 0 THEN 'OPS intro, [slides](/hess/s' || CAST(conv_id AS STRING) || ')'
-        WHEN 1 THEN 'Day shift report' WHEN 2 THEN 'HESSIU status' WHEN 3 THEN 'DAQ status'
-        WHEN 4 THEN 'FC status, [slides](/hess/f)' WHEN 5 THEN 'Pointing' WHEN 6 THEN 'Tracking'
-        ELSE 'Night log ' || CAST(turn AS STRING) END
-    || ' | ' || role || ' | <span class="a">' || replace(replace(replace(text, chr(10), ' '), '|', '/'), '#', '*')
-    || '</span><br> |' || chr(10)"""
-
-_MINUTES_HEAD = """
-SELECT '/m/operations_call__' || lpad(CAST(1 + conv_id % 28 AS STRING), 2, '0') || '_'
-           || lpad(CAST(1 + CAST(floor(conv_id / 28.0) AS BIGINT) % 12 AS STRING), 2, '0') || '_2024.txt' AS path,
-       conv_id,
-       '# Call ' || CAST(conv_id AS STRING) || chr(10) || chr(10) || '## Connection Details' || chr(10)
-           || 'Room ' || CAST(conv_id AS STRING) || chr(10) || 'pin /hess/secret' || chr(10)
+# One file of minutes per conversation turn; the whole turn is told in its table.
+_SAID = "replace(replace(replace(text, chr(10), ' '), '|', '/'), '#', '*')"
+_N = "CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING)"
+MINUTES = f"""
+SELECT '/m/' || {_N} || '/operations_call__' || lpad(CAST(1 + conv_id % 28 AS STRING), 2, '0') || '_'
+           || lpad(CAST(1 + turn % 12 AS STRING), 2, '0') || '_2024.txt' AS path,
+       '# Call ' || {_N} || chr(10) || chr(10) || '## Connection Details' || chr(10)
+           || 'Room ' || {_N} || chr(10) || 'pin /hess/secret' || chr(10)
            || CASE WHEN conv_id % 13 = 12 THEN '' ELSE
-              '## Attendees' || chr(10) || 'Ann, Bo and ' || CAST(count(*) AS STRING) || ' turns<br>' || chr(10) END
+              '## Attendees' || chr(10) || 'Ann, Bo and the ' || role || '<br>' || chr(10) END
            || '## Operations pages' || chr(10) || 'Current shift workbook: [Shift workbook - S'
-           || CAST(conv_id AS STRING) || '](/hess/wb' || CAST(conv_id AS STRING) || ')' || chr(10)
+           || {_N} || '](/hess/wb' || {_N} || ')' || chr(10)
            || 'Other page /hess/other' || chr(10) || '## Minutes' || chr(10)
            || '| Item | Presenter | Minutes |' || chr(10) || '| --- | --- | --- |' || chr(10)
-           || """
-_MINUTES_TAIL = """
+           || '| OPS intro, [slides](/hess/s' || {_N} || ') | ' || role || ' | <span class="a">' || {_SAID} || '</span><br> |' || chr(10)
+           || '| Day shift report | Bo | ' || split_part({_SAID}, '.', 1) || ' |' || chr(10)
+           || CASE WHEN turn % 2 = 0 THEN '| HESSIU status | Cy | ' || split_part({_SAID}, '.', 2) || ' |' || chr(10) ELSE '' END
+           || '| DAQ status, [slides](/hess/d) |  | <br> |' || chr(10)
+           || CASE WHEN turn % 3 = 0 THEN '| FC status | Di | fine |' || chr(10) || '| FC status late | Di | finer |' || chr(10) ELSE '' END
+           || '| Pointing | Ed | ' || split_part({_SAID}, '.', 3) || ' |' || chr(10)
+           || CASE WHEN turn % 2 = 1 THEN '| Tracking | Ed | ' || split_part({_SAID}, ',', 2) || ' |' || chr(10) ELSE '' END
            || CASE WHEN conv_id % 3 = 0 THEN '' ELSE '| AOB | Cy |  |' || chr(10) END
-           || '| Weather |  ||' || chr(10) || '## Next call' || chr(10) || 'Soon' AS text
-FROM {conversations}
-GROUP BY conv_id
+           || '| Weather |  ||' || chr(10) || CASE WHEN conv_id % 5 = 0 THEN '| Weather | Fay | again |' || chr(10) ELSE '' END
+           || '## Next call' || chr(10) || 'Soon' AS text
+FROM {{conversations}}
 """
 
-# The only view whose text differs: ordered concatenation has no common spelling.
-MINUTES_SPARK = (_MINUTES_HEAD + "array_join(transform(array_sort(collect_list(struct(turn, " + _TURN
-                 + " AS line))), x -> x.line), '')" + _MINUTES_TAIL)
-MINUTES_DUCK = _MINUTES_HEAD + "string_agg(" + _TURN + ", '' ORDER BY turn)" + _MINUTES_TAIL
-
 VIEWS = {"papers": PAPERS, "paper_urls": PAPER_URLS, "repos": REPOS, "connected": CONNECTED,
-         "url_lists": URL_LISTS, "rich_pages": RICH_PAGES, "minutes": MINUTES_DUCK}
+         "url_lists": URL_LISTS, "rich_pages": RICH_PAGES, "minutes": MINUTES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,7 +143,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a lazy DataFrame."""
-    text = MINUTES_SPARK if name == "minutes" else VIEWS[name]
+    text = VIEWS[name]
     sources = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
     return spark.sql(text, **sources)
 

@@ -171,8 +171,8 @@ def cross_check_mentions(papers: DataFrame, urls: DataFrame, order: str = "seq",
 # -- lookups ---------------------------------------------------------------
 
 def join_by_title(hits: DataFrame, mentions: DataFrame) -> DataFrame:
-    """All URL entries whose title equals a hit's title; ranked hits are few and broadcast."""
-    return mentions.select("title", "urls").join(F.broadcast(hits), "title")
+    """All URL entries whose title equals a hit's title; hits under a limit are broadcast by their known size."""
+    return mentions.select("title", "urls").join(hits, "title")
 
 
 def lookup_url_lastwins(ids: DataFrame, software: DataFrame, titles: DataFrame, order: str = "seq") -> DataFrame:
