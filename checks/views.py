@@ -138,7 +138,7 @@ VIEWS = {"papers": PAPERS, "paper_urls": PAPER_URLS, "repos": REPOS, "connected"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return parquet_table(spark, f"{sf_dir}/{name}.parquet", spread=name in ("documents", "pages"))
+    return parquet_table(spark, f"{sf_dir}/{name}.parquet", spread=name in ("documents", "pages", "conversations"))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -65,10 +65,12 @@ def qualified_sentences(texts: DataFrame, vocabulary: DataFrame, min_words: int
 
     Only words long enough to be in the vocabulary leave the row.
     """
-    cut = sentences(texts, max_tokens).select("text_id", "pos", F.array_distinct(
-        tx.words(F.col("sentence"))).alias("words")).where(F.size("words") <= max_words)
-    long_words = F.filter("words", lambda w: F.length(w) >= min_len)
-    tokens = cut.where(F.size(long_words) >= min_words).select("text_id", "pos", F.explode(long_words).alias("term"))
+    def candidates(words: Column) -> Column:
+        long_words = F.filter(words, lambda w: F.length(w) >= min_len)
+        return F.when((F.size(words) <= max_words) & (F.size(long_words) >= min_words), long_words)
+
+    words = F.array_distinct(tx.words(F.col("sentence")))
+    tokens = sentences(texts, max_tokens).select("text_id", "pos", F.explode(tx.bind(words, candidates)).alias("term"))
     known = tokens.join(vocabulary.select("term"), "term", "left_semi")
     grouped = known.groupBy("text_id", "pos").agg(F.sort_array(F.collect_set("term")).alias("words"))
     return grouped.where(F.size("words") >= min_words)

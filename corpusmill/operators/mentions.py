@@ -194,8 +194,7 @@ def git_url_flag(rows: DataFrame, url: str = "url") -> DataFrame:
 
 def parse_repo(rows: DataFrame) -> DataFrame:
     """Owner and repository from each URL; rows with too short a path are skipped."""
-    parsed = rows.withColumn("parts", tx.repo_parts(F.col("url"))).where(F.col("parts").isNotNull())
-    return parsed.select(*rows.columns, "parts.owner", "parts.repo")
+    return rows.select(*rows.columns, F.inline(F.array_compact(F.array(tx.repo_parts(F.col("url"))))))
 
 
 def default_missing(repos: DataFrame, default: str = MISSING) -> DataFrame:

@@ -159,14 +159,23 @@ def _complete() -> Column:
     return needed[0] & needed[1] & needed[2] & needed[3]
 
 
+def _where_parsed(calls: DataFrame, condition: Column, columns: tuple[str, ...]) -> DataFrame:
+    """Keep rows by a condition on parsed columns.
+
+    A plain filter would be pushed below the parsing and parse every text
+    again; a row given out as an array of one or none is not.
+    """
+    return calls.select(F.inline(F.when(condition, F.array(F.struct(*columns)))))
+
+
 def operations_call(minutes: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """The typed table, one row per complete call."""
-    return _parsed_calls(minutes, allowed).where(_complete()).select(*COLUMNS)
+    return _where_parsed(_parsed_calls(minutes, allowed), _complete(), COLUMNS)
 
 
 def rejected_calls(minutes: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """Paths of calls without attendees, operations pages, shift name or date."""
-    return _parsed_calls(minutes, allowed).where(~_complete()).select("path")
+    return _where_parsed(_parsed_calls(minutes, allowed), ~_complete(), ("path",))
 
 
 def sort_by_date(calls: DataFrame) -> DataFrame:
