@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.session import spool
+
 #: Word separators of every operator here: ASCII blanks and nothing else, as `bytes.split()` has them.
 BLANK = r"\x20\x09-\x0D"
 
@@ -14,7 +19,8 @@ BATCH_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that go to Python by rows."""
+    """Bound the Arrow batches that go to Python by rows, and send this package's functions along with the tasks."""
+    cloudpickle.register_pickle_by_value(sys.modules["corpusmill.llm"])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
@@ -44,3 +50,14 @@ def column_or_null(docs: DataFrame, name: str, kind: str) -> Column:
 def fields(df: DataFrame, more: str) -> T.StructType:
     """The schema of `df` followed by the columns of a DDL text."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rid, id, text, row): the id where it is unique, else a number of our own."""
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       column_or_null(docs, id_col, "bigint").alias("id"),
+                       column_or_null(docs, text_col, "string").alias("text"))
+    repeated = wide.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("id").isNull())
+    if repeated.isEmpty():
+        return wide.withColumn("rid", F.col("id"))
+    return spool(wide.withColumn("rid", F.monotonically_increasing_id()), "numbered")
