@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import prepare
 from corpusmill.llm.jaccard import jaccard_join
+from corpusmill.llm.packing import pack
 from corpusmill.llm.quality_rules import COUNTS, quality_rules
 from corpusmill.llm.sharding import shard_by_bytes, text_size
 from corpusmill.llm.substrings import remove_repeats
@@ -29,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 @query
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
