@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import prepare
 from corpusmill.llm.jaccard import jaccard_join
+from corpusmill.llm.neighbours import nearest
 from corpusmill.llm.packing import pack
 from corpusmill.llm.quality_rules import COUNTS, quality_rules
 from corpusmill.llm.sharding import shard_by_bytes, text_size
@@ -57,6 +58,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(docs).select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"))
