@@ -14,6 +14,7 @@ from corpusmill.llm.packing import pack
 from corpusmill.llm.quality_rules import COUNTS, quality_rules
 from corpusmill.llm.sharding import shard_by_bytes, text_size
 from corpusmill.llm.substrings import remove_repeats
+from corpusmill.llm.toxicity import CATEGORIES, fitted, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +53,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = fitted(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity(docs.select("doc_id", "text"), chain)
+    return scored.select("doc_id", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in CATEGORIES], "is_toxic")
+
+
 @query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
