@@ -52,12 +52,12 @@ def fields(df: DataFrame, more: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, id, text, row): the id where it is unique, else a number of our own."""
+def identified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(rid, id, text, row) and whether rid is a number of our own: it is the id where ids are unique."""
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        column_or_null(docs, id_col, "bigint").alias("id"),
                        column_or_null(docs, text_col, "string").alias("text"))
     repeated = wide.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("id").isNull())
     if repeated.isEmpty():
-        return wide.withColumn("rid", F.col("id"))
-    return spool(wide.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+        return wide.withColumn("rid", F.col("id")), False
+    return spool(wide.withColumn("rid", F.monotonically_increasing_id()), "numbered"), True

@@ -13,10 +13,11 @@ corpus, a table of fixed size.
 
 Lists do not give all their pairs. Texts with equal sets are one class, with
 its smallest id as representative; members of a list are first compared with
-one of them, and linked ones merged; only pairs of a list that are not yet in
-one component are compared after that. So a group of copies costs its size,
-not its square, and no link between components is missed. Every candidate is
-verified on the whole sets.
+one of them, and linked ones merged. While the lists still hold far more pairs
+across components than entries, each meets another member drawn by lot; what is
+left of such pairs is then compared one by one. So a group of copies costs its
+size, not its square, and no link between components is missed. Every candidate
+is verified on the whole sets.
 
 Nulls and the like: a null text is empty; an empty text is linked with nothing,
 not even with another; repeated rows are in one class. Ids that are null or not
@@ -47,6 +48,10 @@ SUBSET = 2
 #: Classes of shingles whose occurrences are counted, and how many of them travel in a row.
 CLASSES = 1 << 20
 CHUNK = 1 << 12
+#: Pairs across components that may be compared at once, for each entry of the lists that hold them.
+LINEAR = 4
+#: Another draw is worth while if the last one left no more than this part of them.
+WORTH = 0.9
 #: What reading an entry of an inverted list costs, in rows of the join, besides those found in it.
 LIST_COST = 2.0
 RESULTS = ("n_shingles", "component_id")
@@ -190,11 +195,32 @@ def _sizes_match(a: Column, b: Column, threshold: tuple[int, int]) -> Column:
     return F.least(a, b) * down >= F.greatest(a, b) * up
 
 
+def _open_lists(lists: DataFrame, merged: DataFrame) -> tuple[DataFrame, int, int]:
+    """(entries of lists with several components, pairs across components in them, entries in them)."""
+    placed = lists.join(merged.withColumnRenamed("id", "cid"), "cid", "left").select(
+        "key", "cid", "n", F.coalesce("component", "cid").alias("component"))
+    per_list = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(
+        F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count(F.lit(1)).alias("parts"))
+    wanted = spool(per_list.where("parts > 1").select("key", "all", "squares"), "openkeys")
+    cross, entries = wanted.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2), F.lit(0.0)),
+                                F.coalesce(F.sum("all"), F.lit(0))).first()
+    return spool(placed.join(wanted.select("key"), "key"), "open"), int(cross), entries
+
+
+def _star_pairs(open_: DataFrame, turn: int, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b): the members of each list with one drawn for this list and turn, where not yet in its component."""
+    drawn = F.min(F.struct(F.xxhash64("cid", "key", F.lit(turn)).alias("lot"), "cid", "n", "component")).alias("head")
+    heads = spool(open_.groupBy("key").agg(drawn), "heads")
+    met = open_.join(heads, "key").where(F.col("component") != F.col("head.component")).where(
+        _sizes_match(F.col("n"), F.col("head.n"), threshold))
+    return met.select(F.least("cid", "head.cid").alias("a"), F.greatest("cid", "head.cid").alias("b")).distinct()
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-                    threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """The numbered rows (rid, id, text, row) and (rid, n_shingles, component): `component` is its smallest rid."""
+                    threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, bool, DataFrame]:
+    """The rows (rid, id, text, row), whether rids are our own numbers, and (rid, n_shingles, component = smallest rid)."""
     spark = docs.sparkSession
-    rows = identified(docs, id_col, text_col)
+    rows, numbered = identified(docs, id_col, text_col)
     texts = rows.select("rid", "text")
     profile = spool(texts.mapInArrow(_profile(width), _PROFILE), "profile")
     levels, list_length = class_levels(profile)
@@ -224,35 +250,45 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
         return spool(both.mapInArrow(_similar(width, threshold), "a long, b long"), "links")
 
-    stars = spool(lists.where(F.col("cid") != F.col("head.cid"))
+    tried = spool(lists.where(F.col("cid") != F.col("head.cid"))
                   .where(_sizes_match(F.col("n"), F.col("head.n"), threshold))
                   .select(F.col("head.cid").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
-    links = verified(stars)
+    links = verified(tried)
     merged = components(links)
-
-    placed = lists.join(merged.withColumnRenamed("id", "cid"), "cid", "left").select(
-        "key", "cid", "n", F.coalesce("component", "cid").alias("component"))
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    placed = spool(placed.join(mixed_keys.where("lo != hi").select("key"), "key"), "open")
-    x, y = placed.alias("x"), placed.alias("y")
+    before, turn = float("inf"), 0
+    while True:
+        turn += 1
+        open_, cross, entries = _open_lists(lists, merged)
+        if cross <= LINEAR * entries or cross > WORTH * before:
+            break
+        before = cross
+        pairs = _star_pairs(open_, turn, threshold).join(tried, ["a", "b"], "left_anti")
+        pairs = spool(pairs, "stars")
+        more = verified(pairs)
+        tried, links = tried.union(pairs), links.union(more)
+        merged = components(links)
+    x, y = open_.alias("x"), open_.alias("y")
     rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
                    & _sizes_match(F.col("x.n"), F.col("y.n"), threshold))
             .select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct())
-    more = verified(rest.join(stars, ["a", "b"], "left_anti"))
+    more = verified(rest.join(tried, ["a", "b"], "left_anti"))
     merged = components(links.union(more))
 
     ids = members.join(merged.withColumnRenamed("id", "cid"), "cid", "left").select(
         "rid", F.coalesce("component", "cid").alias("component"))
     every = profile.where(F.col("chunk").isNull()).select("rid", "n_shingles").join(ids, "rid", "left")
-    return rows, spool(every.withColumn("component", F.coalesce("component", "rid")), "classes")
+    return rows, numbered, spool(every.withColumn("component", F.coalesce("component", "rid")), "classes")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                  threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The rows with `n_shingles` and `component_id`, the smallest id that links reach (null where all are null)."""
-    rows, classes = jaccard_classes(docs, id_col, text_col, width, threshold)
-    smallest = classes.join(rows.select("rid", "id"), "rid").groupBy("component").agg(F.min("id").alias("component_id"))
-    light = classes.join(smallest, "component").select("rid", *RESULTS)
+    rows, numbered, classes = jaccard_classes(docs, id_col, text_col, width, threshold)
+    if not numbered:
+        light = classes.withColumnRenamed("component", "component_id")
+    else:
+        smallest = classes.join(rows.select("rid", "id"), "rid").groupBy("component").agg(F.min("id").alias("component_id"))
+        light = classes.join(smallest, "component").select("rid", *RESULTS)
     kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in RESULTS]
     return rows.join(light, "rid").select(*kept, *RESULTS)
 
@@ -260,6 +296,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                 threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The documents without near-duplicates of one with a smaller id; empty texts all stay."""
-    rows, classes = jaccard_classes(docs, id_col, text_col, width, threshold)
+    rows, numbered, classes = jaccard_classes(docs, id_col, text_col, width, threshold)
     first = classes.where(F.col("rid") == F.col("component")).select("rid")
     return rows.join(first, "rid", "left_semi").select("row.*")

@@ -210,7 +210,7 @@ def marks(rows: DataFrame, width: int = WIDTH, mini: int = MINI, hot: int = HOT)
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                    mini: int = MINI, hot: int = HOT) -> DataFrame:
     """The rows with `n_words`, `n_removed` and `kept_text`, the kept words joined by one blank."""
-    rows = identified(docs, id_col, text_col).withColumn("sid", F.coalesce("id", F.lit(_LAST)))
+    rows = identified(docs, id_col, text_col)[0].withColumn("sid", F.coalesce("id", F.lit(_LAST)))
     cuts = marks(rows.select("rid", "sid", "text"), width, mini, hot).groupBy("rid").agg(
         F.collect_list("start").alias("start"), F.collect_list("n").alias("n"))
     joined = rows.select("rid", "row", "text").join(cuts, "rid", "left").select("row", "text", "start", "n")
