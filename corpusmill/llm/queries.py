@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import prepare
+from corpusmill.llm.grades import fitted_grades, grade
 from corpusmill.llm.jaccard import jaccard_join
+from corpusmill.llm.licenses import SQL as LICENSE_SQL
+from corpusmill.llm.licenses import license_scan
 from corpusmill.llm.neighbours import nearest
 from corpusmill.llm.packing import pack
 from corpusmill.llm.quality_rules import COUNTS, quality_rules
+from corpusmill.llm.sentencepiece import decode, encode
 from corpusmill.llm.sharding import shard_by_bytes, text_size
 from corpusmill.llm.substrings import remove_repeats
 from corpusmill.llm.toxicity import CATEGORIES, fitted, toxicity
@@ -32,6 +36,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return decoded.select("doc_id", F.size("ids").alias("n_ids"), "ids", "score",
+                          F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fitted_grades(docs, table(spark, sf_dir, "labels"))
+    graded = grade(docs, model)
+    return graded.select("doc_id", F.round("expected_grade", 6).alias("expected_grade"),
+                         F.round("tail_probability", 6).alias("tail_probability"), "kept")
+
+
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
@@ -61,6 +81,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in CATEGORIES], "is_toxic")
 
 
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).select("doc_id", "sentence_ids", "licenses")
+
+
 @query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,3 +103,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *COUNTS, "base_failed", "kept", F.round("char_distance", 9).alias("char_distance"),
                          F.round("word_distance", 9).alias("word_distance"))
+
+
+ORACLES["op7_license_scan"] = LICENSE_SQL
