@@ -1,0 +1,15 @@
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+from corpusmill.llm.common import prepare  # noqa: E402
+
+
+@pytest.fixture(autouse=True)
+def _prepared(spark):
+    prepare(spark)
