@@ -202,7 +202,8 @@ def marks(rows: DataFrame, width: int = WIDTH, mini: int = MINI, hot: int = HOT)
                .repartition("mini").sortWithinPartitions("mini"))
     cold = buckets.mapInArrow(_marked(width), _MARKS)
     alone = packed.where(F.col("digest").isNotNull()).select("digest", "rid", "sid", "start")
-    smallest = alone.groupBy("digest").agg(F.min("sid").alias("first"))
+    # Written out, so that the join's sides are plain and a hot window of the other one can be split.
+    smallest = spool(alone.groupBy("digest").agg(F.min("sid").alias("first")), "firsts")
     warm = alone.join(smallest, "digest").where("first < sid").select("rid", "start", F.lit(1).alias("n"))
     return cold.union(warm)
 
