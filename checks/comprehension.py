@@ -27,7 +27,11 @@ def strip(expr: str) -> str:
     return f"trim({expr}, {STRIP})"
 
 
-def body(max_tokens: int = rc.MAX_TOKENS) -> str:
+def body(max_tokens: int | None = None) -> str:
+    if max_tokens is None:
+        return rf"""base AS (SELECT text_id, side, split_part(text, chr(10), 1) AS title, substr(text, len(split_part(text, chr(10), 1)) + 2) AS full_body FROM connected),
+bod AS (SELECT text_id, title, full_body AS body FROM base),
+sent AS (SELECT text_id, title, body, regexp_extract_all(body, '{tx.SENTENCE}') AS sents FROM bod)"""
     return rf"""base AS (SELECT text_id, side, split_part(text, chr(10), 1) AS title, substr(text, len(split_part(text, chr(10), 1)) + 2) AS full_body FROM connected),
 bod AS (SELECT text_id, title, CASE WHEN len(p) > {max_tokens} THEN regexp_extract(full_body, '^\s*') || array_to_string(p[1:{max_tokens}], '') ELSE full_body END AS body
         FROM (SELECT *, regexp_extract_all(full_body, '\S+\s*') AS p FROM base)),

@@ -169,10 +169,9 @@ need AS (SELECT identifier, regexp_extract_all(lower(body), '{TERM}') AS t FROM
 grams AS (SELECT identifier, unnest(t) AS phrase FROM need
   UNION ALL SELECT identifier, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM need
   UNION ALL SELECT identifier, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM need),
-tf AS (SELECT identifier, phrase, count(*) AS n FROM grams GROUP BY ALL),
-vocab AS (SELECT phrase, ln((1.0 + (SELECT count(*) FROM need)) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY phrase),
-best AS (SELECT identifier, phrase, row_number() OVER (PARTITION BY identifier ORDER BY round(n * idf, 6) DESC, phrase) AS rank
-         FROM tf JOIN vocab USING (phrase) QUALIFY rank <= 6),
+tf AS (SELECT identifier, phrase, round(count(*) * sqrt(len(string_split(phrase, ' '))), 6) AS score FROM grams GROUP BY identifier, phrase),
+best AS (SELECT identifier, phrase, row_number() OVER (PARTITION BY identifier ORDER BY score DESC, phrase) AS rank
+         FROM tf QUALIFY rank <= 6),
 ph AS (SELECT identifier, string_agg(phrase, ',' ORDER BY rank) AS phrases FROM best GROUP BY identifier),
 cross_checked AS (SELECT j.identifier, title, category, urls, array_to_string(code, '||') AS mentioned_software,
   CASE WHEN header IS NOT NULL AND len(code) > 0 THEN header ELSE coalesce(phrases, '') END AS keywords

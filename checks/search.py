@@ -217,12 +217,12 @@ def fuse_avg_score(spark, sf_dir):
 
 
 @check("context_join", f"""WITH {tfidf_ctes('documents', QUESTIONS)}, r AS ({ranked(5)})
-SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, {quoted(QUESTION)} AS question
+SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, CASE query_id {' '.join(f'WHEN {i} THEN {quoted(q)}' for i, q in enumerate(QUESTIONS))} END AS question
 FROM r JOIN documents USING (doc_id) GROUP BY query_id""")
 def context_join(spark, sf_dir):
     corpus = docs(spark, sf_dir)
     hits = search.topk_per_query(search.cosine_scores(corpus, QUESTIONS), 5)
-    return search.context_join(search.with_rows(hits, corpus.select("doc_id", "text")), QUESTION)
+    return search.context_join(search.with_rows(hits, corpus.select("doc_id", "text")), QUESTIONS)
 
 
 # One recursion-free spelling of the greedy merge: fold pieces into a list of chunks.
@@ -246,11 +246,9 @@ def chunk_text(spark, sf_dir):
 grams AS (SELECT doc_id, unnest(t) AS phrase FROM toks
   UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM toks
   UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM toks),
-tf AS (SELECT doc_id, phrase, count(*) AS n FROM grams GROUP BY ALL),
-vocab AS (SELECT phrase, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY phrase)
-SELECT doc_id, phrase, round(n * idf, 6) AS score,
-       row_number() OVER (PARTITION BY doc_id ORDER BY round(n * idf, 6) DESC, phrase) AS rank
-FROM tf JOIN vocab USING (phrase) QUALIFY rank <= 6""", ints="rank")
+tf AS (SELECT doc_id, phrase, round(count(*) * sqrt(len(string_split(phrase, ' '))), 6) AS score FROM grams GROUP BY doc_id, phrase)
+SELECT doc_id, phrase, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS rank
+FROM tf QUALIFY rank <= 6""", ints="rank")
 def keyphrases_topk(spark, sf_dir):
     return search.keyphrases_topk(docs(spark, sf_dir))
 

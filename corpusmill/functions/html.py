@@ -6,24 +6,23 @@ comment counts as part of it. Quoted `>` inside attributes are not told apart.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import bind, strip
 
-# What is markup, and the named characters that are decoded.
+# What is markup.
 HIDDEN = (r"<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
           r"|<template\b[^>]*>.*?(?:</template\s*>|\z)|<!doctype[^>]*>")
 TAG = r"</?[a-z][^>]*>"
-ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®",
-    "middot": "·", "laquo": "«", "raquo": "»", "deg": "°", "para": "¶", "sect": "§",
-    "euro": "€", "pound": "£", "cent": "¢", "yen": "¥", "trade": "™", "times": "×",
-    "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’",
-    "ldquo": "“", "rdquo": "”", "bull": "•", "larr": "←", "rarr": "→",
-    "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß", "eacute": "é",
-    "egrave": "è", "agrave": "à", "ccedil": "ç", "ntilde": "ñ",
-}
+#: Every named character of the HTML standard that ends with a semicolon.
+ENTITIES = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
+LONGEST = max(map(len, ENTITIES))
+#: Looked up first, as a map is searched from its start.
+COMMON = ("amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "middot", "ndash", "mdash")
 
 
 def decode_entities(text: Column) -> Column:
@@ -32,7 +31,10 @@ def decode_entities(text: Column) -> Column:
     The text is cut at every `&`; a piece that starts with a known name or a
     number gets its character, any other gets its `&` back.
     """
-    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    def named(entities: dict[str, str]) -> Column:
+        return F.from_json(F.lit(json.dumps(entities)), "map<string,string>")
+
+    few, all_ = named({name: ENTITIES[name] for name in COMMON}), named(ENTITIES)
 
     def char(code: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
@@ -44,8 +46,9 @@ def decode_entities(text: Column) -> Column:
         return F.when(code.between(1, 55295) | code.between(57344, 1114111), char(code))
 
     def piece(p: Column) -> Column:
-        name = F.regexp_extract(p, "^(#?[A-Za-z0-9]{1,8});", 1)
-        found = F.when(name.startswith("#"), number(name)).when(name != "", F.try_element_at(names, name))
+        name = F.regexp_extract(p, f"^(#?[A-Za-z0-9]{{1,{LONGEST}}});", 1)
+        found = F.when(name.startswith("#"), number(name)).when(name != "", F.coalesce(
+            F.try_element_at(few, name), F.try_element_at(all_, name)))
         return bind(found, lambda c: F.when(
             c.isNotNull(), F.concat(c, F.substr(p, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), p)))
 

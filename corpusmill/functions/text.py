@@ -81,7 +81,7 @@ def sentences(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
 
 
-def truncate_tokens(text: Column, max_tokens: int = 1848) -> Column:
+def truncate_tokens(text: Column, max_tokens: int) -> Column:
     """Keep the first `max_tokens` white-space tokens, spacing included."""
     pieces = F.regexp_extract_all(text, F.lit(r"\S+\s*"), F.lit(0))
     lead = F.regexp_extract(text, r"^\s*", 0)
@@ -119,6 +119,16 @@ def ngrams(tokens: Column, max_n: int = 3) -> Column:
     return bind(tokens, lambda t: F.concat(t, *[of_size(t, n) for n in range(2, max_n + 1)]))
 
 
+def best_phrases(tokens: Column, top: int, max_n: int = 3) -> Column:
+    """array<struct<phrase, score>>: the best 1..max_n word phrases of a text by frequency times root of their length."""
+    def scored(run: Column) -> Column:
+        length = F.length(run["term"]) - F.length(F.replace(run["term"], F.lit(" "), F.lit(""))) + 1
+        return F.struct(F.round(-run["n"] * F.sqrt(length), 6).alias("order"), run["term"].alias("phrase"))
+
+    found = F.sort_array(F.transform(run_lengths(ngrams(tokens, max_n)), scored))
+    return F.transform(F.slice(found, 1, top), lambda p: F.struct(p["phrase"].alias("phrase"), (-p["order"]).alias("score")))
+
+
 def chunks(text: Column, chunk_size: int = 250, separator: str = "\n") -> Column:
     """Pieces between separators merged greedily up to `chunk_size` characters.
 

@@ -19,27 +19,27 @@ from corpusmill.functions import text as tx
 from corpusmill.session import spool
 from corpusmill.templates import DEMOS, FRAMES, INTROS, OPTIONS, fill, formats
 
-MAX_TOKENS = 1848
 NONE = "array<struct<task:string,label:string,pos:int,verbalizer:string,s1:string,s2:string>>"
 
 
 def split_title_body(texts: DataFrame) -> DataFrame:
-    """(text_id, title, body): the first line and the rest."""
-    return texts.select("text_id", tx.title_of(F.col("text")).alias("title"), tx.body_of(F.col("text")).alias("body"))
+    """(text_id, title, body): the first line and the rest; null texts are left out."""
+    return texts.where(F.col("text").isNotNull()).select("text_id", tx.title_of(F.col("text")).alias("title"), tx.body_of(F.col("text")).alias("body"))
 
 
-def truncate_tokens(texts: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Bodies cut after `max_tokens` tokens."""
-    return split_title_body(texts).withColumn("body", tx.truncate_tokens(F.col("body"), max_tokens))
+def truncate_tokens(texts: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    """Titles and bodies; with `max_tokens` bodies are cut after so many tokens, else they are whole."""
+    whole = split_title_body(texts)
+    return whole if max_tokens is None else whole.withColumn("body", tx.truncate_tokens(F.col("body"), max_tokens))
 
 
-def sentences(texts: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """(text_id, pos, sentence) of the truncated bodies."""
+def sentences(texts: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    """(text_id, pos, sentence) of the bodies."""
     bodies = truncate_tokens(texts, max_tokens)
     return bodies.select("text_id", F.posexplode(tx.sentences(F.col("body"))).alias("pos", "sentence"))
 
 
-def mine(texts: DataFrame, tasks: Sequence[str] = mx.TASKS, max_tokens: int = MAX_TOKENS,
+def mine(texts: DataFrame, tasks: Sequence[str] = mx.TASKS, max_tokens: int | None = None,
          rules: Sequence[mx.Rule] = mx.RULES) -> DataFrame:
     """(text_id, task, label, pos, verbalizer, s1, s2): every pattern match, from one scan."""
     found = F.concat(*[mx.mined(F.col("body"), r) for r in rules if r.task in tasks])
@@ -60,7 +60,7 @@ def mined_counts(examples: DataFrame) -> DataFrame:
 
 
 def qualified_sentences(texts: DataFrame, vocabulary: DataFrame, min_words: int = 3, max_words: int = 100,
-                        min_len: int = 10, max_tokens: int = MAX_TOKENS) -> DataFrame:
+                        min_len: int = 10, max_tokens: int | None = None) -> DataFrame:
     """(text_id, pos, words): sentences with enough words of the domain vocabulary.
 
     Only words long enough to be in the vocabulary leave the row.
@@ -96,7 +96,7 @@ def _word_examples(sents: Column, picked: Column) -> Column:
         tx.strip(F.get(sents, p["pos"])))), F.expr("array()").cast(NONE))
 
 
-def with_examples(texts: DataFrame, vocabulary: DataFrame | None = None, max_tokens: int = MAX_TOKENS,
+def with_examples(texts: DataFrame, vocabulary: DataFrame | None = None, max_tokens: int | None = None,
                   rules: Sequence[mx.Rule] = mx.RULES) -> DataFrame:
     """(text_id, title, sents, examples): the capped examples of each text in its row."""
     bodies = truncate_tokens(texts, max_tokens)
@@ -111,7 +111,7 @@ def with_examples(texts: DataFrame, vocabulary: DataFrame | None = None, max_tok
     return joined.select("text_id", "title", "sents", F.concat("examples", words).alias("examples"))
 
 
-def mine_word2text(texts: DataFrame, vocabulary: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine_word2text(texts: DataFrame, vocabulary: DataFrame, max_tokens: int | None = None) -> DataFrame:
     """(text_id, task, label, pos, verbalizer, s1, s2): s1 the words, s2 their sentence."""
     picked = _picked_words(qualified_sentences(texts, vocabulary, max_tokens=max_tokens))
     rows = truncate_tokens(texts, max_tokens).select("text_id", tx.sentences(F.col("body")).alias("sents"))
@@ -271,14 +271,14 @@ def _modes(rows: DataFrame) -> DataFrame:
         "cut": mx.cut_point(F.col("text_id"), n)})
 
 
-def task_mix(texts: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def task_mix(texts: DataFrame, max_tokens: int | None = None) -> DataFrame:
     """(text_id, can_summarize, can_complete, mode)."""
     rows = truncate_tokens(texts, max_tokens).withColumn("sents", tx.sentences(F.col("body")))
     return _modes(rows).select("text_id", F.col("title").isNotNull().alias("can_summarize"),
                                (F.size("sents") >= 2).alias("can_complete"), "mode")
 
 
-def cut_point(texts: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def cut_point(texts: DataFrame, max_tokens: int | None = None) -> DataFrame:
     """(text_id, cut, first_half, second_half) of texts with two sentences or more."""
     rows = truncate_tokens(texts, max_tokens).withColumn("sents", tx.sentences(F.col("body")))
     first, second = mx.halves(F.col("sents"), F.col("cut"))
@@ -314,7 +314,7 @@ def _frame(domain: str, form: str, part: int, frames) -> Column:
 
 
 def reading_comprehension(texts: DataFrame, domain: str, vocabulary: DataFrame | None = None,
-                          input_name: str = "input", max_tokens: int = MAX_TOKENS, demos=DEMOS, intros=INTROS,
+                          input_name: str = "input", max_tokens: int | None = None, demos=DEMOS, intros=INTROS,
                           frames=FRAMES) -> DataFrame:
     """(text_id, mode, text, question, answer, file_name): the finished rows."""
     rows = _with_contexts(_modes(_demos(with_examples(texts, vocabulary, max_tokens), domain, demos, intros)))

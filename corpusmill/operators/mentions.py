@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
-from corpusmill.operators.search import keyphrases_topk
 from corpusmill.session import spool
 
 # The default filters, prompt format and questions.
@@ -144,28 +143,21 @@ def cross_check_mentions(papers: DataFrame, urls: DataFrame, order: str = "seq",
     """(identifier, title, keywords, category, mentioned_software, urls) of papers with a URL entry.
 
     Keywords are the header list where it stands beside code sentences, else
-    the best phrases of the abstract. The joined papers are written once, as
-    the phrases need them several times; both small sides are written too, so
-    that their size is known and a hot key on the other side can be split.
+    the best phrases of the abstract, found in its own row. The first URLs are
+    written out, so that their size is known and a hot identifier of the papers
+    can be split.
     """
     numbered = filter_new_style_id(papers).where(F.col("identifier_num").isNotNull() & F.col("description").isNotNull())
     body = tx.strip_comment(F.col("description"))
     joined = numbered.select(F.col("identifier_num").alias("id_num"), "title", "category", body.alias("body")).join(
         spool(first_urls(urls, order), "first"), "id_num")
-    marked = spool(joined.select(
-        F.col("id_num").alias("identifier"), "title", "category", "body", "urls",
-        tx.keywords_header(F.col("body")).alias("header"), tx.code_sentences(F.col("body")).alias("code"),
-        F.xxhash64("id_num", "title", "body").alias("key")), "cross")
+    marked = joined.select(F.col("id_num").alias("identifier"), "title", "category", "body", "urls",
+                           tx.keywords_header(F.col("body")).alias("header"), tx.code_sentences(F.col("body")).alias("code"))
     listed = F.col("header").isNotNull() & (F.size("code") > 0)
-    wanting = marked.where(~listed).dropDuplicates(["key"])
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "phrase")))  # `top` entries at most
-    phrases = spool(keyphrases_topk(wanting, top, id_col="key", text_col="body").groupBy("key").agg(
-        F.transform(ordered, lambda x: x["phrase"]).alias("phrases")), "phrases")
-    none = F.expr("array()").cast("array<string>")
-    keywords = F.when(listed, F.array("header")).otherwise(F.coalesce("phrases", none))
-    return marked.join(phrases, "key", "left").select(
-        "identifier", "title", keywords.alias("keywords"), "category",
-        F.col("code").alias("mentioned_software"), "urls")
+    phrases = F.transform(tx.best_phrases(tx.terms(F.col("body")), top), lambda p: p["phrase"])
+    keywords = F.when(listed, F.array("header")).otherwise(phrases)
+    return marked.select("identifier", "title", keywords.alias("keywords"), "category",
+                         F.col("code").alias("mentioned_software"), "urls")
 
 
 # -- lookups ---------------------------------------------------------------
@@ -206,10 +198,14 @@ def repo_enrich(mentions: DataFrame, repos: DataFrame) -> DataFrame:
     """(paper_identifier, url, repo_name, repo_description, stars, language, status) per git URL.
 
     A lookup without a result still gives a row; its text fields say so and
-    the number stays null.
+    the number stays null. Of several entries of one repository the one with the
+    most stars counts, then the first by its other fields.
     """
     git = parse_repo(url_explode(mentions).where(F.col("url").contains("git")))
-    found = default_missing(repos).withColumn("hit", F.lit(True))
+    best = F.min(F.struct((-F.col("stars")).alias("order"), "name", "description", "language", "stars")).alias("best")
+    single = repos.groupBy("owner", "repo").agg(best).select("owner", "repo", "best.name", "best.description",
+                                                             "best.stars", "best.language")
+    found = default_missing(single).withColumn("hit", F.lit(True))
     joined = git.join(found, ["owner", "repo"], "left")
 
     def text(name: str):

@@ -133,8 +133,12 @@ def best_score_per_content(hits: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def distinct_content(rows: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Distinct texts, each with its smallest id."""
-    return rows.groupBy(text_col).agg(F.min(id_col).alias(id_col))
+    """Distinct texts, each with its smallest id; only digests of the texts are grouped."""
+    first = rows.groupBy(F.sha2(F.col(text_col), 256).alias("digest")).agg(F.min(id_col).alias(id_col))
+    found = rows.join(first.select(id_col), id_col, "left_semi").select(text_col, id_col)
+    # An id may stand for several texts; of the equal rows that are left one is kept.
+    return found.withColumn("digest", F.sha2(F.col(text_col), 256)).join(first, ["digest", id_col], "left_semi").dropDuplicates(
+        ["digest", id_col]).select(text_col, id_col)
 
 
 def union_query_hits(hits: Sequence[DataFrame]) -> DataFrame:
@@ -205,11 +209,17 @@ def intersect_hits(first: DataFrame, second: DataFrame, id_col: str = "doc_id")
     return first.select(as_number).intersect(second.select(as_number))
 
 
-def context_join(hits: DataFrame, question: str, text_col: str = "text") -> DataFrame:
-    """One prompt row per query: the texts in rank order, joined by a blank line."""
+def context_join(hits: DataFrame, questions: str | Sequence[str], most: int = 20, text_col: str = "text") -> DataFrame:
+    """One prompt row per query: its own question, and its `most` best texts in rank order, joined by a blank line.
+
+    One question is that of query 0; a list is numbered as the queries were.
+    """
+    asked = [questions] if isinstance(questions, str) else list(questions)
+    hits = hits.where(F.col("rank") <= most)
     ordered = F.array_sort(F.collect_list(F.struct("rank", text_col)))
     joined = F.array_join(F.transform(ordered, lambda x: x[text_col]), "\n\n")
-    return hits.groupBy("query_id").agg(joined.alias("context")).withColumn("question", F.lit(question))
+    table = literal_table(hits.sparkSession, list(enumerate(asked)), ["query_id", "question"])
+    return hits.groupBy("query_id").agg(joined.alias("context")).join(table, "query_id")
 
 
 def chunk_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_size: int = 250) -> DataFrame:
@@ -219,20 +229,10 @@ def chunk_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keyphrases_topk(docs: DataFrame, top: int = 6, max_n: int = 3, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(id, rank, phrase, score): the best 1..max_n word phrases of each text by tf-idf.
-
-    Most phrases occur in one text only, so the table of frequencies holds the
-    others and a phrase not found there has frequency one.
-    """
-    grams = tx.ngrams(tx.terms(F.col(text_col)), max_n)
-    total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    repeated = spool(_frequencies(docs, grams).where(F.col("df") > 1), "phrases")
-    found = _counted(docs, id_col, grams).join(repeated, "term", "left")
-    idf = _idf(total, F.coalesce("df", F.lit(1)))
-    scored = found.select(id_col, F.col("term").alias("phrase"),
-                          F.round(F.col("n") * idf, SCORE_DIGITS).alias("score"))
-    order = Window.partitionBy(id_col).orderBy(F.col("score").desc(), "phrase")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    """(id, rank, phrase, score): the best 1..max_n word phrases of each text, from that text alone."""
+    best = tx.best_phrases(tx.terms(F.col(text_col)), top, max_n)
+    return docs.select(id_col, F.posexplode(best).alias("at", "p")).select(
+        id_col, (F.col("at") + 1).alias("rank"), "p.phrase", "p.score")
 
 
 def vocab_specific(domain: DataFrame, general: DataFrame, text_col: str = "text", min_len: int = 10) -> DataFrame:

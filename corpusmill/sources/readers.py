@@ -10,16 +10,9 @@ JSONL_SCHEMA = "prompt STRING, response STRING, source STRING"
 
 
 
-def parquet_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """A parquet table.
-
-    With `spread`, for tables of long texts, a table with fewer splits than
-    cores is dealt out to all cores; one with enough splits - any large one -
-    is scanned as it is.
-    """
-    df = spark.read.parquet(path)
-    cores = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
+def parquet_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table, scanned as it is split."""
+    return spark.read.parquet(path)
 
 
 def _delimited(spark: SparkSession, path: str, columns, sep: str, header: bool) -> DataFrame:
