@@ -230,12 +230,13 @@ def git_url_flag(spark, sf_dir):
 
 
 PARTS = r"string_split(trim(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), '/')"
-GIT = "git AS (SELECT identifier, unnest(string_split(url, ' ')) AS url FROM paper_urls)"
-PARSED = f"""parsed AS (SELECT identifier, url, p[1] AS owner, p[2] AS repo
+GIT = ("git AS (SELECT identifier, unnest(string_split(url, ' ')) AS url, "
+       "(generate_subscripts(string_split(url, ' '), 1) - 1)::INT AS pos FROM paper_urls)")
+PARSED = f"""parsed AS (SELECT identifier, url, p[1] AS owner, p[2] AS repo, pos
   FROM (SELECT *, {PARTS} AS p FROM git WHERE contains(url, 'git')) WHERE len(p) >= 2)"""
 
 
-@check("parse_repo", duck("paper_urls", f"WITH {GIT}, {PARSED} SELECT * FROM parsed"))
+@check("parse_repo", duck("paper_urls", f"WITH {GIT}, {PARSED} SELECT * EXCLUDE (pos) FROM parsed"))
 def parse_repo(spark, sf_dir):
     exploded = mt.url_explode(urls(spark, sf_dir), "url", ["identifier"])
     return mt.parse_repo(exploded.where(F.col("url").contains("git"))).drop("pos")
@@ -247,7 +248,7 @@ def default_missing(spark, sf_dir):
     return mt.default_missing(view(spark, sf_dir, "repos"))
 
 
-ENRICH = f"""{GIT}, {PARSED}, enriched AS (SELECT identifier AS paper_identifier, url,
+ENRICH = f"""{GIT}, {PARSED}, enriched AS (SELECT identifier AS paper_identifier, pos, url,
   CASE WHEN r.repo IS NULL THEN 'Failed request' ELSE name END AS repo_name,
   CASE WHEN r.repo IS NULL THEN 'Failed request' ELSE coalesce(description, 'Not specified') END AS repo_description,
   stars, CASE WHEN r.repo IS NULL THEN 'Failed request' ELSE coalesce(language, 'Not specified') END AS language,

@@ -17,33 +17,37 @@ from corpusmill.operators import tables as tb
 from corpusmill.session import new_path
 from corpusmill.sources import readers, writers
 
-FLAT_TITLE = "replace(replace(title, chr(9), ' '), chr(34), '')"
-FLAT_TEXT = "replace(replace(replace(description, chr(10), ' '), chr(9), ' '), chr(34), '')"
+# Titles and texts with all that a quoted cell may hold: line breaks, tabs, quotes and backslashes.
+ROUGH = r"""'a "b" \alpha' || chr(9) || 'c\" ' || """
 
 
-def flat(name: str):
-    """A text without tabs, line breaks and quotes, to stand in one TSV cell."""
-    return F.translate(F.regexp_replace(name, "[\n\t]", " "), '"', "")
+def cell(value):
+    """A quoted TSV cell: quotes are doubled."""
+    return F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
 # -- sources ---------------------------------------------------------------
 
-@check("src_abstracts_tsv", duck("papers", f"""SELECT identifier, {FLAT_TITLE} AS title, {FLAT_TEXT} AS description,
+@check("src_abstracts_tsv", duck("papers", f"""SELECT identifier, title, {ROUGH} description AS description,
   CASE WHEN doc_id % 10 = 5 THEN NULL ELSE category END AS category, CASE WHEN doc_id % 10 = 5 THEN NULL ELSE link END AS link,
   CASE WHEN doc_id % 10 = 5 THEN NULL ELSE creator END AS creator, CASE WHEN doc_id % 10 = 5 THEN NULL ELSE dates END AS dates
 FROM papers WHERE doc_id % 10 <> 9"""))
 def src_abstracts_tsv(spark, sf_dir):
     # Every tenth line is short and every tenth has a field too many; the reader drops the latter.
-    rows = papers(spark, sf_dir).select("doc_id", "identifier", flat("title").alias("title"),
-                                        flat("description").alias("description"),
+    rough = F.concat(F.lit('a "b" \\alpha\tc\\" '), "description")
+    rows = papers(spark, sf_dir).select("doc_id", "identifier", cell(F.col("title")).alias("title"),
+                                        cell(rough).alias("description"),
                                         *[F.coalesce(c, F.lit("")).alias(c) for c in ("category", "link", "creator", "dates")])
     start = F.concat_ws("\t", "identifier", "title", "description")
     full = F.concat_ws("\t", start, "category", "link", "creator", "dates")
     line = F.when(F.col("doc_id") % 10 == 5, start).when(
         F.col("doc_id") % 10 == 9, F.concat(full, F.lit("\tone more"))).otherwise(full)
     path = new_path(spark, "abstracts")
-    rows.select(line.alias("\t".join(readers.ABSTRACT_COLUMNS))).write.csv(
-        path, header=True, sep="\u0001", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    # Text files with a header of their own each, as the reader expects.
+    head = "\t".join(readers.ABSTRACT_COLUMNS)
+    parts = rows.groupBy((F.col("doc_id") % 7).alias("file")).agg(F.concat(
+        F.lit(head + "\n"), F.array_join(F.collect_list(line), "\n")).alias("value"))
+    parts.write.partitionBy("file").text(path)
     return readers.abstracts_tsv(spark, path)
 
 
@@ -88,7 +92,10 @@ def sink_csv_raw_texts(spark, sf_dir):
 UNION ALL SELECT 'base_file', identifier::VARCHAR, urls FROM url_lists"""))
 def src_mode_switch(spark, sf_dir):
     lists = view(spark, sf_dir, "url_lists").select(F.col("identifier").cast("string").alias("identifier"), "urls")
-    first = writers.write_csv(lists.select("identifier", F.lit("t").alias("title"), "urls"), new_path(spark, "frame"))
+    words = F.array(F.lit("k1"), F.lit('k "2"'))
+    first = writers.write_csv(lists.select("identifier", F.lit("t\nu").alias("title"), words.alias("keywords"),
+                                           F.lit("c").alias("category"), words.alias("mentioned_software"), "urls"),
+                              new_path(spark, "frame"))
     second = new_path(spark, "base")
     lists.select(F.lit("0").alias("index"), "identifier", F.col("urls").alias("url")).write.csv(second, sep="\t", header=True)
     return readers.page_inputs(spark, first).select(F.lit("dataframe").alias("layout"), "identifier", "urls").unionByName(
@@ -190,11 +197,11 @@ def src_whole_text(spark, sf_dir):
   p_name AS repo_description, p_size AS stars, p_brand AS language FROM part"""))
 def src_table_scan(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("paper_identifier"), F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("url"),
+        F.col("p_partkey").alias("id"), F.col("p_partkey").alias("paper_identifier"), F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("url"),
         F.concat(F.lit("repo"), F.col("p_partkey").cast("string")).alias("repo_name"),
         F.col("p_name").alias("repo_description"), F.col("p_size").alias("stars"), F.col("p_brand").alias("language"))
     name = writers.replace_table(part, "software", new_path(spark, "software"))
-    return readers.table_scan(spark, name).drop("id")
+    return readers.table_scan(spark, name).drop("id", "status")
 
 
 # -- sinks -----------------------------------------------------------------

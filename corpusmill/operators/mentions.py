@@ -195,7 +195,7 @@ def default_missing(repos: DataFrame, default: str = MISSING) -> DataFrame:
 
 
 def repo_enrich(mentions: DataFrame, repos: DataFrame) -> DataFrame:
-    """(paper_identifier, url, repo_name, repo_description, stars, language, status) per git URL.
+    """(paper_identifier, pos, url, repo_name, repo_description, stars, language, status) per git URL; pos is its place.
 
     A lookup without a result still gives a row; its text fields say so and
     the number stays null. Of several entries of one repository the one with the
@@ -212,7 +212,7 @@ def repo_enrich(mentions: DataFrame, repos: DataFrame) -> DataFrame:
         return F.when(F.col("hit"), F.col(name)).otherwise(FAILED)
 
     return joined.select(
-        F.col("identifier").alias("paper_identifier"), "url", text("name").alias("repo_name"),
+        F.col("identifier").alias("paper_identifier"), "pos", "url", text("name").alias("repo_name"),
         text("description").alias("repo_description"), "stars", text("language").alias("language"),
         F.when(F.col("hit"), "ok").otherwise("failed").alias("status"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
@@ -30,27 +30,53 @@ def table_preview_widths(table: DataFrame, max_chars: int = 16) -> DataFrame:
     return table.agg(*[width(c) for c in table.columns])
 
 
-def row_ids(rows: DataFrame, *key: str, name: str = "id") -> DataFrame:
-    """Consecutive ids from 1 in key order; the key columns together should be unique.
+def _ranges(keys: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The key columns with `_place`, their number in key order from 1.
 
-    Rows are sorted into ranges, numbered inside their range as they are
+    Keys are sorted into ranges, numbered inside their range as they are
     written, and shifted by the size of the ranges before. Only the range
     sizes, one row per partition, pass through a single task.
     """
     counter = F.monotonically_increasing_id()  # partition number above bit 33, row number below
-    ranged = spool(rows.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_at", counter), "ranges")
+    ranged = spool(keys.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_at", counter), "ranges")
     numbered = ranged.withColumns({"_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND((1 << 33) - 1)})
     sizes = numbered.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     shifts = F.broadcast(sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_shift")))  # a row per partition
-    return numbered.join(shifts, "_range").select(
-        (F.col("_place") + F.col("_shift") + 1).cast("bigint").alias(name), *rows.columns)
+    return numbered.join(shifts, "_range").withColumn("_place", F.col("_place") + F.col("_shift") + 1).drop("_at", "_range", "_shift")
+
+
+def row_ids(rows: DataFrame, *key: str, name: str = "id") -> DataFrame:
+    """Consecutive ids from 1 in key order.
+
+    Rows of one key are told apart by a hash of the whole row and its place in
+    the input, so that they fill several ranges if there are many.
+    """
+    spread = rows.withColumns({"_hash": F.xxhash64(*rows.columns), "_input": F.monotonically_increasing_id()})
+    return _ranges(spread, [*key, "_hash", "_input"]).select(F.col("_place").cast("bigint").alias(name), *rows.columns)
 
 
-def skip_take(rows: DataFrame, key: str, skip: int = 0, take: int | None = None) -> DataFrame:
-    """Rows after the first `skip` in key order, at most `take`."""
-    numbered = row_ids(rows, key, name="_id").where(F.col("_id") > skip)
-    return (numbered if take is None else numbered.where(F.col("_id") <= skip + take)).drop("_id")
+def skip_take(rows: DataFrame, key: str | Sequence[str], skip: int = 0, take: int | None = None) -> DataFrame:
+    """Rows after the first `skip` in key order, at most `take`; the key must be unique.
+
+    Only the keys are numbered; the rows are then filtered by the two border keys.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    if take is not None and take <= 0:
+        return rows.where(F.lit(False))
+    places = _ranges(rows.select(*key), key)
+    last = None if take is None else skip + take
+    borders = {r["_place"]: tuple(r[k] for k in key) for r in places.where(
+        F.col("_place").isin([skip + 1, *([last] if last else [])])).select("_place", *key).collect()}
+    if skip + 1 not in borders:
+        return rows.where(F.lit(False))
+
+    def border(values: tuple) -> Column:
+        return F.struct(*[F.lit(v).cast(rows.schema[k].dataType).alias(k) for k, v in zip(key, values)])
+
+    here = F.struct(*key)
+    kept = rows.where(here >= border(borders[skip + 1]))
+    return kept.where(here <= border(borders[last])) if last in borders else kept
 
 
 def limit_rows(rows: DataFrame, key: str, n: int) -> DataFrame:

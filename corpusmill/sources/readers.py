@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ABSTRACT_COLUMNS = ("identifier", "title", "description", "category", "link", "creator", "dates")
@@ -15,45 +15,58 @@ def parquet_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _delimited(spark: SparkSession, path: str, columns, sep: str, header: bool) -> DataFrame:
+def _delimited(spark: SparkSession, path: str, columns, sep: str, header: bool, line_breaks: bool = False) -> DataFrame:
     """Lines with too many fields dropped, short ones padded with null; empty cells are null.
 
+    Quotes within a quoted cell are doubled and a backslash is a letter like
+    any other. With `line_breaks` a quoted cell may hold line breaks; a file is
+    then read by one task, so it is off for layouts that have none.
+
     The parser hands over every line whose field count is off; of these the
     ones with too many separators outside quotes go. It must see all columns
     for that, so column pruning inside the parser is off.
     """
     schema = ", ".join(f"`{c}` STRING" for c in [*columns, "_odd"])
     rows = (spark.read.schema(schema).option("columnNameOfCorruptRecord", "_odd").option("columnPruning", False)
-            .csv(path, sep=sep, header=header, enforceSchema=True))
+            .csv(path, sep=sep, header=header, enforceSchema=True, quote='"', escape='"', multiLine=line_breaks))
     separators = F.regexp_count(F.regexp_replace("_odd", '"[^"]*"', ""), F.lit(sep))
     too_long = F.coalesce(separators >= len(columns), F.lit(False))
     # Spark reads the odd lines only beside a data column, hence the condition that is always met.
     return rows.where(~too_long & (F.coalesce(F.length(columns[0]), F.lit(0)) >= 0))
 
 
-def abstracts_tsv(spark: SparkSession, path: str, columns=ABSTRACT_COLUMNS) -> DataFrame:
-    """Paper metadata with a header line; empty cells are null."""
-    rows = _delimited(spark, path, columns, "\t", True)
-    return rows.select(*columns)
+def file_order() -> Column:
+    """Sorts rows as they stand in their files, files by name; only for use right on a scan."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row"))
+
 
+def abstracts_tsv(spark: SparkSession, path: str, columns=ABSTRACT_COLUMNS, line_breaks: bool = True,
+                  order: str | None = None) -> DataFrame:
+    """Paper metadata with a header line; empty cells are null. `order` names a column for the place in the files."""
+    rows = _delimited(spark, path, columns, "\t", True, line_breaks)
+    return rows.select(*columns, *([file_order().alias(order)] if order else []))
 
-def url_list(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
-    """(identifier, url); an empty URL cell stays an empty text."""
+
+def url_list(spark: SparkSession, path: str, header: bool = False, order: str | None = None) -> DataFrame:
+    """(identifier, url); an empty URL cell stays an empty text. `order` names a column for the place in the files."""
     rows = _delimited(spark, path, ("identifier", "url"), "\t", header)
-    return rows.select("identifier", F.coalesce("url", F.lit("")).alias("url"))
+    return rows.select("identifier", F.coalesce("url", F.lit("")).alias("url"),
+                       *([file_order().alias(order)] if order else []))
 
 
-def csv_dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Comma CSV with a header; quoted cells may hold line breaks."""
+def csv_dataset(spark: SparkSession, path: str, schema: str, line_breaks: bool = True) -> DataFrame:
+    """Comma CSV with a header; with `line_breaks` quoted cells may hold some, and a file is read by one task."""
     return (spark.read.schema(schema)
-            .csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=True))
+            .csv(path, header=True, multiLine=line_breaks, quote='"', escape='"', enforceSchema=True))
 
 
 def page_inputs(spark: SparkSession, path: str, layout: str = "dataframe") -> DataFrame:
-    """(identifier, urls) from either layout: a mentions CSV or a merged TSV with an index column."""
+    """(identifier, urls) from either layout: a mentions CSV, with or without an index column, or a merged TSV with one."""
     if layout == "dataframe":
-        schema = "identifier STRING, title STRING, urls STRING"
-        return csv_dataset(spark, path, schema).select("identifier", "urls")
+        # By the names in the header, wherever the columns stand.
+        rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+        return rows.select(F.col("identifier").cast("string"), F.col("urls").cast("string"))
     if layout == "base_file":
         rows = _delimited(spark, path, ("index", "identifier", "url"), "\t", True)
         return rows.select("identifier", F.col("url").alias("urls"))
@@ -75,10 +88,24 @@ def months(spark: SparkSession, folder: str, kind: str = "clean", year: str | No
                        F.regexp_extract("_metadata.file_path", kind + r"_(\d{4})", 1).alias("yymm"))
 
 
+def _month(kind: str) -> Column:
+    """`yymm` from a file name with `yymm` or `yyyy-mm` after the kind."""
+    short = F.regexp_extract("path", kind + r"_(\d{4})(?!\d|-\d)", 1)
+    year, month = (F.regexp_extract("path", kind + r"_\d\d(\d\d)-(\d\d)", i) for i in (1, 2))
+    return F.when(short != "", short).otherwise(F.concat(year, month))
+
+
 def month_files(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """(yymm, path): the file listing of one kind; file contents are not read."""
     listing = spark.read.format("binaryFile").load(month_pattern(folder, kind)).select("path")
-    return listing.withColumn("yymm", F.regexp_extract("path", kind + r"_(\d{4})", 1))
+    return listing.withColumn("yymm", _month(kind)).where("yymm != ''")
+
+
+def month_metadata(spark: SparkSession, folder: str, kind: str = "metadata", year: str | None = None) -> DataFrame:
+    """Metadata tables of all months, or of one two-digit year, with the month as `yymm`."""
+    rows = _delimited(spark, f"{folder}/*{kind}_*", ABSTRACT_COLUMNS, "\t", True, True)
+    dated = rows.select(*ABSTRACT_COLUMNS, F.col("_metadata.file_path").alias("path")).withColumn("yymm", _month(kind)).drop("path")
+    return dated if year is None else dated.where(F.col("yymm").startswith(year))
 
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:

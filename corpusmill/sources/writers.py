@@ -12,14 +12,15 @@ from pyspark.sql import types as T
 TABLES = {
     "paper_info": "id INT, paper_identifier BIGINT, paper_title STRING, paper_keywords STRING",
     "software": "id INT, url STRING, repo_name STRING, repo_description STRING, stars INT, language STRING, "
-                "paper_identifier BIGINT",
+                "paper_identifier BIGINT, status STRING",
     "operations_call": "shift_name STRING, ops_call_date DATE, attendees STRING, ops_pages STRING, ops_intro STRING, "
                        "day_shift_report STRING, hessiu_status STRING, fc_status STRING, daq_status STRING, "
                        "tracking STRING, pointing STRING, aob STRING",
 }
 NOT_NULL = {
     "paper_info": ("paper_identifier", "paper_title", "paper_keywords"),
-    "software": ("url", "repo_name", "repo_description", "stars", "language", "paper_identifier"),
+    # A failed look-up has no number of stars.
+    "software": ("url", "repo_name", "repo_description", "language", "paper_identifier"),
     "operations_call": ("shift_name", "ops_call_date"),
 }
 KEYS = {"paper_info": "id", "software": "id", "operations_call": "shift_name"}
@@ -61,13 +62,29 @@ def write_tsv_merged(rows: DataFrame, path: str) -> str:
     return path
 
 
+def _refuse(typed: DataFrame, name: str) -> None:
+    """One aggregate over the keys counts all that the table's constraints forbid."""
+    key = KEYS[name]
+    nulls = [F.sum(F.col(c).isNull().cast("bigint")).alias(f"null {c}") for c in NOT_NULL[name]]
+    per_key = typed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *nulls)
+    found = per_key.agg(F.coalesce(F.sum((F.col("_n") > 1).cast("bigint")), F.lit(0)).alias(f"repeated {key}"),
+                        *[F.coalesce(F.sum(f"`null {c}`"), F.lit(0)).alias(f"null {c}") for c in NOT_NULL[name]]).first()
+    wrong = [f"{what}: {n}" for what, n in found.asDict().items() if n]
+    if wrong:
+        raise ValueError(f"{name} refuses rows with {', '.join(wrong)}")
+
+
 def replace_table(rows: DataFrame, name: str, path: str | None = None) -> str:
-    """Drop and rebuild one of the known tables; the columns are cast to its types."""
+    """Drop and rebuild one of the known tables; the columns are cast to its types.
+
+    Nulls where the table has none and keys that repeat stop the write.
+    """
     if name not in TABLES:
         raise NameError(f"table name must be one of {', '.join(TABLES)}")
     fields = T.StructType.fromDDL(TABLES[name]).fields
     typed = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                           for f in fields])
+    _refuse(typed, name)
     writer = typed.write.mode("overwrite").format("parquet")
     (writer.option("path", path) if path else writer).saveAsTable(name)
     return name

@@ -106,3 +106,10 @@ def test_usage_counts_carry_flags(spark):
     counts = {(task, label): n for _, task, label, n in got}
     assert counts[("nli", "Entail")] == 2 and counts[("common_reason", "Cause-effect")] == 2
     assert {("summarize", ""), ("text_completion", "")} <= set(counts)
+
+
+def test_null_texts_give_no_training_row(spark):
+    from corpusmill.operators import comprehension as rc
+    texts = spark.createDataFrame([(1, None), (2, "Title\nOne sentence. Two.")], "text_id long, text string")
+    assert [r["text_id"] for r in rc.reading_comprehension(texts, "dom").collect()] == [2]
+    assert [r["text_id"] for r in rc.sentences(texts).collect()] == [2, 2]

@@ -58,8 +58,8 @@ def test_failed_lookups_stay_as_rows(spark):
                                   "owner string, repo string, name string, description string, stars int, language string")
     got = rows(mt.repo_enrich(mentions, repos))
     assert got == [
-        (1, "https://github.x/o/none", "Failed request", "Failed request", None, "Failed request", "failed"),
-        (1, "https://github.x/o/r", "r", "Not specified", 3, "Not specified", "ok")]
+        (1, 0, "https://github.x/o/r", "r", "Not specified", 3, "Not specified", "ok"),
+        (1, 1, "https://github.x/o/none", "Failed request", "Failed request", None, "Failed request", "failed")]
 
 
 def test_last_url_wins_and_a_miss_names_the_title(spark):
