@@ -42,7 +42,7 @@ FOLDS = 5
 ROUNDS = 150
 #: Weight of the absolute sum of the weights in the fit.
 SPARSITY = 2e-4
-LIMIT = 0.3
+LIMIT = 0.4
 
 _WORD = re.compile(r"[^\W\d_]+")
 
