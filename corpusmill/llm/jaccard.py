@@ -136,22 +136,24 @@ def boundary(sizes: dict[int, int], list_length: float, threshold: tuple[int, in
 
 
 def join_keys(found: np.ndarray, levels: np.ndarray, heavy_from: int,
-              threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
-    """Keys under which a sorted set of hashes is joined."""
+              threshold: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which a sorted set of hashes is joined, and the place of each in the order, 0 for a subset."""
     n = len(found)
     need = int(least_common(n, threshold))
     take = min(n, n - need + SUBSET)
     order = levels[(found % np.uint64(CLASSES)).astype(np.int64)]
     first = found[np.lexsort((found, order))[:take]] if n > take else found[np.lexsort((found, order))]
-    keys = []
+    keys, places = [found[:0]], [np.zeros(0, dtype=np.int32)]
     if n < heavy_from and len(first) >= SUBSET:
         i, j = np.triu_indices(len(first), 1)
         a, b = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
         with np.errstate(over="ignore"):
             keys.append(mixed(a * np.uint64(3) + mixed(b)))
+        places.append(np.zeros(len(i), dtype=np.int32))
     if n >= least_common(heavy_from, threshold):
         keys.append(first[:n - need + 1])
-    return np.concatenate(keys) if keys else found[:0]
+        places.append(np.arange(1, len(keys[-1]) + 1, dtype=np.int32))
+    return np.concatenate(keys), np.concatenate(places)
 
 
 def _postings(levels, heavy_from: int, width: int, threshold: tuple[int, int]):
@@ -160,11 +162,13 @@ def _postings(levels, heavy_from: int, width: int, threshold: tuple[int, int]):
         for batch in batches:
             keys = [join_keys(shingles(known.of((t or b"").lower().split()), width), levels.value, heavy_from, threshold)
                     for t in binary(batch.column("text"))]
-            rids = np.repeat(batch.column("rid").to_numpy(), [len(k) for k in keys])
-            flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
+            rids = np.repeat(batch.column("rid").to_numpy(), [len(k) for k, _ in keys])
+            flat = np.concatenate([k for k, _ in keys]) if keys else np.zeros(0, dtype=np.uint64)
+            places = np.concatenate([p for _, p in keys]) if keys else np.zeros(0, dtype=np.int32)
             for at in range(0, len(flat), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(flat[at:at + (1 << 18)].view(np.int64)),
-                                                  pa.array(rids[at:at + (1 << 18)])], names=["key", "rid"])
+                                                  pa.array(rids[at:at + (1 << 18)]), pa.array(places[at:at + (1 << 18)])],
+                                                 names=["key", "rid", "at"])
     return run
 
 
@@ -190,15 +194,27 @@ def _similar(width: int, threshold: tuple[int, int]):
     return run
 
 
-def _sizes_match(a: Column, b: Column, threshold: tuple[int, int]) -> Column:
+def _may_match(x: str, y: str, threshold: tuple[int, int]) -> Column:
+    """Whether the sizes allow a link, and this key can be the first common one of a linked pair.
+
+    Before its first common element a set has only elements that the other one
+    lacks, of which there are at most its size less the common elements needed.
+    """
     up, down = threshold
-    return F.least(a, b) * down >= F.greatest(a, b) * up
+    a, b = F.col(f"{x}n"), F.col(f"{y}n")
+    common = F.ceil((a + b) * F.lit(up) / F.lit(up + down))
+
+    def first(n: Column, at: Column) -> Column:
+        return at <= n - common + 1
+
+    return ((F.least(a, b) * down >= F.greatest(a, b) * up)
+            & first(a, F.col(f"{x}at")) & first(b, F.col(f"{y}at")))
 
 
 def _open_lists(lists: DataFrame, merged: DataFrame) -> tuple[DataFrame, int, int]:
     """(entries of lists with several components, pairs across components in them, entries in them)."""
     placed = lists.join(merged.withColumnRenamed("id", "cid"), "cid", "left").select(
-        "key", "cid", "n", F.coalesce("component", "cid").alias("component"))
+        "key", "cid", "n", "at", F.coalesce("component", "cid").alias("component"))
     per_list = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(
         F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count(F.lit(1)).alias("parts"))
     wanted = spool(per_list.where("parts > 1").select("key", "all", "squares"), "openkeys")
@@ -209,10 +225,10 @@ def _open_lists(lists: DataFrame, merged: DataFrame) -> tuple[DataFrame, int, in
 
 def _star_pairs(open_: DataFrame, turn: int, threshold: tuple[int, int]) -> DataFrame:
     """(a, b): the members of each list with one drawn for this list and turn, where not yet in its component."""
-    drawn = F.min(F.struct(F.xxhash64("cid", "key", F.lit(turn)).alias("lot"), "cid", "n", "component")).alias("head")
+    drawn = F.min(F.struct(F.xxhash64("cid", "key", F.lit(turn)).alias("lot"), "cid", "n", "at", "component")).alias("head")
     heads = spool(open_.groupBy("key").agg(drawn), "heads")
     met = open_.join(heads, "key").where(F.col("component") != F.col("head.component")).where(
-        _sizes_match(F.col("n"), F.col("head.n"), threshold))
+        _may_match("", "head.", threshold))
     return met.select(F.least("cid", "head.cid").alias("a"), F.greatest("cid", "head.cid").alias("b")).distinct()
 
 
@@ -233,13 +249,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = spool(sets.join(classes, "digest").select("rid", "cid", F.col("n_shingles").alias("n")), "members")
 
     shared_levels = spark.sparkContext.broadcast(levels)  # 1 MB
-    postings = texts.mapInArrow(_postings(shared_levels, heavy_from, width, threshold), "key long, rid long")
+    postings = texts.mapInArrow(_postings(shared_levels, heavy_from, width, threshold), "key long, rid long, at int")
     common = spool(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
-    held = postings.join(common, "key").join(members, "rid").select("key", "cid", "n").distinct()
+    held = postings.join(common, "key").join(members, "rid").select("key", "cid", "n", "at").distinct()
     lists = spool(held, "lists")
-    heads = lists.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("head"), F.max("cid").alias("last"))
+    heads = lists.groupBy("key").agg(F.min(F.struct("cid", "n", "at")).alias("head"), F.max("cid").alias("last"))
     heads = spool(heads.where("head.cid != last").select("key", "head"), "heads")
-    lists = spool(lists.join(heads, "key").select("key", "cid", "n", "head"), "lists")
+    lists = spool(lists.join(heads, "key").select("key", "cid", "n", "at", "head"), "lists")
 
     needed = lists.select(F.col("cid").alias("rid")).distinct()
     read = spool(texts.join(needed, "rid").select(F.col("rid").alias("cid"), "text"), "texts")
@@ -251,7 +267,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return spool(both.mapInArrow(_similar(width, threshold), "a long, b long"), "links")
 
     tried = spool(lists.where(F.col("cid") != F.col("head.cid"))
-                  .where(_sizes_match(F.col("n"), F.col("head.n"), threshold))
+                  .where(_may_match("", "head.", threshold))
                   .select(F.col("head.cid").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
     links = verified(tried)
     merged = components(links)
@@ -269,7 +285,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         merged = components(links)
     x, y = open_.alias("x"), open_.alias("y")
     rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-                   & _sizes_match(F.col("x.n"), F.col("y.n"), threshold))
+                   & _may_match("x.", "y.", threshold))
             .select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct())
     more = verified(rest.join(tried, ["a", "b"], "left_anti"))
     merged = components(links.union(more))
