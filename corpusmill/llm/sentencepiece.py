@@ -35,7 +35,10 @@ BLANK = "▁"
 HELD = "\udc81"
 #: Below the worst score, for a character that is no piece.
 UNKNOWN = 10.0
-REMEMBERED = 400_000
+MARKS = ".,!%$&#*|?;:"
+_LETTER = re.compile(r"[^\W\d_]")
+#: Words that a task remembers, twice: the last ones, and those before them.
+REMEMBERED = 300_000
 #: Kinds of pieces in a model file.
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 RESULTS = ("ids", "score")
@@ -98,45 +101,45 @@ class Automaton:
                 state = self.go[state][c]
             self.piece[state] = (number, len(text), score)
         self.fail = [0] * len(self.go)
-        self.out = [0] * len(self.go)  # the nearest shorter ending that is a piece
+        out = [0] * len(self.go)  # the nearest shorter ending that is a piece
         queue = deque(self.go[0].values())
+        order = []
         while queue:
             state = queue.popleft()
+            order.append(state)
             for c, child in self.go[state].items():
                 back = self.fail[state]
                 while back and c not in self.go[back]:
                     back = self.fail[back]
-                target = self.go[back].get(c, 0)
-                self.fail[child] = target if target != child else 0
-                self.out[child] = self.fail[child] if self.piece[self.fail[child]] else self.out[self.fail[child]]
+                self.fail[child] = self.go[back].get(c, 0)
                 queue.append(child)
+        #: All pieces that end in a state, the longest first: its own, then those along the output links.
+        self.ends: list[tuple[tuple[int, int, float], ...]] = [()] * len(self.go)
+        for state in order:
+            out[state] = self.fail[state] if self.piece[self.fail[state]] else out[self.fail[state]]
+            own = (self.piece[state],) if self.piece[state] else ()
+            self.ends[state] = own + self.ends[out[state]]
 
     def viterbi(self, text: str, unknown: float) -> tuple[float, list[tuple[int, str]]]:
         """(score, [(id or -1, characters)]) of the best sequence; of equals the one whose last pieces are longest."""
-        go, fail, out, piece = self.go, self.fail, self.out, self.piece
-        best = [0.0] * (len(text) + 1)
-        last: list[tuple[int, int]] = [(-1, 0)] * (len(text) + 1)
-        state = 0
-        for end, c in enumerate(text, 1):
-            while state and c not in go[state]:
+        go, fail, ends = self.go, self.fail, self.ends
+        best, last, state = [0.0], [(-1, 0)], 0
+        for c in text:
+            step = go[state].get(c)
+            while step is None and state:
                 state = fail[state]
-            state = go[state].get(c, 0)
-            top, by = None, (-1, 1)
-            at = state if piece[state] else out[state]
-            single = False
-            while at:
-                number, length, score = piece[at]
-                total = best[end - length] + score
-                if top is None or total > top:
-                    top, by = total, (number, length)
-                single = length == 1
-                at = out[at]
-            if not single and (top is None or best[end - 1] + unknown > top):
-                top, by = best[end - 1] + unknown, (-1, 1)
-            best[end], last[end] = top, by
+                step = go[state].get(c)
+            state = step or 0
+            top, by = best[-1] + unknown, (-1, 1)
+            for piece in ends[state]:
+                total = best[-piece[1]] + piece[2]
+                if total > top or by[0] < 0 and total == top:
+                    top, by = total, piece
+            best.append(top)
+            last.append(by)
         found, at = [], len(text)
         while at:
-            number, length = last[at]
+            number, length = last[at][:2]
             found.append((number, text[at - length:at]))
             at -= length
         return best[-1], found[::-1]
@@ -152,19 +155,28 @@ class Model:
         self.unknown = min((s for _, _, s in normal), default=0.0) - UNKNOWN
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         inside = any(BLANK in p.lstrip(BLANK) for p, _, _ in normal)
-        # Where a piece crosses from a word to the next, texts are read whole.
-        self.parts = re.compile("(?s).+" if inside else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        # Where a piece crosses from a word to the next, texts are read whole. A line break in no piece stands alone.
+        alone = "" if any("\n" in p for p, _, _ in normal) else "\n"
+        # Marks that no piece holds after a letter: a word and the mark after it are separate parts.
+        joined = {b for p, _, _ in normal for a, b in zip(p, p[1:]) if _LETTER.match(a)}
+        marks = "".join(re.escape(m) for m in MARKS if m not in joined)
+        word = f"{BLANK}*+{_LETTER.pattern}++(?=[{marks}])|" if marks else ""
+        self.parts = re.compile("(?s).+" if inside else f"{word}{BLANK}*[^{BLANK}{alone}]+|{BLANK}+|\n")
         self.known: dict[str, tuple[bytes, float]] = {}
+        self.older: dict[str, tuple[bytes, float]] = {}
         self.strings = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(BLANK, " ").encode() if kind in (NORMAL, USER_DEFINED) else b""
                         for p, _, kind in self.pieces]
 
     def _part(self, part: str) -> tuple[bytes, float]:
+        if len(self.known) >= REMEMBERED:
+            self.older, self.known = self.known, {}
+        if part in self.older:
+            result = self.known[part] = self.older[part]
+            return result
         score, found = self.automaton.viterbi(part, self.unknown)
         ids: list[int] = []
         for number, characters in found:
             ids += [number] if number >= 0 else [self.bytes[b] for b in characters.replace(HELD, BLANK).encode("utf-8")]
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
         result = self.known[part] = (np.array(ids, dtype="<i4").tobytes(), score)
         return result
 
