@@ -322,7 +322,7 @@ def test_held_out_toxicity():
     chain = train(sets[:2000], labels[:2000], ["en", "de", "fr", "es", "toxic"])
     found = np.array([max(chain.probabilities(features(s))) >= LIMIT for s in sets[2000:]])
     truth = labels[2000:, -1] == 1
-    assert found[truth].mean() > 0.8 and found[~truth].mean() < 0.01
+    assert found[truth].mean() > 0.8 and found[~truth].mean() < 0.03
 
 
 def test_held_out_grades(spark):
