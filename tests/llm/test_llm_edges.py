@@ -27,6 +27,11 @@ SCHEMA = "doc_id long, text string, lang string"
 CLASH = ["row", "rid", "id", "kept", "shard", "slot", "n_words", "ids", "is_toxic", "component_id", "licenses", "_text", "words"]
 
 
+@pytest.fixture(autouse=True, scope="module")
+def _prepared(spark):
+    prepare(spark)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     prepare(spark)

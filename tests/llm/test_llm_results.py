@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusmill.llm import jaccard, sharding, substrings
+from corpusmill.llm.common import prepare
 from corpusmill.llm.graph import components
 from corpusmill.llm.licenses import license_scan
 from corpusmill.llm.neighbours import tile_neighbours
@@ -28,6 +29,11 @@ from corpusmill.llm.toxicity import LIMIT, features, train, words_of
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True, scope="module")
+def _prepared(spark):
+    prepare(spark)
+
+
 @pytest.fixture(scope="module")
 def texts():
     return pd.read_parquet(f"{SF}/documents.parquet")
