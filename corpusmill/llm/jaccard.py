@@ -245,7 +245,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = {r[0]: r[1] for r in sets.groupBy("n_shingles").count().toLocalIterator()}
     heavy_from = boundary(sizes, list_length, threshold)
 
-    classes = sets.groupBy("digest").agg(F.min("rid").alias("cid"), F.count(F.lit(1)).alias("copies"))
+    # Written out, so that the join's sides are plain and a large class of copies can be split.
+    classes = spool(sets.groupBy("digest").agg(F.min("rid").alias("cid")), "sets")
     members = spool(sets.join(classes, "digest").select("rid", "cid", F.col("n_shingles").alias("n")), "members")
 
     shared_levels = spark.sparkContext.broadcast(levels)  # 1 MB
