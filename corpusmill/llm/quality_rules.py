@@ -20,8 +20,10 @@ from corpusmill.session import spool
 
 MIN_WORDS = 50
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) of a clean document: a fixed part and one over the root of its words.
-MAX_CHAR_DISTANCE = (0.14, 1.2)
+MAX_CHAR_DISTANCE = (0.13, 1.2)
 MAX_WORD_DISTANCE = (0.10, 1.8)
+#: The same from the words of all languages together, from which a clean text of one language is far.
+MAX_WORD_DISTANCE_OTHER = (0.33, 0.8)
 
 # Common words of each language.
 COMMON_WORDS = {
@@ -30,15 +32,22 @@ COMMON_WORDS = {
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une"),
     "es": ("de", "la", "que", "el", "en", "y", "los", "se", "las", "del"),
 }
-#: Other languages: only the character histogram says something.
+#: A null or unknown language: held against all documents, by the common words of all languages.
 OTHER = "other"
+LISTED = tuple(sorted({w for common in COMMON_WORDS.values() for w in common}))
 
 SYMBOLS = "[#*$%&|<>]"
-#: Character classes; the last one of the histogram is every other character of a word.
-UPPER = r"\p{Lu}"
-MARKS = ("!", ".", ",")
-N_CLASSES = 3 + len(MARKS)
-N_COMMON = 1 + max(map(len, COMMON_WORDS.values()))
+#: What most texts mostly consist of; the characters of all classes below are outside.
+PLAIN = r"[a-z\x20\x09-\x0D]+"
+#: Character classes of words, disjoint: letters, marks, numbers, kinds of punctuation, symbols, controls and the like. The last
+#: one of the histogram is every other character of a word, that is small Latin letters.
+CLASSES = (
+    r"[\p{Lu}&&\p{IsLatin}]", r"[\p{L}&&[^\p{Lu}\p{Ll}]]|[\p{Lu}\p{Ll}&&[^\p{IsLatin}]]", r"\p{M}", r"\p{N}",
+    "!", r"\.", ",", r"\?", ";", ":", r"""['"\p{Pi}\p{Pf}]""", r"\p{Pd}", r"[\p{Ps}\p{Pe}]", r"\p{Pc}",
+    r"""[\p{Po}&&[^!.,?;:'"]]""", r"\p{Sc}", r"\p{Sm}", r"\p{Sk}", r"\p{So}", r"[\p{Z}\p{C}&&[^\x20\x09-\x0D]]",
+)
+N_CLASSES = len(CLASSES) + 1
+N_COMMON = len(LISTED) + 1
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RESULTS = (*COUNTS, "base_failed", "char_distance", "word_distance", "kept")
 
@@ -87,34 +96,44 @@ def _counted(docs: DataFrame, text: str, lang: str) -> DataFrame:
     base = base.withColumns({
         "word": F.array_remove(F.split("text", f"[{BLANK}]+", -1), ""),
         "lines": F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"[^{BLANK}]")),
+        "special": F.regexp_replace("text", PLAIN, ""),
     })
-    listed = sorted({w for common in COMMON_WORDS.values() for w in common})
     base = base.withColumns({
         "n_words": F.size("word").cast("bigint"),
         "word_chars": F.length(F.array_join("word", "")).cast("bigint"),
-        "n_symbols": _without(F.col("text"), SYMBOLS),
+        "n_symbols": _without(F.col("special"), SYMBOLS),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"),
         "n_repeat_words": repeated_words(F.col("word")),
-        "upper": _without(F.col("text"), UPPER),
-        "marks": F.array(*[F.length("text") - F.length(F.replace("text", F.lit(c), F.lit(""))) for c in MARKS]),
-        "found": F.filter("word", lambda x: x.isin(*listed)),
+        "marks": F.array(*[_without(F.col("special"), c) for c in CLASSES]),
+        "found": F.filter("word", lambda x: x.isin(*LISTED)),
     })
-    special = F.aggregate("marks", F.lit(0), lambda a, x: a + x) + F.col("upper") + F.col("n_symbols")
-    common = F.lit(None).cast("array<bigint>")
-    for language, own in COMMON_WORDS.items():
-        each = [F.size("found") - F.size(F.array_remove("found", w)) for w in own]
-        rest = F.col("n_words") - sum(each[1:], each[0])
-        common = F.when(F.col("language") == language, F.array(*[e.cast("bigint") for e in (*each, rest)])).otherwise(common)
-    return base.select("row", "language", *COUNTS, common.alias("common"), F.concat(
-        F.array("upper", "n_symbols"), F.col("marks").cast("array<bigint>"),
-        F.array(F.greatest(F.col("word_chars") - special, F.lit(0)).cast("bigint"))).alias("chars"))
+    plain = F.greatest(F.col("word_chars") - F.aggregate("marks", F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0).cast("bigint"))
+    each = [(F.size("found") - F.size(F.array_remove("found", w))).cast("bigint") for w in LISTED]
+    return base.select("row", "language", *COUNTS, F.array(*each, F.col("n_words") - F.size("found")).alias("common"),
+                       F.concat("marks", F.array(plain)).alias("chars"))
+
+
+def _own(language: Column, common: Column) -> Column:
+    """The histogram of the language's common words and all the rest; the whole one for a null or unknown language."""
+    out = common
+    for name, words in COMMON_WORDS.items():
+        at = [k for k, w in enumerate(LISTED) if w in words]
+        others = [F.get(common, F.lit(k)) for k in range(N_COMMON) if k not in at]
+        out = F.when(language == name, F.array(*[F.get(common, F.lit(k)) for k in at], sum(others[1:], others[0]))).otherwise(out)
+    return out
 
 
 def _references(counted: DataFrame) -> DataFrame:
-    """(language, ref_chars, ref_common): summed histograms over all documents long enough, at most five rows."""
+    """(language, ref_chars, ref_common): summed histograms over all documents long enough, at most five rows.
+
+    That of a null or unknown language is the sum over all languages.
+    """
+    names = [f"{name}{i}" for name, n in (("chars", N_CLASSES), ("common", N_COMMON)) for i in range(n)]
     sums = [F.sum(F.get(name, F.lit(i))).alias(f"{name}{i}")
             for name, n in (("chars", N_CLASSES), ("common", N_COMMON)) for i in range(n)]
-    return counted.where(F.col("n_words") >= MIN_WORDS).groupBy("language").agg(*sums).select(
+    each = counted.where(F.col("n_words") >= MIN_WORDS).groupBy("language").agg(*sums)
+    both = each.withColumn("language", F.explode(F.array_distinct(F.array("language", F.lit(OTHER)))))
+    return both.groupBy("language").agg(*[F.sum(n).alias(n) for n in names]).select(
         "language", F.array(*[f"chars{i}" for i in range(N_CLASSES)]).alias("ref_chars"),
         F.array(*[f"common{i}" for i in range(N_COMMON)]).alias("ref_common"))
 
@@ -153,10 +172,11 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> Da
     counted = spool(_counted(docs, text, lang), "quality")
     rows = counted.join(F.broadcast(_references(counted)), "language", "left").withColumns({
         "char_distance": distance(F.col("chars"), F.col("ref_chars")),
-        "word_distance": distance(F.col("common"), F.col("ref_common")),
+        "word_distance": distance(_own(F.col("language"), F.col("common")), _own(F.col("language"), F.col("ref_common"))),
     })
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far = ((F.coalesce("char_distance", F.lit(0.0)) > _most(*MAX_CHAR_DISTANCE))
-           | (F.coalesce("word_distance", F.lit(0.0)) > _most(*MAX_WORD_DISTANCE)))
+           | (F.coalesce("word_distance", F.lit(0.0)) > F.when(F.col("language") == OTHER, _most(*MAX_WORD_DISTANCE_OTHER))
+              .otherwise(_most(*MAX_WORD_DISTANCE))))
     rows = rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~far)
     return unpacked(rows, docs.columns, *RESULTS)
