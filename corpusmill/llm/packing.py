@@ -51,6 +51,15 @@ Filling = tuple[tuple[int, int], ...]
 Plan = list[tuple[Filling, int]]
 
 
+def _words(text: bytes) -> list[bytes]:
+    """Words of a text, lower-cased to share what is known of them where the tokenizer's composing of marks is not touched."""
+    if b"<|" in text:
+        return text.split()
+    if text.isascii():
+        return text.lower().split()
+    return [w.lower() if w.isascii() else w for w in text.split()]
+
+
 class WordIds:
     """Ids of texts, word by word: the tokenizer drops blanks and never looks across them."""
 
@@ -62,7 +71,7 @@ class WordIds:
 
     def of(self, texts: Sequence[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        split = [_words(t) for t in texts]
         needed = set().union(*split)
         if len(self.known) > REMEMBERED:
             self.known = {w: self.known[w] for w in needed.intersection(self.known)}
