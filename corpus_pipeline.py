@@ -51,7 +51,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of 2048 tokens."""
     prepare(spark)
-    return pack(docs.select("doc_id", "text"), with_ids=False)
+    pieces = pack(docs.select("doc_id", "text"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 STAGES = [("quality rules", keep_good), ("toxicity", keep_harmless), ("n-gram Jaccard join", keep_first),

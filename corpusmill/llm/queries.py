@@ -54,16 +54,16 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+    packed = pack(table(spark, sf_dir, "documents"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 @query
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    light = docs.select("doc_id", text_size(F.col("text")).alias("size"), F.crc32("text").alias("text_crc32"),
-                        F.xxhash64("text").alias("text_hash"))
-    sharded = shard_by_bytes(light, 24, F.col("text_hash"), F.col("doc_id"), F.col("size"))
-    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+    sharded = shard_by_bytes(docs, 24, F.xxhash64("text"), F.col("doc_id"), text_size(F.col("text")))
+    return sharded.select("doc_id", text_size(F.col("text")).alias("size"), F.crc32("text").alias("text_crc32"),
+                          F.lit("bytes").alias("law"), "shard", "slot",
                           F.lit(None).cast("int").alias("grown_shard"))
 
 
