@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import prepare
+from corpusmill.llm.fim import SQL as FIM_SQL
+from corpusmill.llm.fim import fill_in_middle, restored
 from corpusmill.llm.grades import fitted_grades, grade
 from corpusmill.llm.jaccard import jaccard_join
 from corpusmill.llm.licenses import SQL as LICENSE_SQL
@@ -105,4 +107,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.round("word_distance", 9).alias("word_distance"))
 
 
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+ORACLES["op11_fill_in_middle"] = FIM_SQL
 ORACLES["op7_license_scan"] = LICENSE_SQL
