@@ -11,6 +11,7 @@ from corpusmill.llm.common import prepare
 from corpusmill.llm.fim import SQL as FIM_SQL
 from corpusmill.llm.fim import fill_in_middle, restored
 from corpusmill.llm.grades import fitted_grades, grade
+from corpusmill.llm.hmm import lm_scores
 from corpusmill.llm.jaccard import jaccard_join
 from corpusmill.llm.licenses import SQL as LICENSE_SQL
 from corpusmill.llm.licenses import license_scan
@@ -114,5 +115,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+@query
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 ORACLES["op11_fill_in_middle"] = FIM_SQL
 ORACLES["op7_license_scan"] = LICENSE_SQL
