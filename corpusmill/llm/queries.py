@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.collocations import SQL as COLLOCATION_SQL
+from corpusmill.llm.collocations import collocations
 from corpusmill.llm.common import prepare
 from corpusmill.llm.fim import SQL as FIM_SQL
 from corpusmill.llm.fim import fill_in_middle, restored
@@ -115,10 +117,16 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 @query
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+ORACLES["op12_phrase_collocations"] = COLLOCATION_SQL
 ORACLES["op11_fill_in_middle"] = FIM_SQL
 ORACLES["op7_license_scan"] = LICENSE_SQL
