@@ -49,7 +49,7 @@ STATES, ROUNDS = 8, 4
 #: Tokens of the overall distribution mixed into each state's emissions, transitions added to each pair of states.
 MIXED, ADDED = 200.0, 1.0
 #: Tokens of a block, and of the blocks that are worked on together.
-BLOCK, GROUP = 2_048, 400_000
+BLOCK, GROUP = 2_048, 1_000_000
 #: Bytes of words that a task counts before it passes the counts on.
 COUNTED_BYTES = 32 << 20
 
@@ -340,7 +340,7 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int = GROUP) -> Iterator[tup
 def _expected(shared):
     """Rows (symbol, counts of each state); transitions from state s are row -2 - s, starts row -1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model = Model(*shared.value)
         symbols, states = model.emit.shape
         found = Expected.none(symbols, states)
         for _, texts in _texts(batches):
@@ -360,7 +360,7 @@ def train(encoded: DataFrame, tokens: np.ndarray, states: int = STATES, rounds:
     names = [f"s{s}" for s in range(states)]
     schema = "symbol int, " + ", ".join(f"{x} double" for x in names)
     for _ in range(rounds):
-        shared = context.broadcast(model)  # bounded: symbols x states
+        shared = context.broadcast((model.start, model.move, model.emit))  # bounded: symbols x states
         sums = encoded.mapInArrow(_expected(shared), schema).groupBy("symbol").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
         shared.unpersist()
         rows = sums.column("symbol").to_numpy()
@@ -382,7 +382,8 @@ def _scored(shared):
     A word that is not common adds its own count's logarithm to both scores later; what its class divides that by is known here.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, base, known, leaves = shared.value
+        *tables, base, known, leaves = shared.value
+        model = Model(*tables)
         for held, texts in _texts(batches):
             scores = log_probabilities(model, texts) / np.log(10) - np.array([leaves[t].sum() for t in texts])
             bases = [float(base[t].sum()) for t in texts]
@@ -420,15 +421,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     n_words, n_distinct = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total = n_words + n_texts
     least = total + 0.5 * (n_distinct + (n_texts > 0) + 1)
-    top = known.where(F.length("word") <= LONGEST).orderBy(F.col("n").desc(), "word").limit(common).collect()  # bounded
+    # Common words are those above a number of times that not more than `common` words reach; the numbers of times are
+    # told apart by sixteenths of their binary order, so that what comes here to find the bound is a few hundred rows.
+    order = F.floor(F.log2("n") * 16)
+    short = known.where(F.length("word") <= LONGEST)
+    bound, n_above = None, 0
+    for level, n_words_there in short.groupBy(order.alias("order")).agg(F.count(F.lit(1))).orderBy(F.col("order").desc()).collect():
+        n_above += n_words_there
+        if n_above > common:
+            break
+        bound = level
+    is_common = (F.length("word") <= LONGEST) & (order >= F.lit(bound)) if bound is not None else F.lit(False)
+    top = known.where(is_common).select("word", "n").collect()  # no more than `common`
     numbers = {bytes(r["word"]): i + 1 for i, r in enumerate(top)}
 
     # The rest of the words, by class: a bounded table of sums.
-    rest = known
-    if top:
-        last = F.lit(bytes(top[-1]["word"]))
-        is_common = (F.length("word") <= LONGEST) & ((F.col("n") > top[-1]["n"]) | ((F.col("n") == top[-1]["n"]) & (F.col("word") <= last)))
-        rest = known.where(~is_common)
+    rest = known.where(~is_common)
     tokens, leaves = np.zeros(1 + len(top) + CLASSES), np.zeros(1 + len(top) + CLASSES)
     tokens[0] = n_texts
     tokens[1:len(top) + 1] = [r["n"] for r in top]
@@ -448,7 +456,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # A common word is known, and its base score is that of its symbol; a class symbol adds nothing yet.
     named = np.arange(len(tokens)) <= len(top)
     base = np.where(named, np.log10((tokens + 0.5) / least), 0.0)
-    shared = context.broadcast((model, base, named & (tokens > 0), leaves))
+    shared = context.broadcast((model.start, model.move, model.emit, base, named & (tokens > 0), leaves))
     scored = encoded.select("row", "held_out", "rid", "n_tokens", "symbols")
     scored = scored.mapInArrow(_scored(shared), fields(scored.drop("symbols"), "known long, base double, hidden double"))
 
