@@ -120,16 +120,19 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, key: Column, row_id: Column,
     table = rows.sparkSession.createDataFrame([(s["range"], s["row_at"], s["byte_at"]) for s in starts],
                                               "range int, row_at bigint, byte_at bigint")
     inside = Window.partitionBy("range").orderBy(*KEY)
-    placed = rows.withColumn("range", _range_of(found)).withColumns({
-        "_row": F.row_number().over(inside), "_end": F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
-    placed = placed.join(F.broadcast(table), "range").withColumns({
-        "_row": F.col("_row") - 1 + F.col("row_at"),
-        "_middle": 2 * (F.col("byte_at") + F.col("_end")) - F.col("_size")})  # in half bytes
-    part = F.floor(F.col("_middle").cast("decimal(38,0)") * n_shards / F.lit(max(2 * n_bytes, 1)))
-    placed = spool(placed.withColumn("shard", F.least(part.cast("int"), F.lit(n_shards - 1)))
-                   .select("row", "shard", "_row"), "placed")
-    first = placed.groupBy("shard").agg(F.min("_row").alias("_first"))  # a record for each shard
-    out = placed.join(F.broadcast(first), "shard").withColumn("slot", F.col("_row") - F.col("_first"))
+
+    def in_shards(some: DataFrame) -> DataFrame:
+        placed = some.withColumn("range", _range_of(found)).withColumns({
+            "_row": F.row_number().over(inside), "_end": F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
+        placed = placed.join(F.broadcast(table), "range").withColumns({
+            "_row": F.col("_row") - 1 + F.col("row_at"),
+            "_middle": 2 * (F.col("byte_at") + F.col("_end")) - F.col("_size")})  # in half bytes
+        part = F.floor(F.col("_middle").cast("decimal(38,0)") * n_shards / F.lit(max(2 * n_bytes, 1)))
+        return placed.withColumn("shard", F.least(part.cast("int"), F.lit(n_shards - 1)))
+
+    # Where a shard begins follows from keys and sizes alone; the rows themselves move once.
+    first = in_shards(rows.select(*KEY, "_size")).groupBy("shard").agg(F.min("_row").alias("_first"))  # a record for each shard
+    out = in_shards(rows).join(F.broadcast(spool(first, "first")), "shard").withColumn("slot", F.col("_row") - F.col("_first"))
     return unpacked(out, docs.columns, *RESULTS)
 
 
