@@ -19,16 +19,16 @@ are carried along; those named like a result column are replaced.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import column_or_null, fields
+from corpusmill.session import spool
 
 SAMPLE_ROWS = 4000
 #: Documents of the sample that a word must occur in.
@@ -42,6 +42,9 @@ FOLDS = 5
 ROUNDS = 150
 #: Weight of the absolute sum of the weights in the fit.
 SPARSITY = 2e-4
+#: The limit is the highest that finds `RECALL` of the sample's toxic texts out of fold, but none that takes more than
+#: `FALSE_ALARMS` of its other texts; `LIMIT` stands without such texts.
+RECALL, FALSE_ALARMS = 0.95, 0.015
 LIMIT = 0.4
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -68,6 +71,7 @@ class Chain:
     categories: Sequence[str]
     vocabulary: dict[str, int]
     models: list[LinearModel]
+    limit: float = LIMIT
 
     def probabilities(self, words: set[str]) -> list[float]:
         at = [self.vocabulary[w] for w in words if w in self.vocabulary]
@@ -124,28 +128,15 @@ def fit(rows: Rows, target: np.ndarray, rounds: int = ROUNDS) -> LinearModel:
     return LinearModel(bias, weights)
 
 
-def _candidates(texts: list[set[str]], labels: np.ndarray) -> set[str]:
-    """Features of enough texts that stand out in one of the categories at least."""
-    total = Counter(w for words in texts for w in words)
-    frequent = {w: n for w, n in total.items() if n >= MIN_DOCUMENTS}
-    found: set[str] = set()
-    for j in range(labels.shape[1]):
-        hits = [words for words, y in zip(texts, labels[:, j], strict=True) if y == 1]
-        within = Counter(w for words in hits for w in words)
-        for w, k in within.items():
-            if w in frequent:
-                share = frequent[w] / len(texts)
-                expected = len(hits) * share
-                if k > TIMES * expected and k - expected > STANDS_OUT * np.sqrt(expected * (1 - share) + 1e-9):
-                    found.add(w)
-    return found
-
-
-def train(texts: list[set[str]], labels: np.ndarray, categories: Sequence[str], folds: int = FOLDS) -> Chain:
-    """The chain from word sets and a table of labels (0, 1, or nan) with a column for each category."""
-    texts = [features(words) for words in texts]
-    vocabulary = {w: i for i, w in enumerate(sorted(_candidates(texts, labels)))}
-    at = [np.array(sorted(vocabulary[w] for w in words if w in vocabulary), dtype=np.int64) for words in texts]
+def _stands_out(total: Column, within: Column, texts: int, hits: int) -> Column:
+    """Whether a feature in `total` of the texts is in more of a category's `hits` than chance explains."""
+    share = total / max(texts, 1)
+    expected = share * hits
+    return (within > expected * TIMES) & (within - expected > F.sqrt(expected * (1 - share) + 1e-9) * STANDS_OUT)
+
+
+def train(texts: list[np.ndarray], labels: np.ndarray, vocabulary: Sequence[str], categories: Sequence[str], folds: int = FOLDS) -> Chain:
+    """The chain from the numbers of each text's features and a table of labels (0, 1, or nan) with a column for each category."""
     fold = np.arange(len(texts)) % folds
     earlier = np.zeros((len(texts), 0))
     models = []
@@ -153,11 +144,11 @@ def train(texts: list[set[str]], labels: np.ndarray, categories: Sequence[str],
         known = ~np.isnan(labels[:, j])
 
         def rows(mask: np.ndarray, dense: np.ndarray = earlier) -> Rows:
-            return Rows([a for a, m in zip(at, mask, strict=True) if m], len(vocabulary), dense[mask])
+            return Rows([t for t, m in zip(texts, mask, strict=True) if m], len(vocabulary), dense[mask])
 
         models.append(fit(rows(known), labels[known, j]))
         out_of_fold = np.zeros(len(texts))
-        for f in range(folds if j + 1 < len(categories) else 0):
+        for f in range(folds):
             rest = known & (fold != f)
             model = fit(rows(rest), labels[rest, j])
             held = fold == f
@@ -165,23 +156,66 @@ def train(texts: list[set[str]], labels: np.ndarray, categories: Sequence[str],
         earlier = np.column_stack([earlier, out_of_fold])
     # Words without any weight are dropped: what is sent out is small.
     used = sorted(i for i in range(len(vocabulary)) if any(len(m.weights) and m.weights[i] for m in models))
-    words = sorted(vocabulary)
     n = len(vocabulary)
     small = [LinearModel(m.bias, np.concatenate([m.weights[used], m.weights[n:]])) for m in models]
-    return Chain(list(categories), {words[i]: k for k, i in enumerate(used)}, small)
+    return Chain(list(categories), {vocabulary[i]: k for k, i in enumerate(used)}, small, chosen_limit(earlier, labels))
+
+
+def chosen_limit(out_of_fold: np.ndarray, labels: np.ndarray) -> float:
+    """The limit for the highest probability of a text, from probabilities by models that were fitted without it."""
+    toxic, other = (labels == 1).any(axis=1), (labels == 0).all(axis=1)
+    if not toxic.any() or not other.any():
+        return LIMIT
+    best = out_of_fold.max(axis=1)
+    found = float(np.quantile(best[toxic], 1 - RECALL, method="lower"))
+    spared = float(np.quantile(best[other], 1 - FALSE_ALARMS, method="higher"))
+    return max(found, np.nextafter(spared, 1))
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [sorted(features(words_of(t))) for t in batch.column("text").to_pylist()]
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.list_(pa.string()))], names=[*names, "features"])
+
+
+def _numbers(place: dict[str, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(place[w] for w in text if w in place) for text in batch.column("features").to_pylist()]
+            names = [n for n in batch.schema.names if n != "features"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.list_(pa.int64()))], names=[*names, "numbers"])
+    return run
+
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str], rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
+                    text_col: str = "text") -> tuple[list[np.ndarray], np.ndarray, list[str]]:
+    """(feature numbers, labels, features) of at most `rows` labelled documents; `labels` has the id and a 0/1 column per category.
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str], rows: int = SAMPLE_ROWS,
-                    id_col: str = "doc_id", text_col: str = "text") -> tuple[list[set[str]], np.ndarray]:
-    """Word sets and labels of at most `rows` labelled documents; `labels` has the id and a 0/1 column per category."""
+    The features of the sample are counted and chosen on the executors; what comes here is the features that stand
+    out and, for each text, their numbers. Of several documents with one id the text with the smallest hash counts.
+    """
+    names = [f"label_{i}" for i in range(len(categories))]
     chosen = labels.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    chosen = chosen.select(F.col(id_col).alias("label_id"), *[F.col(c).cast("double").alias(f"label_{c}") for c in categories])
-    found = docs.select(F.col(f"`{id_col}`").alias("label_id"), column_or_null(docs, text_col, "string").alias("text")).join(
-        F.broadcast(chosen), "label_id").orderBy(F.xxhash64("label_id"), "text").limit(2 * rows)
-    kept = found.select(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("words"),
-                        *[f"label_{c}" for c in categories]).collect()
-    values = np.array([[np.nan if v is None else v for v in r[1:]] for r in kept], dtype=np.float64)
-    return [set(r["words"] or ()) for r in kept], values.reshape(len(kept), len(categories))
+    chosen = chosen.select(F.col(id_col).alias("label_id"), *[F.col(c).cast("double").alias(n) for c, n in zip(categories, names, strict=True)])
+    text = F.coalesce(column_or_null(docs, text_col, "string"), F.lit(""))
+    found = docs.select(F.col(f"`{id_col}`").alias("label_id"), text.alias("text")).join(F.broadcast(chosen), "label_id").groupBy(
+        "label_id", *names).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    kinds = docs.schema[id_col].dataType.simpleString()
+    sample = spool(found.mapInArrow(_features, f"label_id {kinds}, {', '.join(f'{n} double' for n in names)}, features array<string>"), "sample")
+    totals = sample.agg(F.count(F.lit(1)), *[F.sum((F.col(n) == 1).cast("int")) for n in names]).first()
+    n, hits = totals[0], [t or 0 for t in totals[1:]]
+    counts = sample.select(*names, F.explode("features").alias("feature")).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("total"), *[F.sum((F.col(c) == 1).cast("int")).alias(c) for c in names])
+    out = F.lit(False)
+    for c, h in zip(names, hits, strict=True):
+        out = out | F.coalesce(_stands_out(F.col("total"), F.col(c), n, h), F.lit(False))
+    vocabulary = sorted(r["feature"] for r in counts.where((F.col("total") >= MIN_DOCUMENTS) & out).select("feature").collect())
+    numbered = sample.mapInArrow(_numbers({w: i for i, w in enumerate(vocabulary)}),
+                                 f"label_id {kinds}, {', '.join(f'{n} double' for n in names)}, numbers array<long>")
+    kept = numbered.orderBy(F.xxhash64("label_id"), "label_id").select(*names, "numbers").collect()
+    values = np.array([[np.nan if v is None else v for v in r[:-1]] for r in kept], dtype=np.float64)
+    return [np.array(r["numbers"], dtype=np.int64) for r in kept], values.reshape(len(kept), len(categories)), vocabulary
 
 
 def _scored(chain: Chain):
@@ -190,7 +224,7 @@ def _scored(chain: Chain):
         for batch in batches:
             scores = [chain.probabilities(features(words_of(t)) & known) for t in batch.column("_text").to_pylist()]
             added = [pa.array([s[j] for s in scores], pa.float64()) for j in range(len(chain.categories))]
-            toxic = pa.array([max(s) >= LIMIT for s in scores], pa.bool_())
+            toxic = pa.array([max(s) >= chain.limit for s in scores], pa.bool_())
             names = [n for n in batch.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *added, toxic],
                                              names=[*names, *(f"p_{c}" for c in chain.categories), "is_toxic"])

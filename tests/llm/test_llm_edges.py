@@ -127,10 +127,10 @@ def test_nearest_edges(spark):
 def test_models_without_labels():
     import numpy as np
 
-    none = train([], np.zeros((0, 2)), ["a", "b"])
+    none = train([], np.zeros((0, 2)), [], ["a", "b"])
     assert max(none.probabilities({"x"})) < 1e-6
     assert fit([], np.zeros(0, dtype=np.int64), 3).above(np.zeros(1))[0].min() > 0.99
-    partly = train([{"x"}, {"y"}] * 10, np.array([[1, np.nan], [0, np.nan]] * 10), ["a", "b"])
+    partly = train([np.array([0]), np.array([1])] * 10, np.array([[1, np.nan], [0, np.nan]] * 10), ["x", "y"], ["a", "b"])
     assert len(partly.probabilities({"x"})) == 2
 
 

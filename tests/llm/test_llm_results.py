@@ -24,7 +24,7 @@ from corpusmill.llm.neighbours import tile_neighbours
 from corpusmill.llm.packing import WordIds, fill_rest, packing_plan
 from corpusmill.llm.queries import QUERIES
 from corpusmill.llm.sentencepiece import UNKNOWN, Automaton, Model
-from corpusmill.llm.toxicity import LIMIT, features, train, words_of
+from corpusmill.llm.toxicity import CATEGORIES, features, fitted, labelled_sample, toxicity, toxicity_labels, words_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -320,15 +320,33 @@ def test_licenses(spark):
     assert got[1] == ["MIT"] and got[2] == ["Apache-2.0"] and got[3] == [] and got[4] == ["CC-BY-NC-4.0", "Proprietary"]
 
 
-def test_held_out_toxicity():
-    base = "/root/testdata/sf0.1"
-    table = pd.read_parquet(f"{base}/documents.parquet").merge(pd.read_parquet(f"{base}/labels.parquet"), on="doc_id").iloc[:3000]
-    sets = [words_of(t) for t in table.text]
-    labels = np.column_stack([table.toxic * (table.lang == x) for x in ("en", "de", "fr", "es")] + [table.toxic]).astype(float)
-    chain = train(sets[:2000], labels[:2000], ["en", "de", "fr", "es", "toxic"])
-    found = np.array([max(chain.probabilities(features(s))) >= LIMIT for s in sets[2000:]])
-    truth = labels[2000:, -1] == 1
-    assert found[truth].mean() > 0.8 and found[~truth].mean() < 0.03
+def test_features_stand_out_as_counted_by_hand(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = toxicity_labels(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    numbers, values, vocabulary = labelled_sample(docs, labels, CATEGORIES)
+    rows = docs.join(labels, "doc_id").toPandas()
+    sets = [features(words_of(t)) for t in rows.text]
+    total = Counter(w for s in sets for w in s)
+    wanted = set()
+    for c in CATEGORIES:
+        hits = [s for s, y in zip(sets, rows[c], strict=True) if y == 1]
+        for w, k in Counter(w for s in hits for w in s).items():
+            share = total[w] / len(sets)
+            expected = len(hits) * share
+            if total[w] >= 3 and k > 2 * expected and k - expected > 3 * (expected * (1 - share) + 1e-9) ** 0.5:
+                wanted.add(w)
+    assert vocabulary == sorted(wanted) and len(numbers) == len(values) == len(rows)
+    assert Counter(vocabulary[i] for n in numbers for i in n) == {w: total[w] for w in wanted}
+
+
+def test_held_out_toxicity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("toxic is not null")
+    held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(3)) == 0
+    chain = fitted(docs, labels.where(~held))
+    got = toxicity(docs.join(labels.where(held), "doc_id"), chain).select("toxic", "is_toxic").toPandas()
+    truth = got.toxic == 1
+    assert len(got) > 1000 and got.is_toxic[truth].mean() > 0.9 and got.is_toxic[~truth].mean() < 0.02
 
 
 def test_held_out_grades(spark):
