@@ -8,6 +8,7 @@ from checks.mentions import sql_text
 from checks.registry import check
 from checks.views import duck, table, view
 from corpusmill.functions import mining as mx
+from corpusmill.functions import sentences as sn
 from corpusmill.functions import text as tx
 from corpusmill.operators import comprehension as rc
 from corpusmill.operators.search import vocab_specific
@@ -27,15 +28,42 @@ def strip(expr: str) -> str:
     return f"trim({expr}, {STRIP})"
 
 
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+SENTENCES = rf"""pcs AS (SELECT text_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i
+        FROM (SELECT text_id, regexp_extract_all(body, {quoted(sn.PIECE)}) AS p FROM bod)),
+around AS (SELECT *, regexp_extract(piece, {quoted(sn.LAST_WORD)}, 1) AS word, lead(piece) OVER (PARTITION BY text_id ORDER BY i) AS following,
+           sum(len(regexp_replace(piece, '[^(\[]', '', 'g')) - len(regexp_replace(piece, '[^)\]]', '', 'g'))) OVER (PARTITION BY text_id ORDER BY i) AS depth
+           FROM pcs),
+ended AS (SELECT *, NOT (NOT regexp_matches(piece, '\s$') OR (NOT regexp_matches(piece, {quoted(sn.BLANK_LINE)}) AND (
+            length(word) = 1 OR lower(word) IN ABBREVIATIONS
+            OR (regexp_matches(piece, {quoted(sn.TRAILS)}) AND regexp_matches(following, {quoted(sn.GOES_ON)}))
+            OR (depth > 0 AND regexp_matches(following, '[)\]]'))))) AS ends FROM around),
+cut AS (SELECT text_id, piece, i, coalesce(sum(ends::INT) OVER (PARTITION BY text_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM ended),
+whole AS (SELECT text_id, g, string_agg(piece, '' ORDER BY i) AS sentence FROM cut GROUP BY text_id, g),
+lists AS (SELECT text_id, list(sentence ORDER BY g) AS sents FROM whole GROUP BY text_id),
+sent AS (SELECT text_id, title, body, coalesce(sents, []) AS sents FROM bod LEFT JOIN lists USING (text_id))"""
+
+LEARNT = rf"""tok AS (SELECT unnest(regexp_extract_all(lower(body), '{sn.WORD_AND_DOT}')) AS token FROM bod),
+wc AS (SELECT rtrim(token, '.') AS word, count(*) AS n, count(*) FILTER (suffix(token, '.')) AS k FROM tok GROUP BY 1),
+chance AS (SELECT sum(k) / sum(n) AS c FROM wc),
+weighed AS (SELECT word, -2 * ((k * ln(c) + (n - k) * ln(1 - c)) - (k * ln(0.99) + (n - k) * ln(1 - 0.99))) * exp(-length(word))
+            * pow(length(word), -(n - k)) AS score FROM wc, chance WHERE k >= {sn.LEAST_SEEN}),
+learnt AS (SELECT word FROM weighed WHERE score >= {sn.LEAST_SCORE} AND length(word) BETWEEN 2 AND {sn.LONGEST}
+           ORDER BY score DESC, word LIMIT {sn.MOST})"""
+
+
 def body(max_tokens: int | None = None) -> str:
     if max_tokens is None:
-        return rf"""base AS (SELECT text_id, side, split_part(text, chr(10), 1) AS title, substr(text, len(split_part(text, chr(10), 1)) + 2) AS full_body FROM connected),
+        return f"""base AS (SELECT text_id, side, split_part(text, chr(10), 1) AS title, substr(text, len(split_part(text, chr(10), 1)) + 2) AS full_body FROM connected),
 bod AS (SELECT text_id, title, full_body AS body FROM base),
-sent AS (SELECT text_id, title, body, regexp_extract_all(body, '{tx.SENTENCE}') AS sents FROM bod)"""
-    return rf"""base AS (SELECT text_id, side, split_part(text, chr(10), 1) AS title, substr(text, len(split_part(text, chr(10), 1)) + 2) AS full_body FROM connected),
-bod AS (SELECT text_id, title, CASE WHEN len(p) > {max_tokens} THEN regexp_extract(full_body, '^\s*') || array_to_string(p[1:{max_tokens}], '') ELSE full_body END AS body
-        FROM (SELECT *, regexp_extract_all(full_body, '\S+\s*') AS p FROM base)),
-sent AS (SELECT text_id, title, body, regexp_extract_all(body, '{tx.SENTENCE}') AS sents FROM bod)"""
+{SENTENCES.replace('ABBREVIATIONS', "('-')")}"""
+    return f"""base AS (SELECT text_id, side, split_part(text, chr(10), 1) AS title, substr(text, len(split_part(text, chr(10), 1)) + 2) AS full_body FROM connected),
+bod AS (SELECT text_id, title, CASE WHEN len(p) > {max_tokens} THEN regexp_extract(full_body, '^\\s*') || array_to_string(p[1:{max_tokens}], '') ELSE full_body END AS body
+        FROM (SELECT *, regexp_extract_all(full_body, '\\S+\\s*') AS p FROM base)),
+{SENTENCES.replace('ABBREVIATIONS', "('-')")}"""
 
 
 def rule_sql(rule: mx.Rule) -> str:
@@ -176,9 +204,19 @@ def truncate_tokens(spark, sf_dir):
     return rc.truncate_tokens(texts(spark, sf_dir), 120)
 
 
-@check("sentences", sql("SELECT text_id, unnest(sents) AS sentence, generate_subscripts(sents, 1) - 1 AS pos FROM sent"), ints="pos")
+@check("sentences", duck("prose", f"""WITH bod AS (SELECT text_id, split_part(text, chr(10), 1) AS title, substr(text, len(split_part(text, chr(10), 1)) + 2) AS body FROM prose),
+{LEARNT}, {SENTENCES.replace("ABBREVIATIONS", "(SELECT word FROM learnt)")}
+SELECT text_id, unnest(sents) AS sentence, generate_subscripts(sents, 1) - 1 AS pos FROM sent"""), ints="pos")
 def sentences(spark, sf_dir):
-    return rc.sentences(texts(spark, sf_dir))
+    prose = view(spark, sf_dir, "prose")
+    return rc.sentences(prose, abbreviations=sn.learn_abbreviations(rc.split_title_body(prose), "body"))
+
+
+@check("abbreviation_scores", duck("prose", f"""WITH bod AS (SELECT substr(text, len(split_part(text, chr(10), 1)) + 2) AS body FROM prose),
+{LEARNT} SELECT word, round(score, 6) AS score FROM weighed"""))
+def abbreviation_scores(spark, sf_dir):
+    bodies = rc.split_title_body(view(spark, sf_dir, "prose"))
+    return sn.abbreviation_scores(bodies, "body").select("word", F.round("score", 6).alias("score"))
 
 
 def _mine(name: str, task: str) -> None:

@@ -10,6 +10,7 @@ from checks.registry import check
 from checks.views import duck, table, view
 from corpusmill.functions import text as tx
 from corpusmill.operators import search
+from corpusmill.operators.text_index import TextIndex, build_index
 
 QUESTION = "the nation of reti and other hableou"
 QUESTIONS = [QUESTION, "les eauaux de la mentre avec unknownword", "der enä und erber, das on the shat"]
@@ -59,6 +60,17 @@ def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+_INDEXES: dict[tuple[str, str], TextIndex] = {}
+
+
+def index(spark, sf_dir):
+    """The stored index of the documents, written once for a session and asked by all queries."""
+    key = (spark.sparkContext.applicationId, str(sf_dir))
+    if key not in _INDEXES:
+        _INDEXES[key] = build_index(docs(spark, sf_dir))
+    return _INDEXES[key]
+
+
 @check("document_frequency", f"WITH {tfidf_ctes('documents')} SELECT term, df, round(idf, 6) AS idf FROM vocab")
 def document_frequency(spark, sf_dir):
     return search.document_frequency(docs(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
@@ -67,34 +79,45 @@ def document_frequency(spark, sf_dir):
 @check("tfidf_vectors", f"WITH {tfidf_ctes('documents')} "
        "SELECT doc_id, term, round(w / len, 6) AS w FROM raw JOIN norms USING (doc_id)")
 def tfidf_vectors(spark, sf_dir):
-    return search.tfidf_vectors(docs(spark, sf_dir)).withColumn("w", F.round("w", 6))
+    return search.tfidf_vectors(index(spark, sf_dir)).withColumn("w", F.round("w", 6))
 
 
 @check("cosine_search", f"WITH {tfidf_ctes('documents', [QUESTION])} "
        "SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 20")
 def cosine_search(spark, sf_dir):
-    return search.cosine_search(docs(spark, sf_dir), QUESTION)
+    return search.cosine_search(index(spark, sf_dir), QUESTION)
 
 
 @check("topk_cosine", f"WITH {tfidf_ctes('documents', ['gammapy'])} "
        "SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 10")
 def topk_cosine(spark, sf_dir):
-    scores = search.cosine_scores(docs(spark, sf_dir), ["gammapy"]).select("doc_id", "score")
+    scores = search.cosine_scores(index(spark, sf_dir), ["gammapy"]).select("doc_id", "score")
     return search.topk_cosine(scores, 10)
 
 
 @check("topk_per_query", f"WITH {tfidf_ctes('documents', QUESTIONS)} {ranked(20)}", ints="rank")
 def topk_per_query(spark, sf_dir):
-    return search.topk_per_query(search.cosine_scores(docs(spark, sf_dir), QUESTIONS), 20)
+    return index(spark, sf_dir).search(QUESTIONS, 20)
+
+
+@check("benchmark_search", f"""WITH {tfidf_ctes('documents')},
+asked AS (SELECT item_id AS query_id, text FROM benchmark),
+qraw AS (SELECT query_id, term, count(*) * any_value(idf) AS w
+         FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM asked) JOIN vocab USING (term) GROUP BY ALL),
+qn AS (SELECT query_id, sqrt(sum(w * w)) AS qlen FROM qraw GROUP BY query_id),
+dots AS (SELECT query_id, doc_id, sum(raw.w * qraw.w) AS dot FROM raw JOIN qraw USING (term) GROUP BY ALL),
+scored AS (SELECT query_id, doc_id, round(dot / len / qlen, 6) AS score FROM dots JOIN norms USING (doc_id) JOIN qn USING (query_id))
+{ranked(10)}""", ints="rank")
+def benchmark_search(spark, sf_dir):
+    """Every benchmark item is a query; each shares a word with ten documents at least."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return index(spark, sf_dir).search(asked, 10)
 
 
 @check("union_query_hits", f"WITH {tfidf_ctes('documents', QUESTIONS)}, r AS ({ranked(20)}) "
        "SELECT doc_id, score FROM r")
 def union_query_hits(spark, sf_dir):
-    corpus = docs(spark, sf_dir)
-    vocab = search.document_frequency(corpus)
-    vocab = search.spool(vocab, "vocabulary")
-    return search.union_query_hits([search.cosine_search(corpus, q, 20, vocabulary=vocab) for q in QUESTIONS])
+    return search.union_query_hits([search.cosine_search(index(spark, sf_dir), q, 20) for q in QUESTIONS])
 
 
 BEST = "SELECT text, max(score) AS score, arg_min(doc_id, (-score, doc_id)) AS doc_id FROM hits GROUP BY text"
@@ -104,7 +127,7 @@ BEST = "SELECT text, max(score) AS score, arg_min(doc_id, (-score, doc_id)) AS d
        f"hits AS (SELECT r.*, text FROM r JOIN documents USING (doc_id)) {BEST}")
 def best_score_per_content(spark, sf_dir):
     corpus = docs(spark, sf_dir)
-    hits = search.topk_per_query(search.cosine_scores(corpus, QUESTIONS), 20)
+    hits = index(spark, sf_dir).search(QUESTIONS, 20)
     return search.best_score_per_content(search.with_rows(hits, corpus.select("doc_id", "text")))
 
 
@@ -117,7 +140,7 @@ def distinct_content(spark, sf_dir):
        f"hits AS (SELECT r.*, text FROM r JOIN documents USING (doc_id)), b AS ({BEST}) "
        "SELECT * FROM b ORDER BY score DESC, doc_id LIMIT 10")
 def multi_query_top10(spark, sf_dir):
-    return search.multi_query_search(docs(spark, sf_dir), QUESTIONS)
+    return search.multi_query_search(docs(spark, sf_dir), QUESTIONS, index=index(spark, sf_dir))
 
 
 FIELDS_SQL = """fields AS (
@@ -204,7 +227,7 @@ def knn_vectors(spark, sf_dir):
        "pre AS (SELECT doc_id FROM scored ORDER BY score DESC, doc_id LIMIT 20) "
        + knn_sql("(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM pre))", [POINT], 5), ints="rank")
 def prefilter_then_rank(spark, sf_dir):
-    return search.prefilter_then_rank(docs(spark, sf_dir), QUESTION, table(spark, sf_dir, "embeddings"), POINT)
+    return search.prefilter_then_rank(index(spark, sf_dir), QUESTION, table(spark, sf_dir, "embeddings"), POINT)
 
 
 @check("fuse_avg_score", f"""WITH a AS ({knn_sql('embeddings', [POINT], 50)}), b AS ({knn_sql('embeddings', [POINT_2], 50)})
@@ -221,7 +244,7 @@ SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context,
 FROM r JOIN documents USING (doc_id) GROUP BY query_id""")
 def context_join(spark, sf_dir):
     corpus = docs(spark, sf_dir)
-    hits = search.topk_per_query(search.cosine_scores(corpus, QUESTIONS), 5)
+    hits = index(spark, sf_dir).search(QUESTIONS, 5)
     return search.context_join(search.with_rows(hits, corpus.select("doc_id", "text")), QUESTIONS)
 
 

@@ -85,6 +85,20 @@ SELECT doc_id AS text_id,
 FROM {documents}
 """
 
+# Prose with abbreviations, initials, decimals, quotes, brackets and a bracket that never closes.
+PROSE = """
+SELECT doc_id AS text_id,
+       'Title ' || CAST(doc_id AS STRING) || chr(10)
+       || 'Dr. Ann B. Lee of the obs. in Bern found 3.5 keV (cf. fig. ' || CAST(doc_id % 9 AS STRING) || ' and ref. 4) there. "It is seen." '
+       || CASE doc_id % 4
+            WHEN 0 THEN 'See no. 7 (it is long. It has more.) for e.g. details... and so on. They were there and went. '
+            WHEN 1 THEN 'A list ends.' || chr(10) || chr(10) || 'obs. Two of 12. of them? yes! More details follow. It is so long that we went on. '
+            WHEN 2 THEN 'Then Prof. Lee (of Bern) went. No. It has been seen at www.site.example.org/a.b by us. '
+            ELSE 'Bern is far etc. and the list goes on. "Is it?" he said. [See ref. 2. It is short.] No one has more. ' END
+       || text || ' (open. Never closed' AS text
+FROM {documents}
+"""
+
 URL_LISTS = """
 SELECT page_id AS identifier,
        CASE WHEN page_id % 23 = 22 THEN NULL
@@ -133,7 +147,7 @@ SELECT '/m/' || {_N} || '/operations_call__' || lpad(CAST(1 + conv_id % 28 AS ST
 FROM {{conversations}}
 """
 
-VIEWS = {"papers": PAPERS, "paper_urls": PAPER_URLS, "repos": REPOS, "connected": CONNECTED,
+VIEWS = {"papers": PAPERS, "paper_urls": PAPER_URLS, "repos": REPOS, "connected": CONNECTED, "prose": PROSE,
          "url_lists": URL_LISTS, "rich_pages": RICH_PAGES, "minutes": MINUTES}
 
 

@@ -12,7 +12,6 @@ WHITE = " \t\n\r\x0b\x0c"
 
 # Patterns whose matches define the results.
 COMMENT_MARK = ";Comment"
-SENTENCE = r"[^.!?]+[.!?]*\s*|[.!?]+\s*"
 WORD = r"[\p{L}\p{N}_]+"
 TERM = r"[\p{L}\p{N}_]{2,}"
 URL = r"https?://[$-_a-z!]+"
@@ -76,11 +75,6 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def sentences(text: Column) -> Column:
-    """Ordered sentences; joined together they give the text back."""
-    return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-
-
 def truncate_tokens(text: Column, max_tokens: int) -> Column:
     """Keep the first `max_tokens` white-space tokens, spacing included."""
     pieces = F.regexp_extract_all(text, F.lit(r"\S+\s*"), F.lit(0))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import mining as mx
 from corpusmill.functions import text as tx
+from corpusmill.functions.sentences import sentences as cut_sentences
 from corpusmill.session import spool
 from corpusmill.templates import DEMOS, FRAMES, INTROS, OPTIONS, fill, formats
 
@@ -33,10 +34,10 @@ def truncate_tokens(texts: DataFrame, max_tokens: int | None = None) -> DataFram
     return whole if max_tokens is None else whole.withColumn("body", tx.truncate_tokens(F.col("body"), max_tokens))
 
 
-def sentences(texts: DataFrame, max_tokens: int | None = None) -> DataFrame:
-    """(text_id, pos, sentence) of the bodies."""
+def sentences(texts: DataFrame, max_tokens: int | None = None, abbreviations: Sequence[str] = ()) -> DataFrame:
+    """(text_id, pos, sentence) of the bodies; `abbreviations` as `learn_abbreviations` finds them in a corpus."""
     bodies = truncate_tokens(texts, max_tokens)
-    return bodies.select("text_id", F.posexplode(tx.sentences(F.col("body"))).alias("pos", "sentence"))
+    return bodies.select("text_id", F.posexplode(cut_sentences(F.col("body"), abbreviations)).alias("pos", "sentence"))
 
 
 def mine(texts: DataFrame, tasks: Sequence[str] = mx.TASKS, max_tokens: int | None = None,
@@ -60,7 +61,7 @@ def mined_counts(examples: DataFrame) -> DataFrame:
 
 
 def qualified_sentences(texts: DataFrame, vocabulary: DataFrame, min_words: int = 3, max_words: int = 100,
-                        min_len: int = 10, max_tokens: int | None = None) -> DataFrame:
+                        min_len: int = 10, max_tokens: int | None = None, abbreviations: Sequence[str] = ()) -> DataFrame:
     """(text_id, pos, words): sentences with enough words of the domain vocabulary.
 
     Only words long enough to be in the vocabulary leave the row.
@@ -70,7 +71,7 @@ def qualified_sentences(texts: DataFrame, vocabulary: DataFrame, min_words: int
         return F.when((F.size(words) <= max_words) & (F.size(long_words) >= min_words), long_words)
 
     words = F.array_distinct(tx.words(F.col("sentence")))
-    tokens = sentences(texts, max_tokens).select("text_id", "pos", F.explode(tx.bind(words, candidates)).alias("term"))
+    tokens = sentences(texts, max_tokens, abbreviations).select("text_id", "pos", F.explode(tx.bind(words, candidates)).alias("term"))
     known = tokens.join(vocabulary.select("term"), "term", "left_semi")
     grouped = known.groupBy("text_id", "pos").agg(F.sort_array(F.collect_set("term")).alias("words"))
     return grouped.where(F.size("words") >= min_words)
@@ -97,24 +98,24 @@ def _word_examples(sents: Column, picked: Column) -> Column:
 
 
 def with_examples(texts: DataFrame, vocabulary: DataFrame | None = None, max_tokens: int | None = None,
-                  rules: Sequence[mx.Rule] = mx.RULES) -> DataFrame:
+                  rules: Sequence[mx.Rule] = mx.RULES, abbreviations: Sequence[str] = ()) -> DataFrame:
     """(text_id, title, sents, examples): the capped examples of each text in its row."""
     bodies = truncate_tokens(texts, max_tokens)
     found = F.concat(*[mx.capped(mx.mined(F.col("body"), r), F.col("text_id")) for r in rules])
-    rows = bodies.select("text_id", "title", tx.sentences(F.col("body")).alias("sents"), found.alias("examples"))
+    rows = bodies.select("text_id", "title", cut_sentences(F.col("body"), abbreviations).alias("sents"), found.alias("examples"))
     if vocabulary is None:
         return rows
     # Written first: by its size the planner decides whether the bodies have to be shuffled.
-    picked = spool(_picked_words(qualified_sentences(texts, vocabulary, max_tokens=max_tokens)), "picked")
+    picked = spool(_picked_words(qualified_sentences(texts, vocabulary, max_tokens=max_tokens, abbreviations=abbreviations)), "picked")
     joined = rows.join(picked, "text_id", "left")
     words = _word_examples(F.col("sents"), F.col("picked"))
     return joined.select("text_id", "title", "sents", F.concat("examples", words).alias("examples"))
 
 
-def mine_word2text(texts: DataFrame, vocabulary: DataFrame, max_tokens: int | None = None) -> DataFrame:
+def mine_word2text(texts: DataFrame, vocabulary: DataFrame, max_tokens: int | None = None, abbreviations: Sequence[str] = ()) -> DataFrame:
     """(text_id, task, label, pos, verbalizer, s1, s2): s1 the words, s2 their sentence."""
-    picked = _picked_words(qualified_sentences(texts, vocabulary, max_tokens=max_tokens))
-    rows = truncate_tokens(texts, max_tokens).select("text_id", tx.sentences(F.col("body")).alias("sents"))
+    picked = _picked_words(qualified_sentences(texts, vocabulary, max_tokens=max_tokens, abbreviations=abbreviations))
+    rows = truncate_tokens(texts, max_tokens).select("text_id", cut_sentences(F.col("body"), abbreviations).alias("sents"))
     return rows.join(picked, "text_id").select("text_id", F.inline(_word_examples(F.col("sents"), F.col("picked"))))
 
 
@@ -271,16 +272,16 @@ def _modes(rows: DataFrame) -> DataFrame:
         "cut": mx.cut_point(F.col("text_id"), n)})
 
 
-def task_mix(texts: DataFrame, max_tokens: int | None = None) -> DataFrame:
+def task_mix(texts: DataFrame, max_tokens: int | None = None, abbreviations: Sequence[str] = ()) -> DataFrame:
     """(text_id, can_summarize, can_complete, mode)."""
-    rows = truncate_tokens(texts, max_tokens).withColumn("sents", tx.sentences(F.col("body")))
+    rows = truncate_tokens(texts, max_tokens).withColumn("sents", cut_sentences(F.col("body"), abbreviations))
     return _modes(rows).select("text_id", F.col("title").isNotNull().alias("can_summarize"),
                                (F.size("sents") >= 2).alias("can_complete"), "mode")
 
 
-def cut_point(texts: DataFrame, max_tokens: int | None = None) -> DataFrame:
+def cut_point(texts: DataFrame, max_tokens: int | None = None, abbreviations: Sequence[str] = ()) -> DataFrame:
     """(text_id, cut, first_half, second_half) of texts with two sentences or more."""
-    rows = truncate_tokens(texts, max_tokens).withColumn("sents", tx.sentences(F.col("body")))
+    rows = truncate_tokens(texts, max_tokens).withColumn("sents", cut_sentences(F.col("body"), abbreviations))
     first, second = mx.halves(F.col("sents"), F.col("cut"))
     return _modes(rows).where("cut is not null").select(
         "text_id", "cut", tx.strip(first).alias("first_half"), tx.strip(second).alias("second_half"))
@@ -315,9 +316,9 @@ def _frame(domain: str, form: str, part: int, frames) -> Column:
 
 def reading_comprehension(texts: DataFrame, domain: str, vocabulary: DataFrame | None = None,
                           input_name: str = "input", max_tokens: int | None = None, demos=DEMOS, intros=INTROS,
-                          frames=FRAMES) -> DataFrame:
+                          frames=FRAMES, abbreviations: Sequence[str] = ()) -> DataFrame:
     """(text_id, mode, text, question, answer, file_name): the finished rows."""
-    rows = _with_contexts(_modes(_demos(with_examples(texts, vocabulary, max_tokens), domain, demos, intros)))
+    rows = _with_contexts(_modes(_demos(with_examples(texts, vocabulary, max_tokens, abbreviations=abbreviations), domain, demos, intros)))
     return rows.select(
         "text_id", "mode", _frame(domain, "single", 0, frames).alias("text"),
         _frame(domain, "qa", 0, frames).alias("question"), _frame(domain, "qa", 1, frames).alias("answer"),

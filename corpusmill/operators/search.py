@@ -2,8 +2,8 @@
 
 Weights follow the usual definition: raw term frequency times
 ln((1 + documents) / (1 + document frequency)) + 1, vectors of length one.
-Term counts are made inside each document's row, so the corpus itself is never
-shuffled; only the vocabulary and one row per document are.
+Searches go through a stored index (`text_index`), which is made once for a
+corpus and then asked any number of times.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
-from corpusmill.session import spool
+from corpusmill.operators.text_index import TextIndex, as_index
 from corpusmill.tables import literal_table
 
 SCORE_DIGITS = 6
@@ -47,49 +47,21 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return _frequencies(docs, tx.terms(F.col(text_col))).withColumn("idf", _idf(total, F.col("df")))
 
 
-def tfidf_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  vocabulary: DataFrame | None = None) -> DataFrame:
+def tfidf_vectors(docs: DataFrame | TextIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, w): unit vectors in long form."""
-    vocab = spool(document_frequency(docs, text_col), "vocabulary") if vocabulary is None else vocabulary
-    weighted = term_counts(docs, id_col, text_col).join(vocab, "term").withColumn("raw", F.col("n") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
-    return weighted.select(id_col, "term", (F.col("raw") / length).alias("w"))
+    return as_index(docs, id_col, text_col).vectors
 
 
-def query_weights(queries: Sequence[str], vocabulary: DataFrame) -> DataFrame:
-    """(term, q): for each query term the list of its weights, one per query.
+def cosine_scores(docs: DataFrame | TextIndex, queries: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, id, score) of every document for every query, zeros included: as many rows as both together make.
 
-    Terms outside the vocabulary drop out; the table is bounded by the number
-    of words in the queries.
+    To rank, search the index instead: it gives the best documents without the others.
     """
-    spark = vocabulary.sparkSession
-    asked = literal_table(spark, list(enumerate(queries)), ["query_id", "text"])
-    weighted = term_counts(asked, "query_id").join(vocabulary, "term").withColumn("raw", F.col("n") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("query_id")))
-    unit = weighted.select("term", "query_id", (F.col("raw") / length).alias("w"))
-    per_query = [F.sum(F.when(F.col("query_id") == i, F.col("w")).otherwise(0.0)) for i in range(len(queries))]
-    return unit.groupBy("term").agg(F.array(*per_query).alias("q"))
-
-
-def cosine_scores(docs: DataFrame, queries: Sequence[str], id_col: str = "doc_id", text_col: str = "text",
-                  vocabulary: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score) of every document for every query, zeros included.
-
-    The vocabulary is written once; its true size decides between a broadcast
-    and a shuffled join with the postings. One row per document is aggregated,
-    whatever the number of queries.
-    """
-    vocab = spool(document_frequency(docs, text_col), "vocabulary") if vocabulary is None else vocabulary
-    weights = F.broadcast(query_weights(queries, vocab))  # no more rows than words in the queries
-    raw = F.col("n") * F.col("idf")
-    dots = [F.coalesce(F.sum(raw * F.get("q", F.lit(i))), F.lit(0.0)) for i in range(len(queries))]
-    postings = term_counts(docs, id_col, text_col, keep_empty=True)
-    weighted = postings.join(vocab.select("term", "idf"), "term", "left").join(weights, "term", "left")
-    per_doc = weighted.groupBy(id_col).agg(
-        F.sqrt(F.sum(raw * raw)).alias("length"), F.array(*dots).alias("dots"))
-    scored = per_doc.select(id_col, "length", F.posexplode("dots").alias("query_id", "dot"))
-    score = F.when(F.col("length") > 0, F.col("dot") / F.col("length")).otherwise(0.0)
-    return scored.select("query_id", id_col, F.round(score, SCORE_DIGITS).alias("score"))
+    index = as_index(docs, id_col, text_col)
+    asked = literal_table(index.spark, list(enumerate(queries)), ["query_id", "text"])
+    every = index.ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(len(queries) - 1))).alias("query_id"))
+    found = every.join(index.matches(asked), ["query_id", "id"], "left")
+    return found.select("query_id", F.col("id").alias(index.id_col), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def topk_cosine(scores: DataFrame, top_n: int = 20, id_col: str = "doc_id") -> DataFrame:
@@ -103,11 +75,10 @@ def topk_per_query(scores: DataFrame, top_n: int = 20, id_col: str = "doc_id") -
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
 
 
-def cosine_search(docs: DataFrame, query: str, top_n: int = 20, id_col: str = "doc_id", text_col: str = "text",
-                  vocabulary: DataFrame | None = None) -> DataFrame:
-    """(id, score): the documents closest to one query."""
-    scores = cosine_scores(docs, [query], id_col, text_col, vocabulary)
-    return topk_cosine(scores.select(id_col, "score"), top_n, id_col)
+def cosine_search(docs: DataFrame | TextIndex, query: str, top_n: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score): the documents closest to one query, best first; a table is indexed first."""
+    index = as_index(docs, id_col, text_col)
+    return topk_cosine(index.search([query], top_n).select(index.id_col, "score"), top_n, index.id_col)
 
 
 def cosine_search_field(fields: DataFrame, field: str, query: str, top_n: int = 20) -> DataFrame:
@@ -149,21 +120,21 @@ def union_query_hits(hits: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def multi_query_search(docs: DataFrame, queries: Sequence[str], per_query: int = 20, best: int = 10,
-                       id_col: str = "doc_id", text_col: str = "text",
-                       vocabulary: DataFrame | None = None) -> DataFrame:
-    """Several queries together: best hits of each, distinct by text, then the best overall."""
-    hits = topk_per_query(cosine_scores(docs, queries, id_col, text_col, vocabulary), per_query, id_col)
-    texts = with_rows(hits, docs.select(id_col, text_col), id_col)
+def multi_query_search(docs: DataFrame, queries: Sequence[str] | DataFrame, per_query: int = 20, best: int = 10,
+                       id_col: str = "doc_id", text_col: str = "text", index: TextIndex | None = None) -> DataFrame:
+    """Several queries together: best hits of each, distinct by text, then the best overall. `index` is that of `docs`."""
+    found = index or as_index(docs, id_col, text_col)
+    texts = with_rows(found.search(queries, per_query), docs.select(id_col, text_col), id_col)
     return topk_cosine(best_score_per_content(texts, id_col, text_col), best, id_col)
 
 
-def section_search(sections: DataFrame, query: str | Sequence[str], id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """Search section texts: the five best for one query, the ten best for several."""
+def section_search(sections: DataFrame, query: str | Sequence[str], id_col: str = "doc_id", text_col: str = "text",
+                   index: TextIndex | None = None) -> DataFrame:
+    """Search section texts: the five best for one query, the ten best for several. `index` is that of `sections`."""
+    found = index or as_index(sections, id_col, text_col)
     if isinstance(query, str):
-        return with_rows(cosine_search(sections, query, 5, id_col, text_col), sections.select(id_col, text_col), id_col)
-    return multi_query_search(sections, list(query), 10, 10, id_col, text_col)
+        return with_rows(cosine_search(found, query, 5), sections.select(id_col, text_col), id_col)
+    return multi_query_search(sections, list(query), 10, 10, id_col, text_col, found)
 
 
 def squared_distance(vector: Column, query: Sequence[float]) -> Column:
@@ -187,11 +158,12 @@ def knn_vectors(vectors: DataFrame, queries: Sequence[Sequence[float]], k: int =
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def prefilter_then_rank(docs: DataFrame, query: str, vectors: DataFrame, query_vector: Sequence[float],
+def prefilter_then_rank(docs: DataFrame | TextIndex, query: str, vectors: DataFrame, query_vector: Sequence[float],
                         prefilter: int = 20, k: int = 5, id_col: str = "doc_id", text_col: str = "text",
                         vector_id: str = "vec_id") -> DataFrame:
     """Vector search among the best TF-IDF hits only."""
-    hits = cosine_search(docs, query, prefilter, id_col, text_col).select(F.col(id_col).alias(vector_id))
+    hits = cosine_search(docs, query, prefilter, id_col, text_col)
+    hits = hits.select(F.col(hits.columns[0]).alias(vector_id))
     return knn_vectors(vectors.join(F.broadcast(hits), vector_id, "left_semi"), [query_vector], k, vector_id)
 
 

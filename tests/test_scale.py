@@ -12,6 +12,7 @@ from corpusmill.operators import comprehension as rc
 from corpusmill.operators import mentions as mt
 from corpusmill.operators import pages as pg
 from corpusmill.operators import search as se
+from corpusmill.operators.text_index import build_index
 from corpusmill.operators import tables as tb
 from corpusmill.session import spool
 
@@ -29,10 +30,11 @@ def docs(spark, tmp_path):
     return spark.read.parquet(path)
 
 
-def test_search_shuffles_one_row_per_document(spark, tmp_path):
-    text = plan(se.cosine_search(docs(spark, tmp_path), "some words"))
-    assert "hashpartitioning(doc_id" in text and "TakeOrderedAndProject" in text
-    assert "other" not in text
+def test_search_reads_the_index_and_no_texts(spark, tmp_path):
+    index = build_index(docs(spark, tmp_path))
+    text = plan(se.cosine_search(index, "some words"))
+    assert "TakeOrderedAndProject" in text and "WindowGroupLimit" in text
+    assert "text:string" not in text and "other" not in text
 
 
 def test_ranking_is_cut_before_the_shuffle(spark, tmp_path):

@@ -6,6 +6,8 @@ from collections import Counter
 
 from conftest import rows
 from corpusmill.operators import search as se
+from corpusmill.operators import text_index as ti
+from corpusmill.operators.text_index import TextIndex, build_index, open_index
 
 DOCS = [(1, "The black hole and the galaxy"), (2, "galaxy galaxy cluster"), (3, ""), (4, "a b c"),
         (5, "Black hole astronomy"), (6, "black hole astronomy"), (7, None)]
@@ -93,3 +95,67 @@ def test_phrases_of_short_and_empty_texts(spark):
     found = se.keyphrases_topk(docs, top=2).collect()
     assert {r["doc_id"] for r in found} == {1, 3}
     assert max(r["rank"] for r in found) <= 2
+
+
+def many(spark, n=600):
+    """Two rare words in few documents, a frequent one in all; lengths differ, so weights do."""
+    texts = [(i, "common " * (1 + i % 3) + f"filler{i % 50} " * (i % 40) + ("rare " * 3 if i % 97 == 5 else "") + ("odd" if i % 5 == 0 else ""))
+             for i in range(n)]
+    return texts, spark.createDataFrame(texts, "doc_id long, text string")
+
+
+def test_index_finds_what_all_scores_give(spark):
+    texts, docs = many(spark)
+    index = build_index(docs, docs_per_block=16)
+    queries = ["rare odd", "common", "common filler7 filler7", "unknown", "odd rare common filler3", "odd"]
+    got = [tuple(r) for r in index.search(queries, 7).orderBy("query_id", "rank").collect()]
+    wanted = []
+    for i, query in enumerate(queries):
+        scores = brute(texts, query)
+        best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:7]
+        wanted += [(i, doc, score, rank + 1) for rank, (doc, score) in enumerate(best)]
+    assert got == wanted
+    again = open_index(spark, index.path)
+    assert [tuple(r) for r in again.search(queries, 7).orderBy("query_id", "rank").collect()] == wanted
+
+
+def test_blocks_that_cannot_reach_the_kth_score_are_not_scored(spark, monkeypatch):
+    texts, docs = many(spark)
+    index = build_index(docs, docs_per_block=8)
+    scored = []
+    plain = TextIndex._scored
+
+    def counted(near, weights, blocks):
+        scored.append(blocks.count())
+        return plain(near, weights, blocks)
+
+    monkeypatch.setattr(TextIndex, "_scored", staticmethod(counted))
+    found = index.search(["rare"], 2).collect()
+    holding = index.postings.where("term = 'rare'").count()
+    assert holding > ti.FIRST_BLOCKS and sum(scored) < holding
+    assert [r["doc_id"] for r in sorted(found, key=lambda r: r["rank"])] == [
+        i for i, s in sorted(brute(texts, "rare").items(), key=lambda x: (-x[1], x[0]))[:2]]
+
+
+def test_scan_is_filtered_by_the_terms_asked_for(spark, capsys):
+    index = build_index(many(spark)[1], docs_per_block=16)
+    weights = index.weights(spark.createDataFrame([(0, "rare odd")], "query_id int, text string"))
+    index._near(weights).explain("formatted")
+    assert "In(term, [odd,rare])" in capsys.readouterr().out.replace("[rare,odd]", "[odd,rare]")
+
+
+def test_hundreds_of_queries_at_once(spark):
+    texts, docs = many(spark)
+    index = build_index(docs, docs_per_block=16)
+    asked = spark.createDataFrame([(i, t) for i, t in texts[:300]], "query_id long, text string")
+    found = {(r["query_id"], r["rank"]): r["score"] for r in index.search(asked, 3).collect()}
+    assert len(found) == 900 and all(found[i, 1] == 1.0 for i, _ in texts[:300])
+    for i in (5, 120, 299):
+        assert [found[i, k] for k in (1, 2, 3)] == sorted(brute(texts, texts[i][1]).values(), reverse=True)[:3]
+
+
+def test_index_of_no_documents_and_of_equal_ids(spark):
+    assert build_index(corpus(spark).limit(0)).search(["x"], 3).collect() == []
+    twice = spark.createDataFrame([(1, "one two"), (1, "two three"), (None, "four")], "doc_id long, text string")
+    found = [tuple(r) for r in build_index(twice).search(["three"], 2).orderBy("rank").collect()]
+    assert found[0][1] == 1 and len(found) == 2

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
+from corpusmill.functions.sentences import learn_abbreviations, sentences
 
 
 def one(spark, value, fn, kind="string"):
@@ -41,7 +42,27 @@ def test_keywords_header(spark, text, expected):
 
 @pytest.mark.parametrize("text", ["One. Two!  Three?? four", "...", "", "no end", "A.\nB.\n\n", "  lead. x"])
 def test_sentences_are_lossless(spark, text):
-    assert "".join(one(spark, text, tx.sentences)) == text
+    for abbreviations in ((), ("x", "dr")):
+        assert "".join(one(spark, text, lambda c: sentences(c, abbreviations))) == text
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("Dr. Lee saw 3.5 keV. It was new.", ["Dr. Lee saw 3.5 keV. ", "It was new."]),
+    ("We found 3. Then more.", ["We found 3. ", "Then more."]), ("We saw no. 3. 4 of 5. of them. Yes", ["We saw no. 3. 4 of 5. of them. ", "Yes"]),
+    ("5 keV (cf. Fig. 2. And more.) here. End", ["5 keV (cf. Fig. 2. And more.) here. ", "End"]),
+    ('"It is." He said. "So?" Yes!', ['"It is." ', "He said. ", '"So?" ', "Yes!"]),
+    ("J. R. Lee. (open. Next. Last", ["J. R. Lee. ", "(open. ", "Next. ", "Last"]),
+    ("It trails... and on... Then", ["It trails... and on... ", "Then"]), ("see a.org/b.html. Ok", ["see a.org/b.html. ", "Ok"]),
+    ("Dr.\n\nLee", ["Dr.\n\n", "Lee"]), ("a) one. b) two. (c) six. ] y", ["a) one. ", "b) two. ", "(c) six. ", "] y"])])
+def test_sentences_end_where_they_end(spark, text, expected):
+    assert one(spark, text, lambda c: sentences(c, ("dr", "cf", "fig", "no"))) == expected
+
+
+def test_abbreviations_are_learnt_by_their_dots(spark):
+    rows = [(f"Dr. No{i} went to the end. The dr. and fig. {i} show it. That is an end, it is." + " We saw it" * i,) for i in range(30)]
+    texts = spark.createDataFrame(rows, "text string")
+    assert set(learn_abbreviations(texts)) == {"dr", "fig"}
+    assert learn_abbreviations(texts.limit(0)) == []
 
 
 @pytest.mark.parametrize("items", [[], ["b", "a", "b"], ["x"], ["a"] * 5 + ["b"], list("mississippi")])
