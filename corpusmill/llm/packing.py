@@ -6,8 +6,8 @@ bounded size, come to the driver, which solves the configuration linear program
 over them: how often to use each way of filling a sequence. Multiplicative
 weights give every length a price that falls as the length gets covered; a
 knapsack by dynamic programming finds the best filling at these prices; the
-sum is scaled to what is there and rounded, and what remains is filled best-fit,
-largest piece first. Every piece then finds its sequence from its
+sum is scaled to what is there and rounded, and the program solved again for
+what rounding leaves over, a tenth of the pieces in the end. Every piece then finds its sequence from its
 number among the pieces of its length, in parallel and without moving its ids.
 
 Nulls and the like: a null or empty text is the end mark alone; ids may be null
@@ -18,6 +18,7 @@ in the input. Only the id column is carried along.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -39,8 +40,10 @@ ROUNDS = 20
 STEP = 0.1
 SOFT = 4.0
 NEAR = 0.001
-#: Words whose ids a task remembers.
-REMEMBERED = 1_000_000
+#: How often the program is solved at most, and the part of the pieces at which it need not be solved again.
+PROGRAMS, LEFT_OVER = 12, 0.1
+#: Bytes of the words and ids that a worker remembers, bytes of an entry besides, and the longest word that is remembered.
+REMEMBERED_BYTES, ENTRY_BYTES, REMEMBERED_LENGTH = 160 << 20, 190, 64
 
 #: ASCII letters and then ASCII marks other than the apostrophe: two separate words to the tokenizer.
 _TAIL = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
@@ -68,25 +71,39 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.size = 0
 
     def of(self, texts: Sequence[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if self.size > REMEMBERED_BYTES:
+            self.known, self.size = {}, 0
+        get = self.known.get
         split = [_words(t) for t in texts]
-        needed = set().union(*split)
-        if len(self.known) > REMEMBERED:
-            self.known = {w: self.known[w] for w in needed.intersection(self.known)}
-        self._learn(needed.difference(self.known))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
-
-    def _learn(self, words: set[bytes]) -> None:
+        found = [list(map(get, words)) for words in split]
+        late = [i for i, ids in enumerate(found) if None in ids]
+        if late:
+            needed = {w for i in late for w, ids in zip(split[i], found[i], strict=True) if ids is None}
+            once = self._learn(needed)
+            for i in late:
+                found[i] = [once[w] if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
+        return [b"".join(ids) for ids in found]
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words; those of short words are remembered."""
         parts = {w: m.groups() for w in words if (m := _TAIL.fullmatch(w))}
-        simple = (words - parts.keys()).union(*parts.values()).difference(self.known)
-        if simple:
-            self._encode(list(simple))
+        simple = (words - parts.keys()).union(*parts.values())
+        once = {w: self.known[w] for w in simple if w in self.known}
+        if len(once) < len(simple):
+            self._encode([w for w in simple if w not in once], once)
         for word, (stem, tail) in parts.items():
-            self.known[word] = self.known[stem] + self.known[tail]
-
-    def _encode(self, words: list[bytes]) -> None:
+            once[word] = once[stem] + once[tail]
+        for word, ids in once.items():
+            if len(word) <= REMEMBERED_LENGTH and word not in self.known:
+                self.known[word] = ids
+                self.size += ENTRY_BYTES + len(word) + len(ids)
+        return once
+
+    def _encode(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
         encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         ids = np.array(encoded.ids, dtype="<u4")
@@ -95,14 +112,25 @@ class WordIds:
         cuts = np.searchsorted(starts, begins, "left").tolist()
         data = ids.tobytes()
         for word, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
-            self.known[word] = data[4 * a:4 * b]
+            into[word] = data[4 * a:4 * b]
+
+
+def worker_words(path: str) -> WordIds:
+    """The words of this worker process, which Spark keeps for further tasks: a word is learnt once for all of them.
+
+    Functions come to a worker anew with each task, so what outlasts them is kept by the interpreter's own module.
+    """
+    held = sys.__dict__.setdefault("_corpusmill_words", {})
+    if path not in held:
+        held[path] = WordIds(path)
+    return held[path]
 
 
 def _pieces(path: str | None, sequence: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        words = WordIds(path or public_tokenizers.path("word_bpe_49k.json"))
+        words = worker_words(path or public_tokenizers.path("word_bpe_49k.json"))
         seen = np.zeros(sequence + 1, dtype=np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
@@ -150,7 +178,9 @@ def _filling(first: int, choice: np.ndarray, counts: np.ndarray, capacity: int)
         length = int(choice[room])
         if length and used.get(length, 0) < counts[length]:
             used[length] = used.get(length, 0) + 1
-        room -= length or 1
+            room -= length
+        else:  # used up in this filling: what fits into a little less room
+            room -= 1
     return tuple(sorted(used.items()))
 
 
@@ -205,30 +235,50 @@ def fill_rest(counts: np.ndarray, capacity: int) -> Plan:
     return plan
 
 
+def rounded(fractions: dict[Filling, float], left: np.ndarray) -> Plan:
+    """Whole times of the fillings, along the running sum of their fractions, so that many small ones give their share
+    of whole sequences; never more than `left` holds, from which they are taken."""
+    plan: Plan = []
+    run = 0.0
+    for filling, times in sorted(fractions.items(), key=lambda x: -x[0][-1][0]):
+        whole = min(int(run + times) - int(run), *(int(left[k]) // n for k, n in filling))
+        run += times
+        if whole:
+            plan.append((filling, whole))
+            for k, n in filling:
+                left[k] -= whole * n
+    return plan
+
+
+def programmed(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[Plan, np.ndarray, float]:
+    """(plan, what is left, lower bound of the sequences): the program is solved and rounded, then solved again with new
+    prices for what rounding left over, until a tenth of the pieces is left at most."""
+    left = counts.copy()
+    plan: Plan = []
+    bound = 0.0
+    for solved in range(PROGRAMS):
+        if left.sum() <= LEFT_OVER * counts.sum():
+            break
+        fractions, lower = linear_program(left, capacity, rounds)
+        bound = bound if solved else lower
+        found = rounded(fractions, left)
+        if not found:
+            break
+        plan += found
+    return plan, left, bound
+
+
 def packing_plan(counts: np.ndarray, capacity: int = SEQUENCE, rounds: int = ROUNDS) -> tuple[Plan, float]:
     """((filling, times) using up all counts exactly, lower bound of the number of sequences).
 
-    Fractions are rounded along their running sum, so that many small ones give
-    their share of whole sequences, and never above what is left. With few
-    pieces of each length rounding may cost more than the program gains; plain
-    best-fit then stands.
+    Pieces that even the last program leaves over, single ones of many lengths, are filled best-fit.
     """
     left = counts.astype(np.int64).copy()
     left[0] = 0
     full, left[capacity] = int(left[capacity]), 0
     plan: Plan = [(((capacity, 1),), full)] if full else []
-    fractions, bound = linear_program(left, capacity, rounds) if left.any() else ({}, 0.0)
-    run = 0.0
-    for filling, times in fractions.items():
-        whole = min(int(run + times) - int(run), *(int(left[k]) // n for k, n in filling))
-        run += times
-        if whole:
-            plan.append((filling, whole))
-            for k, n in filling:
-                left[k] -= whole * n
-    program = plan + fill_rest(left, capacity)
-    plain = fill_rest(counts * (np.arange(len(counts)) > 0), capacity)
-    return min(program, plain, key=lambda p: sum(times for _, times in p)), full + bound
+    found, rest, bound = programmed(left, capacity, rounds)
+    return plan + found + fill_rest(rest, capacity), full + bound
 
 
 def _slots(plan: Plan) -> np.ndarray:

@@ -8,7 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusmill.llm.packing import WordIds
+from corpusmill.llm import packing
+from corpusmill.llm.packing import LEFT_OVER, WordIds, fill_rest, packing_plan, programmed
 
 WORDS = WordIds(public_tokenizers.path("word_bpe_49k.json"))
 MARKED = ["H\u0331", "T\u0308", "J\u030c", "W\u030a", "Y\u030a", "E\u0301", "a\u0308", "\u0331", "K\u212a", "I\u0307", "\u03a3"]
@@ -31,3 +32,28 @@ def test_capitals_with_combining_marks(text):
 @given(st.lists(st.sampled_from(MARKED) | st.text("ABhtJWy\u0308\u030a\u0331", max_size=5), max_size=8), st.sampled_from([" ", "\n", ""]))
 def test_marked_words_have_the_ids_of_the_whole_text(parts, joint):
     assert ids(joint.join(parts)) == whole(joint.join(parts))
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    words = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 20_000)
+    texts = [" ".join(f"word{i}x{j}" for j in range(50)) + " " + "no-blanks" * 500 for i in range(40)]
+    for text in texts:
+        got = np.frombuffer(words.of([text.encode()])[0], dtype="<u4").tolist()
+        assert got == words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert words.size < 20_000 + 60 * 400 and max(map(len, words.known)) <= packing.REMEMBERED_LENGTH
+
+
+@pytest.mark.parametrize(("low", "high", "pieces"), [(600, 1100, 5000), (1, 2048, 8000), (100, 900, 3000)])
+def test_program_places_most_pieces(low, high, pieces):
+    counts = np.bincount(np.random.default_rng(3).integers(low, high, pieces), minlength=2049)
+    plan, left, bound = programmed(counts, 2048)
+    assert left.sum() <= 0.3 * counts.sum() and LEFT_OVER < 0.3
+    whole, lower = packing_plan(counts)
+    used = np.zeros(2049, dtype=np.int64)
+    for filling, times in whole:
+        assert sum(k * n for k, n in filling) <= 2048
+        for k, n in filling:
+            used[k] += times * n
+    assert (used == counts).all() and lower == bound
+    assert bound <= sum(t for _, t in whole) <= 1.02 * sum(t for _, t in fill_rest(counts, 2048))
