@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from checks.phrases import keyphrases_sql
 from checks.registry import check
 from checks.search import TERM
 from checks.views import duck, table, view
@@ -164,14 +165,8 @@ j AS (SELECT idn AS identifier, title, category, urls, body, {HEADER} AS header,
              regexp_extract_all(body, '{CODE}', 1) AS code
       FROM (SELECT *, TRY_CAST(identifier AS BIGINT) AS idn, {BODY} AS body FROM papers
             WHERE NOT contains(identifier, '/')) JOIN first USING (idn)),
-need AS (SELECT identifier, regexp_extract_all(lower(body), '{TERM}') AS t FROM j
-         WHERE NOT (header IS NOT NULL AND len(code) > 0)),
-grams AS (SELECT identifier, unnest(t) AS phrase FROM need
-  UNION ALL SELECT identifier, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM need
-  UNION ALL SELECT identifier, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM need),
-tf AS (SELECT identifier, phrase, round(count(*) * sqrt(len(string_split(phrase, ' '))), 6) AS score FROM grams GROUP BY identifier, phrase),
-best AS (SELECT identifier, phrase, row_number() OVER (PARTITION BY identifier ORDER BY score DESC, phrase) AS rank
-         FROM tf QUALIFY rank <= 6),
+need AS (SELECT identifier, body FROM j WHERE NOT (header IS NOT NULL AND len(code) > 0)),
+{keyphrases_sql('body', 'need', 'identifier')},
 ph AS (SELECT identifier, string_agg(phrase, ',' ORDER BY rank) AS phrases FROM best GROUP BY identifier),
 cross_checked AS (SELECT j.identifier, title, category, urls, array_to_string(code, '||') AS mentioned_software,
   CASE WHEN header IS NOT NULL AND len(code) > 0 THEN header ELSE coalesce(phrases, '') END AS keywords

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from checks.phrases import keyphrases_sql
 from checks.registry import check
 from checks.views import duck, table, view
 from corpusmill.functions import text as tx
@@ -57,7 +58,7 @@ def ranked(n: int, idc: str = "doc_id") -> str:
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return table(spark, sf_dir, "documents", True)
 
 
 _INDEXES: dict[tuple[str, str], TextIndex] = {}
@@ -265,13 +266,7 @@ def chunk_text(spark, sf_dir):
     return search.chunk_text(docs(spark, sf_dir))
 
 
-@check("keyphrases_topk", f"""WITH toks AS (SELECT doc_id, regexp_extract_all(lower(text), '{TERM}') AS t FROM documents),
-grams AS (SELECT doc_id, unnest(t) AS phrase FROM toks
-  UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM toks
-  UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM toks),
-tf AS (SELECT doc_id, phrase, round(count(*) * sqrt(len(string_split(phrase, ' '))), 6) AS score FROM grams GROUP BY doc_id, phrase)
-SELECT doc_id, phrase, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS rank
-FROM tf QUALIFY rank <= 6""", ints="rank")
+@check("keyphrases_topk", f"WITH {keyphrases_sql('text', 'documents', 'doc_id')} SELECT doc_id, phrase, score, rank FROM best", ints="rank")
 def keyphrases_topk(spark, sf_dir):
     return search.keyphrases_topk(docs(spark, sf_dir))
 

@@ -109,13 +109,20 @@ SELECT page_id + 1000000000, url || ' http://missing.example.org/' || CAST(page_
 FROM {pages} WHERE page_id % 10 = 0
 """
 
+# Pages with meta tags, `>` in quoted values, capital, unclosed and void tags, quotes that never end.
 RICH_PAGES = """
 SELECT page_id, url,
+       CASE page_id % 5
+         WHEN 0 THEN '<DIV TITLE="x>y" data-a=' || chr(39) || '<b>no</b>' || chr(39) || '>shown<IMG alt="a > b" src=x>more</DIV>'
+         WHEN 1 THEN '<p don' || chr(39) || 't>it' || chr(39) || 's <a href="u>v"/>here <a title="never>ends>'
+         WHEN 2 THEN '<H1 class="a>b">Page <I>number</I> <br/> ' || CAST(page_id AS STRING) || '</H1><b title=">">bold words'
+         WHEN 3 THEN '<section><h1>Unclosed words<hr></section><title data-x="</title>">Late &amp; long</TITLE ><i>1 < 2</i>'
+         ELSE '' END ||
        replace(html, '<head>', '<head>' || CASE page_id % 4
          WHEN 1 THEN '<meta name="description" content="A &quot;short&quot; text of page ' || CAST(page_id AS STRING) || '">'
          WHEN 2 THEN '<meta content=' || chr(39) || 'Own title ' || CAST(page_id AS STRING) || chr(39)
               || ' property=' || chr(39) || 'og:title' || chr(39) || '/><meta name="description" content="Single">'
-         WHEN 3 THEN '<meta charset="x"><meta name=description content="caf&#233; &#x41;lpha &amp;lt; beta">'
+         WHEN 3 THEN '<meta charset="x"><META content="caf&#233; &#x41;lpha > &amp;lt; beta" data-b="name=description" NAME=description>'
          ELSE '' END) AS html
 FROM {pages}
 """
@@ -151,14 +158,18 @@ VIEWS = {"papers": PAPERS, "paper_urls": PAPER_URLS, "repos": REPOS, "connected"
          "url_lists": URL_LISTS, "rich_pages": RICH_PAGES, "minutes": MINUTES}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return parquet_table(spark, f"{sf_dir}/{name}.parquet")
+#: Tables with long rows, which the views work on.
+TEXTS = ("documents", "pages", "conversations")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, deal: bool = False) -> DataFrame:
+    return parquet_table(spark, f"{sf_dir}/{name}.parquet", deal)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a lazy DataFrame."""
     text = VIEWS[name]
-    sources = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
+    sources = {t: table(spark, sf_dir, t, t in TEXTS) for t in TABLES if "{" + t + "}" in text}
     return spark.sql(text, **sources)
 
 

@@ -1,12 +1,15 @@
-"""Column functions on HTML text: one pass of markup removal, then entities.
+"""Column functions on HTML text: tokens, then text, attributes and elements from them, then entities.
 
-Patterns read the page from left to right, so a tag inside a script or a
-comment counts as part of it. Quoted `>` inside attributes are not told apart.
+A page is cut from left to right into comments, scripts and the like with all they hold, tags and text. A tag ends
+at the first `>` outside its quoted values; where a quote never ends, at the first `>` at all. Elements are found
+by a fold over the tokens with the stack of open elements: void elements are not stacked, an end tag closes what was
+opened since its start tag, an end tag without one closes nothing.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -14,10 +17,17 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import bind, strip
 
-# What is markup.
-HIDDEN = (r"<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
-          r"|<template\b[^>]*>.*?(?:</template\s*>|\z)|<!doctype[^>]*>")
-TAG = r"</?[a-z][^>]*>"
+# What is markup. Within a tag each character can be read in one way only, so nothing is tried twice (`*+`),
+# and a tag that does not end is given up in linear time; then the simpler form of a tag is tried.
+_PLAIN = r"[^>\"'=]*"
+_BODY = rf"{_PLAIN}(?:=\s*(?:\"[^\"]*\"|'[^']*'|){_PLAIN})*+"
+HIDDEN = (r"<!--.*?(?:-->|\z)" + "".join(
+    rf"|<{name}(?:[\s/]{_BODY})?>.*?(?:</{name}\s*>|\z)" for name in ("script", "style", "template")) + r"|<![^>]*>|<\?[^>]*>")
+TAG = rf"</?[a-z]{_BODY}>|</?[a-z][^>]*>"
+TOKEN = rf"(?is){HIDDEN}|{TAG}|[^<]+|<"
+TAG_NAME = r"^</?([a-zA-Z][^\s/>]*)"
+ATTRIBUTE = r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 #: Every named character of the HTML standard that ends with a semicolon.
 ENTITIES = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
 LONGEST = max(map(len, ENTITIES))
@@ -58,49 +68,90 @@ def decode_entities(text: Column) -> Column:
     return bind(F.split(text, "&"), joined)
 
 
+def tokens(html: Column) -> Column:
+    """The page in pieces: markup and text, in order; together they are the page."""
+    return F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))
+
+
+def _is_text(token: Column) -> Column:
+    return ~F.regexp_like(token, F.lit("(?i)^<[/a-z!?]"))
+
+
 def page_text(html: Column) -> Column:
     """Visible text: no scripts, styles, comments or tags; entities decoded."""
     return decode_entities(F.regexp_replace(html, f"(?is){HIDDEN}|{TAG}", ""))
 
 
-def visible_markup(html: Column) -> Column:
-    """The page without scripts, styles, templates and comments."""
-    return F.regexp_replace(html, f"(?is){HIDDEN}", "")
+def attributes(tag: Column) -> Column:
+    """map<name, value> of a tag: names in small letters, values decoded; the last of equal names counts."""
+    found = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0))
+    pairs = F.transform(found, lambda a: F.struct(
+        F.lower(F.regexp_extract(a, ATTRIBUTE, 1)).alias("name"),
+        decode_entities(F.concat(*[F.regexp_extract(a, ATTRIBUTE, i) for i in (2, 3, 4)])).alias("value")))
+    return bind(pairs, lambda p: F.map_from_entries(F.filter(p, lambda x, i: ~F.exists(
+        F.slice(p, i + 2, F.size(p)), lambda later: later["name"] == x["name"]))))
+
+
+def element_text(page: Column, name: str, ends_at: Sequence[str] = ()) -> Column:
+    """Text of the first element of a name in a page's tokens, each text node stripped; null without one.
+
+    It ends with its end tag, with that of an element around it, or with any tag named in `ends_at`.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.lit(0).alias("inside"),
+                     F.array().cast("array<string>").alias("texts"), F.lit(False).alias("done"))
+
+    def tag(state: Column, token: Column, tag_name: Column) -> Column:
+        place = F.array_position(F.reverse(state["open"]), tag_name)
+        ends, empty = F.startswith(token, F.lit("</")), F.endswith(token, F.lit("/>")) | tag_name.isin(*VOID)
+        found = ~ends & (state["inside"] == 0) & (tag_name == name)
+        stack = F.when(ends & (place > 0), F.slice(state["open"], F.lit(1), F.size(state["open"]) - place.cast("int"))).when(
+            ends | empty, state["open"]).otherwise(F.concat(state["open"], F.array(tag_name)))
+        depth = F.when(found, F.size(state["open"]) + 1).otherwise(state["inside"])
+        stops = (state["inside"] > 0) & tag_name.isin(*ends_at) if ends_at else F.lit(False)
+        return bind(stack, lambda s: F.struct(s.alias("open"), depth.alias("inside"), state["texts"].alias("texts"),
+                                              (stops | ((depth > 0) & (F.size(s) < depth))).alias("done")))
+
+    def step(state: Column, token: Column) -> Column:
+        text = F.struct(state["open"].alias("open"), state["inside"].alias("inside"),
+                        F.concat(state["texts"], F.array(token)).alias("texts"), F.lit(False).alias("done"))
+        tag_name = F.lower(F.regexp_extract(token, TAG_NAME, 1))
+        return F.when(state["done"], state).when(_is_text(token), F.when(state["inside"] > 0, text).otherwise(state)).otherwise(
+            bind(tag_name, lambda t: F.when(t == "", state).otherwise(tag(state, token, t))))
 
+    def finished(state: Column) -> Column:
+        return F.when(state["inside"] > 0, F.array_join(F.transform(state["texts"], lambda t: strip(decode_entities(t))), ""))
 
-def _inner(markup: Column, pattern: str) -> Column:
-    """Text of the first element that matches, each text node stripped; null without one."""
-    inner = F.regexp_replace(F.regexp_extract(markup, pattern, 1), r"(?is)\s*" + TAG + r"\s*", "")
-    return F.when(F.regexp_like(markup, F.lit(pattern)), strip(decode_entities(inner)))
+    # A script or the like is one token that begins as a tag does: it opens nothing.
+    seen = F.filter(page, lambda t: ~F.regexp_like(t, F.lit(r"(?is)^<(?:script|style|template)[\s/>]")))
+    return F.aggregate(seen, start, step, finished)
 
 
-def title_tag(markup: Column) -> Column:
-    return _inner(markup, r"(?is)<title\b[^>]*>(.*?)</title\s*>")
+def title_tag(page: Column) -> Column:
+    return element_text(page, "title")
 
 
-def first_h1(markup: Column) -> Column:
-    return _inner(markup, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>")
+def first_h1(page: Column) -> Column:
+    return element_text(page, "h1")
 
 
-def first_b(markup: Column) -> Column:
+def first_b(page: Column) -> Column:
     """First bold text; an unclosed one ends at the next break or paragraph."""
-    return _inner(markup, r"(?is)<b\b[^>]*>(.*?)(?:</b\s*>|<br\b|</?p\b|\z)")
+    return element_text(page, "b", ("br", "p"))
 
 
-def _meta(markup: Column, attribute: str, value: str) -> Column:
-    tag = F.regexp_extract(
-        markup, r"(?is)<meta\b[^>]*[\s\"']" + attribute + r"\s*=\s*[\"']?" + value + r"(?:[\"'\s/][^>]*)?>", 0)
-    content = r"(?is)[\s\"']content\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    groups = F.concat(*[F.regexp_extract(tag, content, i) for i in (1, 2, 3)])
-    return F.when(F.regexp_like(tag, F.lit(content)), decode_entities(groups))
+def _meta(page: Column, attribute: str, value: str) -> Column:
+    """The content of the first <meta> tag whose attribute has the value; null without one."""
+    tags = F.transform(F.filter(page, lambda t: F.regexp_like(t, F.lit(r"(?i)^<meta[\s/]"))), attributes)
+    fitting = F.filter(tags, lambda m: F.coalesce(F.try_element_at(m, F.lit(attribute)) == value, F.lit(False)))
+    return F.try_element_at(F.get(fitting, F.lit(0)), F.lit("content"))
 
 
-def meta_description(markup: Column) -> Column:
-    return _meta(markup, "name", "description")
+def meta_description(page: Column) -> Column:
+    return _meta(page, "name", "description")
 
 
-def og_title(markup: Column) -> Column:
-    return _meta(markup, "property", "og:title")
+def og_title(page: Column) -> Column:
+    return _meta(page, "property", "og:title")
 
 
 def best_title(*candidates: Column) -> Column:

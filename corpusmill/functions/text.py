@@ -103,26 +103,6 @@ def run_lengths(items: Column) -> Column:
     return bind(F.sort_array(items), runs)
 
 
-def ngrams(tokens: Column, max_n: int = 3) -> Column:
-    """All 1..max_n word phrases of a token array, in order of size."""
-    def of_size(t: Column, n: int) -> Column:
-        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(
-            F.expr("array()").cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
-
-    return bind(tokens, lambda t: F.concat(t, *[of_size(t, n) for n in range(2, max_n + 1)]))
-
-
-def best_phrases(tokens: Column, top: int, max_n: int = 3) -> Column:
-    """array<struct<phrase, score>>: the best 1..max_n word phrases of a text by frequency times root of their length."""
-    def scored(run: Column) -> Column:
-        length = F.length(run["term"]) - F.length(F.replace(run["term"], F.lit(" "), F.lit(""))) + 1
-        return F.struct(F.round(-run["n"] * F.sqrt(length), 6).alias("order"), run["term"].alias("phrase"))
-
-    found = F.sort_array(F.transform(run_lengths(ngrams(tokens, max_n)), scored))
-    return F.transform(F.slice(found, 1, top), lambda p: F.struct(p["phrase"].alias("phrase"), (-p["order"]).alias("score")))
-
-
 def chunks(text: Column, chunk_size: int = 250, separator: str = "\n") -> Column:
     """Pieces between separators merged greedily up to `chunk_size` characters.
 

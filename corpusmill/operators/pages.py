@@ -27,11 +27,11 @@ LANGUAGES = ("python", "javascript", "java", "c", "c++", "c#", "ruby", "php", "s
 
 def page_titles(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add title, meta_description, og_title, first_h1, first_b and page_title."""
-    markup = pages.withColumn("_markup", hx.visible_markup(F.col(html)))
-    m = F.col("_markup")
-    parts = markup.withColumns({
+    cut = pages.withColumn("_tokens", hx.tokens(F.col(html)))
+    m = F.col("_tokens")
+    parts = cut.withColumns({
         "title": hx.title_tag(m), "meta_description": hx.meta_description(m), "og_title": hx.og_title(m),
-        "first_h1": hx.first_h1(m), "first_b": hx.first_b(m)}).drop("_markup")
+        "first_h1": hx.first_h1(m), "first_b": hx.first_b(m)}).drop("_tokens")
     order = ("title", "meta_description", "og_title", "first_h1", "first_b")
     return parts.withColumn("page_title", hx.best_title(*[F.col(c) for c in order]))
 

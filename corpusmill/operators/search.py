@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
+from corpusmill.functions.keyphrases import keyphrases
 from corpusmill.operators.text_index import TextIndex, as_index
 from corpusmill.tables import literal_table
 
@@ -202,7 +203,7 @@ def chunk_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keyphrases_topk(docs: DataFrame, top: int = 6, max_n: int = 3, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(id, rank, phrase, score): the best 1..max_n word phrases of each text, from that text alone."""
-    best = tx.best_phrases(tx.terms(F.col(text_col)), top, max_n)
+    best = keyphrases(F.col(text_col), top, max_n)
     return docs.select(id_col, F.posexplode(best).alias("at", "p")).select(
         id_col, (F.col("at") + 1).alias("rank"), "p.phrase", "p.score")
 

@@ -10,9 +10,18 @@ JSONL_SCHEMA = "prompt STRING, response STRING, source STRING"
 
 
 
-def parquet_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table, scanned as it is split."""
-    return spark.read.parquet(path)
+def parquet_table(spark: SparkSession, path: str, deal: bool = False) -> DataFrame:
+    """A parquet table, scanned as it is split.
+
+    With `deal` a table smaller than one split, which a single task would read, is dealt out to all cores for work that is
+    heavy by the row; a larger one stays as it is, whatever its size, so no more than a split is ever moved.
+    """
+    rows = spark.read.parquet(path)
+    if not deal:
+        return rows
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size < split else rows
 
 
 def _delimited(spark: SparkSession, path: str, columns, sep: str, header: bool, line_breaks: bool = False) -> DataFrame:

@@ -15,6 +15,8 @@ def one(spark, value, fn):
 @pytest.mark.parametrize("html,text", [
     ('<p>a<script>var t="</p><b>x</b>";</script>b</p>', "ab"), ("a<!-- <b>no</b> -->b", "ab"),
     ("<style>p{}</style><P>A &amp;lt; B</P>", "A &lt; B"), ("1 < 2 &copy; &#233;&#xE9; &#99999999; &unknown; &", "1 < 2 © éé &#99999999; &unknown; &"),
+    ('<a title="x>y">z</a>', "z"), ("<a title='x>\"y'>z<IMG ALT = \"a>b\"/>w", "zw"), ("<p don't>a</p> it's <b>b", "a it's b"),
+    ('<a title="never>ends', "ends"), ("<a b=c'd>e", "e"), ('<script x="a>b">hidden</script>c<?pi x?>', "c"), ("a<b", "a<b"),
     ("<!DOCTYPE html><html>x</html>", "x"), ("<script>open", ""), ("", ""), (None, None)])
 def test_page_text(spark, html, text):
     assert one(spark, html, hx.page_text) == text
@@ -32,6 +34,24 @@ def test_titles(spark):
     assert r["page_title"] == "some words - Own title - bold text"
 
 
+@pytest.mark.parametrize("html, name, text", [
+    ("<div><h1>a<i>b</i> c<hr></div>d</h1>", "h1", "abc"), ("<h1>a<h1>b</h1>c</h1>d", "h1", "abc"), ("<h1 x='>'>a</H1 >b", "h1", "a"),
+    ("</div><h1>a</i></h1>", "h1", "a"), ("<h1/>b<h1>c", "h1", ""), ("<p>none", "h1", None), ("<h1>a<script><h1>x</h1></script>b", "h1", "ab"),
+    ("<u><h1>a &amp;<br> b ", "h1", "a &b"), (None, "h1", None), ("", "h1", None)])
+def test_elements_end_with_the_stack(spark, html, name, text):
+    assert one(spark, html, lambda c: hx.element_text(hx.tokens(c), name)) == text
+
+
+def test_attributes_are_a_map(spark):
+    tag = """<META Name="a>b" content='x "y" = z' name=last empty data-x = "1&amp;2" bare=q/>"""
+    assert one(spark, tag, hx.attributes) == {"name": "last", "content": 'x "y" = z', "data-x": "1&2", "bare": "q/"}
+
+
+@pytest.mark.parametrize("html", ['<a b="c', "<" * 50, "<a " + "x=" * 5000, '<a x="' * 300, "text", "<p>" * 400 + "<b>x"])
+def test_tokens_are_lossless_and_quick(spark, html):
+    assert "".join(one(spark, html, hx.tokens)) == html
+
+
 def test_no_titles_give_null(spark):
     r = titles(spark, '<meta name="description"><h1></h1><script><title>no</title></script><!-- <b>x y</b> -->')
     assert r["title"] is None and r["meta_description"] is None and r["first_b"] is None and r["first_h1"] == ""

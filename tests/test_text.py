@@ -71,12 +71,6 @@ def test_run_lengths_count_like_a_counter(spark, items):
     assert {r["term"]: r["n"] for r in found} == dict(Counter(items))
 
 
-@pytest.mark.parametrize("tokens,expected", [
-    ([], []), (["a"], ["a"]), (["a", "b"], ["a", "b", "a b"]), (["a", "b", "c"], ["a", "b", "c", "a b", "b c", "a b c"])])
-def test_ngrams(spark, tokens, expected):
-    assert one(spark, tokens, tx.ngrams, "array<string>") == expected
-
-
 def greedy(text, size, sep="\n"):
     chunks, cur = [], None
     for piece in [p for p in text.split(sep) if p != ""]:
