@@ -255,11 +255,16 @@ def sink_named_by_options(spark, sf_dir):
 
 @check("sink_table_replace", minutes_sql("SELECT * EXCLUDE (path) FROM calls WHERE attendees IS NOT NULL", CALLS))
 def sink_table_replace(spark, sf_dir):
-    # Written twice: the second write must replace the first.
+    # Written twice below one path, other rows first; a write that is refused in between changes nothing.
     calls = mn.operations_call(minutes(spark, sf_dir))
-    for _ in range(2):
-        name = writers.replace_table(calls, "operations_call", new_path(spark, "calls"))
-    return readers.table_scan(spark, name)
+    path = new_path(spark, "calls")
+    writers.replace_table(calls.withColumn("aob", F.lit("first")).limit(5), "operations_call", path)
+    writers.replace_table(calls, "operations_call", path)
+    try:
+        writers.replace_table(calls.withColumn("ops_call_date", F.lit(None)), "operations_call", path)
+    except ValueError:
+        pass
+    return readers.table_scan(spark, "operations_call")
 
 
 @check("check_not_null", duck("repos", """SELECT count(*) FILTER (WHERE description IS NULL) AS description,
@@ -324,24 +329,28 @@ def row_ids(spark, sf_dir):
     return tb.row_ids(urls(spark, sf_dir).select("identifier", "seq"), "identifier", "seq")
 
 
-def share(salt: str) -> str:
-    return f"(('0x' || substr(md5('{salt}|' || doc_id), 1, 8))::BIGINT % 1000)"
+def placed(salt: str, source: str) -> str:
+    return f"""SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5('{salt}|' || doc_id), 1, 8))::BIGINT, doc_id::VARCHAR) - 1 AS place,
+  count(*) OVER () AS total FROM {source}"""
 
 
-@check("split_train_val_test", f"""SELECT doc_id, quality, CASE WHEN {share('test')} < 200 THEN 'test'
-  WHEN {share('validation')} < 250 THEN 'validation' ELSE 'train' END AS split FROM documents LEFT JOIN labels USING (doc_id)""")
+@check("split_train_val_test", f"""WITH given AS (SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)),
+tested AS ({placed('test', 'given')}),
+rest AS ({placed('validation', "(SELECT doc_id, quality FROM tested WHERE place >= ceil(total * 0.2))")})
+SELECT doc_id, quality, 'test' AS split FROM tested WHERE place < ceil(total * 0.2)
+UNION ALL SELECT doc_id, quality, CASE WHEN place < ceil(total * 0.25) THEN 'validation' ELSE 'train' END FROM rest""")
 def split_train_val_test(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id").join(
         table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     return sp.split_train_val_test(rows, "doc_id")
 
 
-@check("split_train_test", f"SELECT doc_id, CASE WHEN {share('test')} < 350 THEN 'test' ELSE 'train' END AS split FROM documents")
+@check("split_train_test", f"SELECT doc_id, CASE WHEN place < ceil(total * 0.35) THEN 'test' ELSE 'train' END AS split FROM ({placed('test', 'documents')})")
 def split_train_test(spark, sf_dir):
     return sp.split_train_test(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.35)
 
 
-@check("shard_round_robin", "SELECT doc_id, ((('0x' || substr(md5('shard|' || doc_id), 1, 8))::BIGINT) % 8)::INT AS shard FROM documents")
+@check("shard_round_robin", f"SELECT doc_id, (place * 8 // total)::INT AS shard FROM ({placed('shard', 'documents')})")
 def shard_round_robin(spark, sf_dir):
     path = writers.write_splits(sp.shard(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 8),
                                 new_path(spark, "shards"), ("shard",))

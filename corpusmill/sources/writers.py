@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +25,9 @@ NOT_NULL = {
     "operations_call": ("shift_name", "ops_call_date"),
 }
 KEYS = {"paper_info": "id", "software": "id", "operations_call": "shift_name"}
+#: The column by which the rows of a table are dealt to its files: tables looked up by one column are joined without a shuffle.
+BUCKETED = {"paper_info": "paper_identifier", "software": "paper_identifier", "operations_call": "shift_name"}
+BUCKETS = 16
 
 
 _KEEP = {"quote": '"', "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False,
@@ -74,19 +78,39 @@ def _refuse(typed: DataFrame, name: str) -> None:
         raise ValueError(f"{name} refuses rows with {', '.join(wrong)}")
 
 
-def replace_table(rows: DataFrame, name: str, path: str | None = None) -> str:
-    """Drop and rebuild one of the known tables; the columns are cast to its types.
+def _versions(spark: SparkSession, name: str) -> list[str]:
+    """The stored versions of a table, oldest first."""
+    return sorted(t.name for t in spark.catalog.listTables(pattern=f"{name}__v*") if t.tableType != "VIEW")
 
-    Nulls where the table has none and keys that repeat stop the write.
+
+def replace_table(rows: DataFrame, name: str, path: str | None = None, buckets: int = BUCKETS) -> str:
+    """Rebuild one of the known tables; the columns are cast to its types.
+
+    The rows are written beside the stored ones as a new version, sorted and bucketed by the column that look-ups
+    use. Only when what was written keeps the table's constraints (no nulls where it has none, no key twice) is the
+    name, a view, pointed at it, in one step of the catalog. So the rows are computed once, and a write that fails
+    or is refused leaves the old rows in place. The version before stays for those who still read it; older ones go.
     """
     if name not in TABLES:
         raise NameError(f"table name must be one of {', '.join(TABLES)}")
+    spark = rows.sparkSession
     fields = T.StructType.fromDDL(TABLES[name]).fields
     typed = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                           for f in fields])
-    _refuse(typed, name)
-    writer = typed.write.mode("overwrite").format("parquet")
-    (writer.option("path", path) if path else writer).saveAsTable(name)
+    before = _versions(spark, name)
+    version = f"{name}__v{time.time_ns():020d}"
+    writer = typed.repartition(buckets, BUCKETED[name]).write.format("parquet").bucketBy(buckets, BUCKETED[name]).sortBy(BUCKETED[name])
+    try:
+        (writer.option("path", f"{path}/{version}") if path else writer).saveAsTable(version)
+        _refuse(spark.table(version), name)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {version}")
+        raise
+    if any(t.name == name and t.tableType != "VIEW" for t in spark.catalog.listTables(pattern=name)):
+        spark.sql(f"DROP TABLE {name}")  # stored under its own name by an earlier release
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
+    for old in before[:-1]:
+        spark.sql(f"DROP TABLE IF EXISTS {old}")
     return name
 
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,22 @@ def test_months(spark):
     assert {r["yymm"]: r["running"] for r in tb.running_rows(m).collect()} == {"9801": 1, "0712": 3, "2403": 4}
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 1000])
+def test_parts_have_exact_sizes_whatever_the_keys(spark, n):
+    """Unique keys, one key for a third of the rows, null and empty keys, equal rows; any partitioning gives the same parts."""
+    values = [(None if i % 50 == 1 else "" if i % 50 == 2 else "hot" if i % 3 == 0 else f"k{i}", i % 2) for i in range(n)]
+    given = spark.createDataFrame(values, "k string, v int")
+    parts = [rows(f(given.repartition(p))) for f in (lambda d: sp.split_train_val_test(d, "k"), lambda d: sp.shard(d, "k", 4)) for p in (1, 7)]
+    assert parts[0] == parts[1] and parts[2] == parts[3]
+    assert sorted(map(repr, (r[:2] for r in parts[0]))) == sorted(map(repr, values))
+    n_test = -(-n // 5)
+    n_validation = -(-(n - n_test) // 4)
+    sizes = Counter(r[2] for r in parts[0])
+    assert (sizes["test"], sizes["validation"], sizes["train"]) == (n_test, n_validation, n - n_test - n_validation)
+    even = Counter(r[2] for r in parts[2])
+    assert all(n // 4 <= even[i] <= -(-n // 4) for i in range(4)) and sum(even.values()) == n
+
+
 def test_splits_are_stable_and_about_the_right_size(spark):
     first = rows(sp.split_train_val_test(numbers(spark), "k"))
     again = rows(sp.split_train_val_test(numbers(spark).repartition(3), "k"))
@@ -93,6 +111,35 @@ def test_tables_are_replaced_and_typed(spark, tmp_path):
         writers.replace_table(calls, "other")
 
 
+def test_a_refused_write_leaves_the_old_rows(spark, tmp_path):
+    info = spark.createDataFrame([(i, i, f"t{i}", "k") for i in range(20)], "id int, paper_identifier long, paper_title string, paper_keywords string")
+    writers.replace_table(info, "paper_info", str(tmp_path / "p"))
+    for wrong in (info.unionByName(info), info.withColumn("paper_title", F.lit(None).cast("string")),
+                  info.withColumn("paper_title", F.raise_error(F.lit("broken")).cast("string"))):
+        with pytest.raises(Exception, match="refuses|broken"):
+            writers.replace_table(wrong, "paper_info", str(tmp_path / "p"))
+        assert readers.table_scan(spark, "paper_info").count() == 20
+    writers.replace_table(info.where("id < 3"), "paper_info", str(tmp_path / "p"))
+    assert rows(readers.table_scan(spark, "paper_info").select("id")) == [(0,), (1,), (2,)]
+
+
+def test_stored_tables_join_without_a_shuffle(spark, tmp_path, capsys):
+    info = spark.createDataFrame([(i, i, f"t{i}", "k") for i in range(50)], "id int, paper_identifier long, paper_title string, paper_keywords string")
+    software = spark.createDataFrame([(i, f"u{i}", "r", "d", i, "l", i % 50) for i in range(200)],
+                                     "id int, url string, repo_name string, repo_description string, stars int, language string, paper_identifier long")
+    writers.replace_table(info, "paper_info", str(tmp_path / "p"))
+    writers.replace_table(software, "software", str(tmp_path / "s"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = readers.table_scan(spark, "software").drop("id").join(readers.table_scan(spark, "paper_info"), "paper_identifier")
+        joined.explain()
+        assert joined.count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Exchange" not in capsys.readouterr().out
+
+
 def test_names_carry_options():
     assert writers.option_name("dataset", True, False, 5, 10) == "dataset_astroph1_hess0_skiprows5_maxrows10"
 
