@@ -53,9 +53,13 @@ def fields(df: DataFrame, more: str) -> T.StructType:
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """(rid, id, text, row) and whether rid is a number of our own: it is the id where ids are unique."""
+    """(rid, id, text, row) and whether rid is a number of our own: it is the id where ids are unique.
+
+    An id that is no whole number counts as null; such rows are told apart by numbers of our own.
+    """
+    number = F.col(f"`{id_col}`").try_cast("bigint") if id_col in docs.columns else F.lit(None).cast("bigint")
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       column_or_null(docs, id_col, "bigint").alias("id"),
+                       number.alias("id"),
                        column_or_null(docs, text_col, "string").alias("text"))
     repeated = wide.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("id").isNull())
     if repeated.isEmpty():

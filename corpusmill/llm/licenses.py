@@ -88,6 +88,12 @@ NOTICES = {
         "general public license", " version 2 of the license as published")), 29),
     **dict.fromkeys((_GNU.format("general public license version 3"), _GNU.replace(" as published", "{}").format(
         "general public license", " version 3 of the license as published")), 19),
+    "creative commons attribution 4 0 international": 30, "creative commons attribution 4 0 international license": 30,
+    "creative commons attribution sharealike 4 0 international": 31,
+    "creative commons attribution sharealike 4 0 international license": 31,
+    "released under the mit license see license": 1, "licensed under the mit license see license": 1,
+    "boost software license version 1 0 17th august 2003": 92, "boost software license version 1 0 august 17th 2003": 92,
+    "distributed under the boost software license version 1 0": 92,
     "cc0 1 0 universal": 34, "licensed under cc0 1 0": 34,
     **{f"to the extent possible under law the {who} all copyright and related {kind} neighboring rights to this {what}": 35
        for who in ("author s have waived", "author has waived", "person who associated cc0 with this work has waived")
@@ -144,7 +150,7 @@ NOTICE_RULES = (
     ((34,), "CC0-1.0"), ((35,), "CC0-1.0"),
     *_bsd("BSD-4-Clause", (44, 43)), *_bsd("BSD-3-Clause", (43,)), *_bsd("BSD-2-Clause", ()),
     ((46,), "BSD-3-Clause"), ((47,), "BSD-2-Clause"),
-    ((60,), "ISC"), ((61,), "ISC"), ((62,), "0BSD"), ((90,), "MPL-2.0"), ((91,), "MPL-2.0"),
+    ((60,), "ISC"), ((61,), "ISC"), ((62,), "0BSD"), ((90,), "MPL-2.0"), ((91,), "MPL-2.0"), ((92,), "BSL-1.0"),
 )
 RESULTS = ("sentence_ids", "licenses")
 
@@ -152,13 +158,17 @@ _OTHER = "[^a-z0-9]+"
 #: Words that every known sentence has one of; a sentence without them is not normalised.
 _HINT = "(?i)licen|copyright|warrant|permission|redistribut|rights reserved|free software|in the hope"
 #: The same for every text with a sentence of an unabridged notice.
-_HINTS = f"{_HINT}|cc0|endorse or promote|advertising materials"
-#: Sentences that name a holder, as (pattern, the known sentence's words); a name has up to 30 words.
+_HINTS = f"{_HINT}|cc0|creative commons|endorse or promote|advertising materials"
+#: Sentences that name a holder, as (pattern, the known sentence's words). The fixed words on both sides mark the name,
+#: which has as many words as it has; it ends with its sentence.
 _HOLDERS = (
-    (r"neither the names? of (?:[a-z0-9]+ ){1,30}?nor the names? of (?:[a-z0-9]+ ){0,30}?contributors", _NAMES),
-    (r"this software is provided by (?:[a-z0-9]+ ){1,30}?as is and any express",
+    (r"neither the names? of [a-z0-9 ]+? nor the names? of [a-z0-9 ]*?contributors", _NAMES),
+    (r"this software is provided by [a-z0-9 ]+? as is and any express",
      "this software is provided by the copyright holders and contributors as is and any express"),
 )
+#: What stands for the end of a sentence or paragraph in a normalised text, in which a line break may lie within a sentence.
+_END = "\x01"
+_SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)"
 
 
 def _pattern() -> str:
@@ -166,14 +176,16 @@ def _pattern() -> str:
     known = sorted({**SENTENCES, **NOTICES}, key=lambda s: (-len(s), s))
     for pattern, words in _HOLDERS:
         known = [s.replace(words, pattern) for s in known]
-    return r"(?<![^\n])(?:" + "|".join(known).replace(" ", r"[ \n]") + r")(?![^\n])"
+    anyone = "|".join(known).replace("[a-z0-9 ]", "[a-z0-9_]").replace(" ", r"[ \n]").replace("[a-z0-9_]", r"[a-z0-9 \n]")
+    return rf"(?<![^\n{_END}])(?:{anyone})(?![^\n{_END}])"
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for pair in {**SENTENCES, **NOTICES}.items() for x in pair])
-    ended = F.regexp_replace(F.lower(text), r"(?<=[.!?;:])(?:[ \t]+|[ \t\r]*\n)", "\n\n")
-    normal = F.regexp_replace(F.regexp_replace(ended, r"[^a-z0-9\n]+", " "), r" ?\n ?", "\n")
+    ended = F.regexp_replace(F.translate(F.lower(text), _END, " "), r"(?<=[.!?;:])(?:[ \t]+|[ \t\r]*\n)", _END)
+    normal = F.regexp_replace(F.regexp_replace(ended, rf"[^a-z0-9\n{_END}]+", " "), r" ?\n ?", "\n")
+    normal = F.regexp_replace(F.regexp_replace(normal, r"\n\n+", _END), f" ?{_END} ?", _END)
 
     def identifier(x: Column) -> Column:
         x = F.replace(x, F.lit("\n"), F.lit(" "))
@@ -186,6 +198,11 @@ def sentence_ids(text: Column) -> Column:
     return F.when(text.rlike(_HINTS), ids).otherwise(F.array().cast("array<int>"))
 
 
+def spdx_names(text: Column) -> Column:
+    """The names that a text's SPDX lines give, in order."""
+    return F.regexp_extract_all(text, F.lit(_SPDX), F.lit(1))
+
+
 def _run(ids: tuple[int, ...]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
@@ -203,10 +220,10 @@ def matched_licenses(ids: Column) -> Column:
 def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with `sentence_ids` and `licenses`."""
     rows = packed(docs, text=F.coalesce(column_or_null(docs, text_col, "string"), F.lit("")))
-    rows = rows.select("row", sentence_ids(F.col("text")).alias("sentence_ids"))
+    rows = rows.select("row", sentence_ids(F.col("text")).alias("sentence_ids"), spdx_names(F.col("text")).alias("_spdx"))
     # Few texts have any: the others take no part in the rules.
-    rows = rows.withColumn("licenses", F.when(F.size("sentence_ids") > 0, matched_licenses(F.col("sentence_ids")))
-                           .otherwise(F.array().cast("array<string>")))
+    by_rule = F.when(F.size("sentence_ids") > 0, matched_licenses(F.col("sentence_ids"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("licenses", F.array_distinct(F.concat(by_rule, "_spdx")))
     return unpacked(rows, docs.columns, *RESULTS)
 
 
@@ -224,11 +241,14 @@ parts AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?;:
           FROM documents),
 hits AS (SELECT doc_id, n, i FROM parts JOIN known ON s = trim(regexp_replace(lower(part), '{_OTHER}', ' ', 'g'))
          WHERE regexp_matches(part, '{_HINT}')),
+spdx AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPDX}', 1) AS names FROM documents),
 seqs AS (SELECT doc_id, list(i ORDER BY n) AS ids, string_agg('<' || i || '>', '' ORDER BY n) AS seq FROM hits GROUP BY doc_id)
 SELECT d.doc_id, coalesce(ids, []) AS sentence_ids,
-       CASE WHEN seq IS NULL THEN [] ELSE (SELECT list(x ORDER BY k) FROM (SELECT x, min(k) AS k FROM (
-           SELECT unnest([{', '.join(steps)}]) AS x, generate_subscripts([{', '.join(steps)}], 1) AS k) WHERE x IS NOT NULL GROUP BY x)) END AS licenses
-FROM documents d LEFT JOIN seqs USING (doc_id)"""
+       list_concat(CASE WHEN seq IS NULL THEN [] ELSE (SELECT list(x ORDER BY k) FROM (SELECT x, min(k) AS k FROM (
+           SELECT unnest([{', '.join(steps)}]) AS x, generate_subscripts([{', '.join(steps)}], 1) AS k) WHERE x IS NOT NULL GROUP BY x)) END,
+           (SELECT coalesce(list(x ORDER BY k), []) FROM (SELECT x, min(k) AS k FROM (
+               SELECT unnest(names) AS x, generate_subscripts(names, 1) AS k) GROUP BY x))) AS licenses
+FROM documents d JOIN spdx USING (doc_id) LEFT JOIN seqs USING (doc_id)"""
 
 
 SQL = _sql()

@@ -31,6 +31,8 @@ QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 4096
 #: Candidates of a tile that are multiplied at once.
 STRIP = 1024
+#: Components up to this have squares, and sums of squares, well within a double.
+HUGE = 1e140
 
 
 def usable(vector: Column) -> Column:
@@ -49,7 +51,15 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def tile_neighbours(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
                     k: int) -> list[list[tuple[float, int]]]:
-    """The k nearest (distance, id) of each query among the vectors, sorted."""
+    """The k nearest (distance, id) of each query among the vectors, sorted.
+
+    Vectors whose squares would not fit a double are scaled by a power of two, which changes no digit.
+    """
+    largest = max(np.abs(queries).max(initial=0.0), np.abs(vectors).max(initial=0.0))
+    if largest > HUGE or 0 < largest < 1 / HUGE:
+        unit = 2.0 ** np.clip(np.frexp(largest)[1], -1020, 1020)
+        found = tile_neighbours(query_ids, queries / unit, ids, vectors / unit, k)
+        return [[(d * unit, other) for d, other in near] for near in found]
     heaps: list[list[tuple[float, int]]] = [[] for _ in query_ids]
     whole, scale, norm, error = quantised(queries)
     squares = (queries * queries).sum(axis=1)

@@ -71,12 +71,13 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.size = 0
 
     def of(self, texts: Sequence[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if self.size > REMEMBERED_BYTES:
-            self.known, self.size = {}, 0
+        if self.size > REMEMBERED_BYTES // 2:  # what is not met again until the next time is forgotten
+            self.known, self.older, self.size = {}, self.known, 0
         get = self.known.get
         split = [_words(t) for t in texts]
         found = [list(map(get, words)) for words in split]
@@ -92,7 +93,7 @@ class WordIds:
         """Ids of new words; those of short words are remembered."""
         parts = {w: m.groups() for w in words if (m := _TAIL.fullmatch(w))}
         simple = (words - parts.keys()).union(*parts.values())
-        once = {w: self.known[w] for w in simple if w in self.known}
+        once = {w: self.known[w] if w in self.known else self.older[w] for w in simple if w in self.known or w in self.older}
         if len(once) < len(simple):
             self._encode([w for w in simple if w not in once], once)
         for word, (stem, tail) in parts.items():

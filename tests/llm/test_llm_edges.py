@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,25 @@ def test_nearest_edges(spark):
     assert nearest(df.where("false"), df.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("unit", [2.0**530, 2.0**-540, 2.0**1010])
+def test_neighbours_of_huge_and_tiny_vectors(spark, unit):
+    """Scaled by a power of two, the same neighbours at distances scaled alike."""
+    lots = np.random.default_rng(8)
+    points = lots.normal(size=(60, 5))
+    found = []
+    for factor in (1.0, unit):
+        df = spark.createDataFrame([(i, (p * factor).tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+        found.append([tuple(r) for r in nearest(df, df.where("vec_id < 6"), 4).orderBy("query_id", "rank").collect()])
+    assert [r[:3] for r in found[0]] == [r[:3] for r in found[1]] and len(found[0]) == 24
+    assert [r[3] * unit for r in found[0]] == [r[3] for r in found[1]]
+
+
+def test_ids_that_are_no_numbers(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([("a", text), ("b", text), ("7", text), (None, "x")], "doc_id string, text string")
+    assert jaccard_join(docs).count() == 4 and remove_repeats(docs).count() == 4
+
+
 def test_models_without_labels():
     import numpy as np
 

@@ -46,6 +46,10 @@ MPL = """This Source Code Form is subject to the terms of the Mozilla Public Lic
 NOTICES = [
     (MIT, ["MIT"]), (BSD_2 + DISCLAIMER, ["BSD-2-Clause"]), (BSD_2 + THIRD.format("the copyright holder") + DISCLAIMER, ["BSD-3-Clause"]),
     (BSD_2 + THIRD.format("the University of Some Town") + DISCLAIMER, ["BSD-3-Clause"]),
+    (BSD_2 + THIRD.format("the " + "University of Some Town and " * 40 + "Others") + DISCLAIMER, ["BSD-3-Clause"]),
+    ("Creative Commons Attribution 4.0 International", ["CC-BY-4.0"]),
+    ("Released under the MIT License, see LICENSE.", ["MIT"]), ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+    ("Neither the name of a holder. " + MIT, ["MIT"]),
     (GNU.format("program", ";", "General Public License", ";", "2"), ["GPL-2.0-or-later"]),
     (GNU.format("program", ":", "General Public License", ",", "3"), ["GPL-3.0-or-later"]),
     (GNU.format("library", ";", "Lesser General Public License", ";", "2.1"), ["LGPL-2.1-or-later"]),
@@ -71,3 +75,16 @@ def test_unabridged_notices(spark, width, mark, end):
 def test_sentences_of_the_wrapped_mit_text(spark):
     rows = [(1, wrapped(MIT, 72, ""))]
     assert license_scan(spark.createDataFrame(rows, "doc_id long, text string")).first()["sentence_ids"] == [4, 2, 5, 3, 6]
+
+
+def test_spdx_lines(spark):
+    rows = [(1, "// SPDX-License-Identifier: Apache-2.0\ncode\n# SPDX-License-Identifier: MIT"), (2, "SPDX-License-Identifier:"),
+            (3, "SPDX-License-Identifier: MIT\nReleased under the MIT License.")]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {1: ["Apache-2.0", "MIT"], 2: [], 3: ["MIT"]}
+
+
+def test_holder_of_thousands_of_words(spark):
+    name = "the " + "University of Some Town and " * 3000 + "Others"
+    rows = [(BSD_2 + THIRD.format(name) + DISCLAIMER,), ("Neither the name of " + "word " * 50_000,)]
+    assert [r["licenses"] for r in license_scan(spark.createDataFrame(rows, "text string")).collect()] == [["BSD-3-Clause"], []]

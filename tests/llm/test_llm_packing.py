@@ -41,7 +41,7 @@ def test_memory_of_words_is_bounded(monkeypatch):
     for text in texts:
         got = np.frombuffer(words.of([text.encode()])[0], dtype="<u4").tolist()
         assert got == words.tokenizer.encode(text, add_special_tokens=False).ids
-        assert words.size < 20_000 + 60 * 400 and max(map(len, words.known)) <= packing.REMEMBERED_LENGTH
+        assert words.size < 10_000 + 60 * 400 and max(map(len, words.known | words.older)) <= packing.REMEMBERED_LENGTH
 
 
 @pytest.mark.parametrize(("low", "high", "pieces"), [(600, 1100, 5000), (1, 2048, 8000), (100, 900, 3000)])
