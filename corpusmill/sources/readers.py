@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.sources.records import parsed, records
+
 ABSTRACT_COLUMNS = ("identifier", "title", "description", "category", "link", "creator", "dates")
 JSONL_SCHEMA = "prompt STRING, response STRING, source STRING"
 
@@ -28,16 +30,20 @@ def _delimited(spark: SparkSession, path: str, columns, sep: str, header: bool,
     """Lines with too many fields dropped, short ones padded with null; empty cells are null.
 
     Quotes within a quoted cell are doubled and a backslash is a letter like
-    any other. With `line_breaks` a quoted cell may hold line breaks; a file is
-    then read by one task, so it is off for layouts that have none.
+    any other. With `line_breaks` a quoted cell may hold line breaks; its
+    records are then put together from splits of the file (`records`), and the
+    result has the columns `file`, `block` and `row` of their places.
 
     The parser hands over every line whose field count is off; of these the
     ones with too many separators outside quotes go. It must see all columns
     for that, so column pruning inside the parser is off.
     """
     schema = ", ".join(f"`{c}` STRING" for c in [*columns, "_odd"])
-    rows = (spark.read.schema(schema).option("columnNameOfCorruptRecord", "_odd").option("columnPruning", False)
-            .csv(path, sep=sep, header=header, enforceSchema=True, quote='"', escape='"', multiLine=line_breaks))
+    if line_breaks:
+        rows = parsed(records(spark, path, sep).withColumn("header", F.col("header") & F.lit(header)), schema, sep, "_odd")
+    else:
+        rows = (spark.read.schema(schema).option("columnNameOfCorruptRecord", "_odd").option("columnPruning", False)
+                .csv(path, sep=sep, header=header, enforceSchema=True, quote='"', escape='"', multiLine=False))
     separators = F.regexp_count(F.regexp_replace("_odd", '"[^"]*"', ""), F.lit(sep))
     too_long = F.coalesce(separators >= len(columns), F.lit(False))
     # Spark reads the odd lines only beside a data column, hence the condition that is always met.
@@ -54,7 +60,8 @@ def abstracts_tsv(spark: SparkSession, path: str, columns=ABSTRACT_COLUMNS, line
                   order: str | None = None) -> DataFrame:
     """Paper metadata with a header line; empty cells are null. `order` names a column for the place in the files."""
     rows = _delimited(spark, path, columns, "\t", True, line_breaks)
-    return rows.select(*columns, *([file_order().alias(order)] if order else []))
+    place = F.struct("file", "block", "row") if line_breaks else file_order()
+    return rows.select(*columns, *([place.alias(order)] if order else []))
 
 
 def url_list(spark: SparkSession, path: str, header: bool = False, order: str | None = None) -> DataFrame:
@@ -65,16 +72,18 @@ def url_list(spark: SparkSession, path: str, header: bool = False, order: str |
 
 
 def csv_dataset(spark: SparkSession, path: str, schema: str, line_breaks: bool = True) -> DataFrame:
-    """Comma CSV with a header; with `line_breaks` quoted cells may hold some, and a file is read by one task."""
-    return (spark.read.schema(schema)
-            .csv(path, header=True, multiLine=line_breaks, quote='"', escape='"', enforceSchema=True))
+    """Comma CSV with a header; with `line_breaks` quoted cells may hold some."""
+    if line_breaks:
+        return parsed(records(spark, path, ","), schema, ",").drop("file", "block", "row")
+    return spark.read.schema(schema).csv(path, header=True, multiLine=False, quote='"', escape='"', enforceSchema=True)
 
 
 def page_inputs(spark: SparkSession, path: str, layout: str = "dataframe") -> DataFrame:
     """(identifier, urls) from either layout: a mentions CSV, with or without an index column, or a merged TSV with one."""
     if layout == "dataframe":
-        # By the names in the header, wherever the columns stand.
-        rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+        # By the names in the header, wherever the columns stand; only the first lines are read for them.
+        names = spark.read.csv(path, header=True, quote='"', escape='"', inferSchema=False).columns
+        rows = csv_dataset(spark, path, ", ".join(f"`{n}` STRING" for n in names))
         return rows.select(F.col("identifier").cast("string"), F.col("urls").cast("string"))
     if layout == "base_file":
         rows = _delimited(spark, path, ("index", "identifier", "url"), "\t", True)
@@ -113,7 +122,7 @@ def month_files(spark: SparkSession, folder: str, kind: str) -> DataFrame:
 def month_metadata(spark: SparkSession, folder: str, kind: str = "metadata", year: str | None = None) -> DataFrame:
     """Metadata tables of all months, or of one two-digit year, with the month as `yymm`."""
     rows = _delimited(spark, f"{folder}/*{kind}_*", ABSTRACT_COLUMNS, "\t", True, True)
-    dated = rows.select(*ABSTRACT_COLUMNS, F.col("_metadata.file_path").alias("path")).withColumn("yymm", _month(kind)).drop("path")
+    dated = rows.select(*ABSTRACT_COLUMNS, F.col("file").alias("path")).withColumn("yymm", _month(kind)).drop("path")
     return dated if year is None else dated.where(F.col("yymm").startswith(year))
 
 
