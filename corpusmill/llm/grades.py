@@ -22,6 +22,7 @@ columns are carried along; those named like a result column are replaced.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,8 @@ RATE = 0.3
 DECAY = 1e-4
 #: How much the mean over a text's words counts against its other features.
 WORD_SCALE = 8.0
-AT_LEAST = 1
+#: Grades there are, and the one from which a text is kept.
+GRADES, AT_LEAST = 3, 2
 LIMIT = 0.5
 RESULTS = ("expected_grade", "tail_probability", "kept")
 
@@ -78,17 +80,28 @@ class Grades:
 
 
 def _design(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, value) of all features."""
+    """(row, place, value) of all features; a few bytes for each, no object."""
     rows, places, values = [], [], []
     for i, text in enumerate(texts):
         words = text.split()
-        found = [p for w in words for p in word_places(w)]
-        at, times = np.unique(np.array(found, dtype=np.int64), return_counts=True)
-        whole = text_places(words)
-        rows += [i] * (len(at) + len(whole))
-        places += [*at.tolist(), *whole]
-        values += [*(WORD_SCALE * times / max(len(words), 1)).tolist(), *([1.0] * len(whole))]
-    return np.array(rows, dtype=np.int64), np.array(places, dtype=np.int64), np.array(values, dtype=np.float64)
+        found = np.fromiter((p for w in words for p in word_places(w)), dtype=np.int32)
+        at, times = np.unique(found, return_counts=True)
+        whole = np.array(text_places(words), dtype=np.int32)
+        rows.append(np.full(len(at) + len(whole), i, dtype=np.int32))
+        places.append(np.concatenate([at, whole]))
+        values.append(np.concatenate([WORD_SCALE * times / max(len(words), 1), np.ones(len(whole))]))
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(values)
+
+
+def rating(text: bytes, quality: int) -> int:
+    """2 for a good text; of the others 1 where it has the outer form of one, 0 where it is too short or repeats itself."""
+    if quality:
+        return 2
+    words = text.split()
+    windows = [tuple(words[k:k + 3]) for k in range(len(words) - 2)]
+    times = Counter(windows)
+    repeated = {k + j for k, w in enumerate(windows) if times[w] > 1 for j in range(3)}
+    return 0 if len(words) < 50 or 2 * len(repeated) > len(words) else 1
 
 
 def fit(texts: list[bytes], ratings: np.ndarray, n_grades: int, rounds: int = ROUNDS) -> Grades:
@@ -161,10 +174,11 @@ def grade(docs: DataFrame, model: Grades, text_col: str = "text") -> DataFrame:
 
 
 def fitted_grades(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Grades:
-    """Grades 0 (low quality), 1 (good, but toxic) and 2 (good) from the given labels."""
-    rating = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    """Grades 0 (poor at sight), 1 (poor in its words) and 2 (good) from the given labels."""
     rated = labels.where("doc_id is not null and quality is not null").dropDuplicates(["doc_id"])
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", rating.alias("rating"))
-    sample = docs.select("doc_id", column_or_null(docs, "text", "string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = sample.orderBy(F.xxhash64("doc_id"), "text").limit(2 * rows).select("text", "rating").collect()
-    return fit([(r["text"] or "").encode() for r in got], np.array([r["rating"] for r in got], dtype=np.int64), 3)
+    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    text = F.coalesce(column_or_null(docs, "text", "string"), F.lit(""))
+    sample = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    got = [(r["text"].encode(), r["quality"]) for r in sample.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    return fit([t for t, _ in got], np.array([rating(t, q) for t, q in got], dtype=np.int64), GRADES)
