@@ -115,6 +115,18 @@ def benchmark_search(spark, sf_dir):
     return index(spark, sf_dir).search(asked, 10)
 
 
+@check("query_terms_widened", f"""WITH {tfidf_ctes('documents')},
+asked AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM {asked(QUESTIONS)}),
+pairs AS (SELECT a.term, b.term AS neighbour, count(*) AS n FROM tf a JOIN tf b ON a.doc_id = b.doc_id AND a.term <> b.term
+          WHERE a.term IN (SELECT term FROM asked) GROUP BY a.term, b.term HAVING count(*) >= 3),
+scored AS (SELECT p.term, neighbour, round(ln((n + 0.5) * (SELECT count(*) FROM documents) / ((v.df + 0.5) * (u.df + 0.5))) * n / (n + 5.0), 6) AS score
+           FROM pairs p JOIN vocab v ON v.term = p.term JOIN vocab u ON u.term = neighbour),
+best AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, neighbour) AS rank FROM scored QUALIFY rank <= 3)
+SELECT query_id, term, rank, neighbour, score FROM asked JOIN best USING (term)""", ints="query_id rank")
+def query_terms_widened(spark, sf_dir):
+    return search.widened_terms(index(spark, sf_dir), QUESTIONS)
+
+
 @check("union_query_hits", f"WITH {tfidf_ctes('documents', QUESTIONS)}, r AS ({ranked(20)}) "
        "SELECT doc_id, score FROM r")
 def union_query_hits(spark, sf_dir):

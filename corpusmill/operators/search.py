@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as tx
 from corpusmill.functions.keyphrases import keyphrases
 from corpusmill.operators.text_index import TextIndex, as_index
+from corpusmill.session import spool
 from corpusmill.tables import literal_table
 
 SCORE_DIGITS = 6
@@ -138,6 +139,39 @@ def section_search(sections: DataFrame, query: str | Sequence[str], id_col: str
     return multi_query_search(sections, list(query), 10, 10, id_col, text_col, found)
 
 
+def widened_terms(index: TextIndex, queries: DataFrame | Sequence[str], per_term: int = 3, least: int = 3) -> DataFrame:
+    """(query_id, term, rank, neighbour, score): words that stand in the same documents as the queries' words.
+
+    A pair of words scores by the logarithm of how much oftener its documents coincide than by chance, with half
+    a document added to each count, and less the fewer documents it has; `least` are needed. Only the documents of the
+    queries' words are looked at, and counts of a pair combine before they are shuffled.
+    """
+    if not isinstance(queries, DataFrame):
+        queries = literal_table(index.spark, list(enumerate(queries)), ["query_id", "text"])
+    vocabulary, vectors = index.vocabulary.select("term", "df"), index.vectors.select(F.col(index.id_col).alias("id"), "term")
+    asked = spool(queries.select("query_id", F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("term")).join(vocabulary, "term"), "asked")
+    marked = vectors.join(asked.select("term").distinct(), "term")
+    pairs = marked.join(vectors.withColumnRenamed("term", "neighbour"), "id").where("term <> neighbour").groupBy("term", "neighbour").agg(
+        F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    total = index.ids.count()
+    known = pairs.join(vocabulary, "term").join(vocabulary.select(F.col("term").alias("neighbour"), F.col("df").alias("df2")), "neighbour")
+    chance = F.log((F.col("n") + 0.5) * F.lit(float(total)) / ((F.col("df") + 0.5) * (F.col("df2") + 0.5)))
+    scored = known.withColumn("score", F.round(chance * F.col("n") / (F.col("n") + 5.0), SCORE_DIGITS))
+    order = Window.partitionBy("term").orderBy(F.col("score").desc(), "neighbour")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_term)
+    return asked.select("query_id", "term").join(best.select("term", "rank", "neighbour", "score"), "term").select(
+        "query_id", "term", "rank", "neighbour", "score")
+
+
+def widened_queries(index: TextIndex, queries: Sequence[str], per_term: int = 3, least: int = 3) -> DataFrame:
+    """(query_id, text): each query followed by the neighbours of its words, best first."""
+    more = widened_terms(index, queries, per_term, least).groupBy("query_id").agg(F.array_sort(F.collect_set(
+        F.struct((-F.col("score")).alias("order"), "neighbour"))).alias("more"))
+    asked = literal_table(index.spark, list(enumerate(queries)), ["query_id", "text"])
+    words = F.transform(F.coalesce("more", F.array().cast("array<struct<order:double,neighbour:string>>")), lambda x: x["neighbour"])
+    return asked.join(more, "query_id", "left").select("query_id", F.array_join(F.concat(F.array("text"), F.array_distinct(words)), " ").alias("text"))
+
+
 def squared_distance(vector: Column, query: Sequence[float]) -> Column:
     """Squared Euclidean distance to a fixed vector, in double precision."""
     target = F.array(*[F.lit(float(x)) for x in query])

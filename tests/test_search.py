@@ -159,3 +159,12 @@ def test_index_of_no_documents_and_of_equal_ids(spark):
     twice = spark.createDataFrame([(1, "one two"), (1, "two three"), (None, "four")], "doc_id long, text string")
     found = [tuple(r) for r in build_index(twice).search(["three"], 2).orderBy("rank").collect()]
     assert found[0][1] == 1 and len(found) == 2
+
+
+def test_queries_are_widened_by_words_of_the_same_documents(spark):
+    texts = [(i, "star bright sky" if i < 6 else "stone grey ground" if i < 12 else "star stone the") for i in range(14)]
+    index = build_index(spark.createDataFrame(texts, "doc_id long, text string"))
+    found = {(r["term"], r["rank"]): r["neighbour"] for r in se.widened_terms(index, ["star", "nothing"], 2).collect()}
+    assert found == {("star", 1): "bright", ("star", 2): "sky"}
+    wide = {r["query_id"]: r["text"] for r in se.widened_queries(index, ["star", "nothing"], 2).collect()}
+    assert wide == {0: "star bright sky", 1: "nothing"}
