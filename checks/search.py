@@ -11,6 +11,7 @@ from checks.registry import check
 from checks.views import duck, table, view
 from corpusmill.functions import text as tx
 from corpusmill.operators import search
+from corpusmill.operators.vector_index import build_vector_index
 from corpusmill.operators.text_index import TextIndex, build_index
 
 QUESTION = "the nation of reti and other hableou"
@@ -233,7 +234,8 @@ FROM (SELECT query_id, vec_id, round(list_sum(list_transform(range(1, len(q) + 1
 
 @check("knn_vectors", knn_sql("embeddings", [POINT, POINT_2], 5), ints="rank")
 def knn_vectors(spark, sf_dir):
-    return search.knn_vectors(table(spark, sf_dir, "embeddings"), [POINT, POINT_2])
+    stored = build_vector_index(table(spark, sf_dir, "embeddings"))
+    return stored.search(spark.createDataFrame([(0, POINT), (1, POINT_2)], "query_id int, vector array<double>"))
 
 
 @check("prefilter_then_rank", f"WITH {tfidf_ctes('documents', [QUESTION])}, "
