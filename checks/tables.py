@@ -248,8 +248,8 @@ def sink_named_by_options(spark, sf_dir):
     rows = mt.raw_texts(mt.filter_category(papers(spark, sf_dir)))
     name = writers.option_name("dataset_raw_texts", True, False, 0, rows.count())
     path = writers.write_csv(rows, f"{new_path(spark, 'named')}/{name}")
-    back = readers.csv_dataset(spark, path, "identifier STRING, raw_texts STRING")
-    file = F.regexp_extract("_metadata.file_path", r"/(dataset_raw_texts[^/]*)/", 1)
+    back = readers.csv_dataset(spark, path, "identifier STRING, raw_texts STRING", file="file")
+    file = F.regexp_extract("file", r"/(dataset_raw_texts[^/]*)/", 1)
     return back.select(file.alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
 
 

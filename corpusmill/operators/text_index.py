@@ -106,8 +106,9 @@ class TextIndex:
             queries = literal_table(self.spark, list(enumerate(queries)), ["query_id", "text"])
         best = spool(_best(self.matches(queries, k), k), "hits")
         # Of the 2k smallest ids at least k are not among a query's hits.
-        fill = self.ids.orderBy("id").limit(2 * k).select(F.lit(1).alias("all"), "id")
-        fill = queries.select("query_id", F.lit(1).alias("all")).join(F.broadcast(fill), "all").drop("all")
+        kind = f"array<{self.ids.schema['id'].dataType.simpleString()}>"
+        smallest = [F.lit(r["id"]) for r in self.ids.orderBy("id").limit(2 * k).collect()]
+        fill = queries.select("query_id", F.explode(F.array(*smallest).cast(kind)).alias("id"))
         fill = fill.join(best.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
         return _best(best.drop("rank").unionByName(fill), k).withColumnRenamed("id", self.id_col)
 

@@ -56,8 +56,12 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """(query_id, id, score, rank): the k nearest vectors to each query (query_id, vector) by squared distance; ties by id."""
         best = Window.partitionBy("query_id").orderBy("score", "id")
-        cells = queries.select("query_id", "vector", F.lit(1).alias("all")).join(
-            F.broadcast(self.cells.withColumn("all", F.lit(1))), "all").drop("all")  # each query with the bounded table of cells
+        table = [F.struct(F.lit(r["cell"]).alias("cell"), F.lit(list(r["centroid"])).alias("centroid"), F.lit(r["radius"]).alias("radius"),
+                          F.lit(r["n"]).cast("bigint").alias("n")) for r in self.cells.collect()]  # bounded by `MOST_CELLS`
+        if not table:
+            return queries.where("false").select("query_id", F.lit(None).cast(self.id_type).alias(self.id_col),
+                                                 F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+        cells = queries.select("query_id", "vector", F.inline(F.array(*table)))
         cells = cells.withColumn("d", F.sqrt(squared(F.col("vector"), F.col("centroid")))).drop("centroid")
         order = Window.partitionBy("query_id").orderBy("d", "cell")
         cells = spool(cells.withColumn("sooner", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "asked")

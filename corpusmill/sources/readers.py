@@ -71,11 +71,15 @@ def url_list(spark: SparkSession, path: str, header: bool = False, order: str |
                        *([file_order().alias(order)] if order else []))
 
 
-def csv_dataset(spark: SparkSession, path: str, schema: str, line_breaks: bool = True) -> DataFrame:
-    """Comma CSV with a header; with `line_breaks` quoted cells may hold some."""
+def csv_dataset(spark: SparkSession, path: str, schema: str, line_breaks: bool = True, file: str | None = None) -> DataFrame:
+    """Comma CSV with a header; with `line_breaks` quoted cells may hold some. `file` names a column for the row's file."""
     if line_breaks:
-        return parsed(records(spark, path, ","), schema, ",").drop("file", "block", "row")
-    return spark.read.schema(schema).csv(path, header=True, multiLine=False, quote='"', escape='"', enforceSchema=True)
+        rows, source = parsed(records(spark, path, ","), schema, ","), F.col("file")
+    else:
+        rows = spark.read.schema(schema).csv(path, header=True, multiLine=False, quote='"', escape='"', enforceSchema=True)
+        source = F.col("_metadata.file_path")
+    named = [source.alias(file)] if file else []
+    return rows.select(*[c for c in rows.columns if c not in ("file", "block", "row") or not line_breaks], *named)
 
 
 def page_inputs(spark: SparkSession, path: str, layout: str = "dataframe") -> DataFrame:
