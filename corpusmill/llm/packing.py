@@ -251,9 +251,9 @@ def rounded(fractions: dict[Filling, float], left: np.ndarray) -> Plan:
     return plan
 
 
-def programmed(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[Plan, np.ndarray, float]:
-    """(plan, what is left, lower bound of the sequences): the program is solved and rounded, then solved again with new
-    prices for what rounding left over, until a tenth of the pieces is left at most."""
+def programmed(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> Iterator[tuple[Plan, np.ndarray, float]]:
+    """(plan, what is left, lower bound of the sequences) after each program: it is solved and rounded, then solved again
+    with new prices for what rounding left over, until a tenth of the pieces is left at most."""
     left = counts.copy()
     plan: Plan = []
     bound = 0.0
@@ -263,23 +263,28 @@ def programmed(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple
         fractions, lower = linear_program(left, capacity, rounds)
         bound = bound if solved else lower
         found = rounded(fractions, left)
+        plan = plan + found
+        yield plan, left.copy(), bound
         if not found:
             break
-        plan += found
-    return plan, left, bound
 
 
 def packing_plan(counts: np.ndarray, capacity: int = SEQUENCE, rounds: int = ROUNDS) -> tuple[Plan, float]:
     """((filling, times) using up all counts exactly, lower bound of the number of sequences).
 
-    Pieces that even the last program leaves over, single ones of many lengths, are filled best-fit.
+    What a program leaves over can be filled best-fit at any stage; that stage counts which needs the fewest
+    sequences, of equals the last.
     """
     left = counts.astype(np.int64).copy()
     left[0] = 0
     full, left[capacity] = int(left[capacity]), 0
-    plan: Plan = [(((capacity, 1),), full)] if full else []
-    found, rest, bound = programmed(left, capacity, rounds)
-    return plan + found + fill_rest(rest, capacity), full + bound
+    first: Plan = [(((capacity, 1),), full)] if full else []
+    best, bound = fill_rest(left, capacity), 0.0
+    for plan, rest, bound in programmed(left, capacity, rounds):
+        whole = plan + fill_rest(rest, capacity)
+        if sum(t for _, t in whole) <= sum(t for _, t in best):
+            best = whole
+    return first + best, full + bound
 
 
 def _slots(plan: Plan) -> np.ndarray:

@@ -47,7 +47,7 @@ def test_memory_of_words_is_bounded(monkeypatch):
 @pytest.mark.parametrize(("low", "high", "pieces"), [(600, 1100, 5000), (1, 2048, 8000), (100, 900, 3000)])
 def test_program_places_most_pieces(low, high, pieces):
     counts = np.bincount(np.random.default_rng(3).integers(low, high, pieces), minlength=2049)
-    plan, left, bound = programmed(counts, 2048)
+    plan, left, bound = list(programmed(counts, 2048))[-1]
     assert left.sum() <= 0.3 * counts.sum() and LEFT_OVER < 0.3
     whole, lower = packing_plan(counts)
     used = np.zeros(2049, dtype=np.int64)
@@ -56,4 +56,4 @@ def test_program_places_most_pieces(low, high, pieces):
         for k, n in filling:
             used[k] += times * n
     assert (used == counts).all() and lower == bound
-    assert bound <= sum(t for _, t in whole) <= 1.02 * sum(t for _, t in fill_rest(counts, 2048))
+    assert bound <= sum(t for _, t in whole) <= sum(t for _, t in fill_rest(counts, 2048))
