@@ -1,0 +1,125 @@
+"""The word graph of key phrases over Arrow batches: words of many texts are counted and weighed together.
+
+Tokens come from Spark; here they are numbers, and strings are made for the best phrases of a text only.
+"""
+
+from __future__ import annotations
+
+import re
+import sys
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # sent along with the tasks
+
+#: Digits of a score, and tokens that are weighed together: several texts, or one that is longer.
+DIGITS, TOKENS = 6, 200_000
+WORD, CUT, END = 0, 1, 2
+_NO_WORD = re.compile("[0-9_]+")
+
+Phrases = list[tuple[str, float]]
+
+
+def kind(token: str, stop_words: frozenset[str]) -> int:
+    """Whether a token is a word, ends a run, or ends a sentence as well."""
+    if token in (".", "!", "?", "\n"):
+        return END
+    return CUT if len(token) < 2 or token in stop_words or _NO_WORD.fullmatch(token) else WORD
+
+
+def scaled(score: np.ndarray) -> np.ndarray:
+    """Scores in units of the last digit, halves of their decimal form rounded up."""
+    raw = score * 10.0 ** DIGITS
+    units = np.floor(raw + 0.5).astype(np.int64)
+    for i in np.flatnonzero(np.abs(raw - np.floor(raw) - 0.5) < 1e-3):
+        units[i] = int(Decimal(repr(float(score[i]))).scaleb(DIGITS).quantize(Decimal(1), ROUND_HALF_UP))
+    return units
+
+
+def weights(doc: np.ndarray, sentence: np.ndarray, run: np.ndarray, code: np.ndarray, size: int, max_n: int) -> np.ndarray:
+    """The weight of each word where it stands: its neighbours, how often it stands, and over how many sentences."""
+    _, place, length = np.unique(run, return_inverse=True, return_counts=True)
+    _, word, n = np.unique(doc * size + code, return_inverse=True, return_counts=True)
+    together = np.bincount(word, weights=np.minimum(length, max_n)[place])
+    span = int(sentence[-1]) + 1
+    spread = np.bincount(np.unique(word * span + sentence) // span, minlength=len(n))
+    return (together / n * np.log(n + 1.0) * np.sqrt(spread.astype(np.float64)))[word]
+
+
+def _sequences(doc: np.ndarray, run: np.ndarray, x: np.ndarray, max_n: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, score, first place, length) of all sequences of 1 to max_n words of a run."""
+    for n in range(1, max_n + 1):
+        at = np.flatnonzero(run[: len(run) - n + 1] == run[n - 1:]) if len(run) >= n else np.zeros(0, dtype=np.int64)
+        total = x[at]
+        for k in range(1, n):
+            total = total + x[at + k]
+        yield doc[at], scaled(total / np.sqrt(float(n))), at, np.full(len(at), n)
+
+
+def _chosen(units: np.ndarray, phrases: Callable[[int, int], set[str]], top: int, pool: int) -> Phrases:
+    """The `top` best of a text's first `pool` phrases that hold none and are held by none of the better ones."""
+    kept: list[tuple[str, float]] = []
+    seen, begin = 0, 0
+    while begin < len(units) and len(kept) < top and seen < pool:
+        end = begin + int(np.searchsorted(-units[begin:], -units[begin], "right"))
+        equals = sorted(phrases(begin, end))[:pool - seen]
+        seen += len(equals)
+        for phrase in equals:
+            if len(kept) < top and not any(f" {a} " in f" {phrase} " or f" {phrase} " in f" {a} " for a, _ in kept):
+                kept.append((phrase, int(units[begin]) / 10.0 ** DIGITS))
+        begin = end
+    return kept
+
+
+def best_phrases(tokens: np.ndarray, lengths: np.ndarray, names: list[str], kinds: np.ndarray, top: int, max_n: int, pool: int) -> list[Phrases]:
+    """The best phrases of each text; `tokens` numbers their tokens one text after the other."""
+    found: list[Phrases] = [[] for _ in lengths]
+    doc, of = np.repeat(np.arange(len(lengths)), lengths), kinds[tokens]
+    is_word = of == WORD
+    sentence, run = np.cumsum(of == END) + doc, np.cumsum(~is_word) + doc
+    doc, sentence, run, code = doc[is_word], sentence[is_word], run[is_word], tokens[is_word].astype(np.int64)
+    if not len(doc):
+        return found
+    x = weights(doc, sentence, run, code, len(names), max_n)
+    doc, units, at, n = (np.concatenate(c) for c in zip(*_sequences(doc, run, x, max_n), strict=True))
+    order = np.lexsort((-units, doc))
+    doc, units, at, n = doc[order], units[order], at[order], n[order]
+    texts, first = np.unique(doc, return_index=True)
+    for text, a, b in zip(texts, first, [*first[1:], len(doc)], strict=True):
+        def phrases(begin: int, end: int, a=a) -> set[str]:
+            codes = {tuple(code[i:i + k].tolist()) for i, k in zip(at[a + begin:a + end].tolist(), n[a + begin:a + end].tolist(), strict=True)}
+            return {" ".join(names[c] for c in found) for found in codes}
+        found[text] = _chosen(units[a:b], phrases, top, pool)
+    return found
+
+
+def _groups(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with `TOKENS` tokens or one text."""
+    begin, held = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if held and held + n > TOKENS:
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if len(lengths):
+        yield begin, len(lengths)
+
+
+def phrase_lists(texts: pa.Array, stop_words: frozenset[str], top: int, max_n: int, pool: int, kind_of: pa.DataType) -> pa.Array:
+    """The best phrases of each array of tokens as an array of structs; null for null."""
+    lengths = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = texts.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    kinds = np.array([kind(t, stop_words) for t in names], dtype=np.int8)
+    tokens, ends = coded.indices.to_numpy(zero_copy_only=False), np.cumsum(lengths)
+    found: list[Phrases | None] = []
+    for a, b in _groups(lengths):
+        begin = int(ends[a - 1]) if a else 0
+        found += best_phrases(tokens[begin:int(ends[b - 1])], lengths[a:b], names, kinds, top, max_n, pool)
+    null = texts.is_null().to_pylist()
+    return pa.array([None if none else [{"phrase": p, "score": s} for p, s in row] for row, none in zip(found, null, strict=True)], kind_of)
