@@ -8,6 +8,7 @@ from contextlib import redirect_stdout
 from pyspark.sql import functions as F
 
 from conftest import rows
+from corpusmill.functions import sentences as sn
 from corpusmill.operators import comprehension as rc
 from corpusmill.operators import mentions as mt
 from corpusmill.operators import pages as pg
@@ -48,6 +49,12 @@ def test_mining_and_minutes_do_not_shuffle(spark, tmp_path):
         assert "Exchange" not in plan(df)
 
 
+def test_sentence_ends_need_no_pattern_over_whole_pieces(spark, tmp_path):
+    texts = docs(spark, tmp_path).select(F.col("doc_id").alias("text_id"), "text")
+    text = plan(rc.sentences(texts))
+    assert sn.LAST_WORD not in text and sn.TRAILS not in text and sn.BLANK_LINE in text
+
+
 def test_key_phrases_are_weighed_in_batches_and_once(spark, tmp_path):
     text = plan(se.keyphrases_topk(docs(spark, tmp_path)))
     assert text.split("\n\n")[0].count("ArrowEvalPython") == 1 and "Exchange" not in text

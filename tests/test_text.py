@@ -58,6 +58,13 @@ def test_sentences_end_where_they_end(spark, text, expected):
     assert one(spark, text, lambda c: sentences(c, ("dr", "cf", "fig", "no"))) == expected
 
 
+@pytest.mark.parametrize("text, expected", [
+    ("B. Two. X.  c", ["B. Two. ", "X.  c"]), ("A.B. c", ["A.B. c"]), ("ab.\t\nc", ["ab.\t\n", "c"]),
+    ("in 5.\x0bthen. 5.\u2028xx. y", ["in 5.\x0bthen. ", "5.\u2028xx. ", "y"]), ('so ") (etc.)  on. It.', ['so ") (etc.)  on. ', "It."])])
+def test_sentences_go_on_by_their_last_characters(spark, text, expected):
+    assert one(spark, text, sentences) == expected
+
+
 def test_abbreviations_are_learnt_by_their_dots(spark):
     rows = [(f"Dr. No{i} went to the end. The dr. and fig. {i} show it. That is an end, it is." + " We saw it" * i,) for i in range(30)]
     texts = spark.createDataFrame(rows, "text string")
