@@ -69,7 +69,7 @@ def index(spark, sf_dir):
     """The stored index of the documents, written once for a session and asked by all queries."""
     key = (spark.sparkContext.applicationId, str(sf_dir))
     if key not in _INDEXES:
-        _INDEXES[key] = build_index(docs(spark, sf_dir))
+        _INDEXES[key] = build_index(table(spark, sf_dir, "documents"))
     return _INDEXES[key]
 
 

@@ -38,6 +38,30 @@ def test_search_reads_the_index_and_no_texts(spark, tmp_path):
     assert "text:string" not in text and "other" not in text
 
 
+def mixed(spark, n=640):
+    word = F.concat(F.lit("common w"), F.col("id") % 7, F.lit(" v"), F.col("id") % 200, F.lit(" only"), F.col("id"))
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.concat(word, F.lit(" ")), (1 + F.col("id") % 3).cast("int")).alias("text"))
+
+
+def test_postings_are_gathered_in_the_tasks_of_their_blocks(spark):
+    index = build_index(mixed(spark), docs_per_block=16)
+    lying = index.postings.select("block", F.input_file_name().alias("file"))
+    files = lying.groupBy("block").agg(F.count_distinct("file").alias("n"), F.min("file").alias("file")).collect()
+    assert len(files) == 40 and all(r["n"] == 1 for r in files)
+    assert 1 < len({r["file"] for r in files}) <= 10
+    assert index.vocabulary.columns == ["term", "df", "idf"] and index.vectors.columns == ["doc_id", "term", "w"]
+    assert index.vectors.count() == 640 * 4
+    lengths = index.vectors.groupBy("doc_id").agg(F.round(F.sum(F.col("w") * F.col("w")), 9).alias("one"))
+    assert [tuple(r) for r in lengths.select("one").distinct().collect()] == [(1.0,)] and lengths.count() == 640
+
+
+def test_the_index_build_leaves_the_settings_as_they_were(spark):
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    build_index(mixed(spark, 40))
+    assert spark.conf.get(key) == before
+
+
 def test_ranking_is_cut_before_the_shuffle(spark, tmp_path):
     scores = se.cosine_scores(docs(spark, tmp_path), ["some", "words"])
     assert "WindowGroupLimit" in plan(se.topk_per_query(scores, 5))
