@@ -62,6 +62,16 @@ def test_the_index_build_leaves_the_settings_as_they_were(spark):
     assert spark.conf.get(key) == before
 
 
+def test_open_blocks_do_not_shuffle_the_entries(spark):
+    index = build_index(mixed(spark), docs_per_block=16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        text = plan(index.matches(spark.createDataFrame([(0, "common w1"), (1, "w2 v3")], "query_id int, text string"), 2))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Union" in text and "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
 def test_ranking_is_cut_before_the_shuffle(spark, tmp_path):
     scores = se.cosine_scores(docs(spark, tmp_path), ["some", "words"])
     assert "WindowGroupLimit" in plan(se.topk_per_query(scores, 5))
