@@ -72,6 +72,13 @@ def test_open_blocks_do_not_shuffle_the_entries(spark):
     assert "Union" in text and "BroadcastHashJoin" in text and "SortMergeJoin" not in text
 
 
+def test_widening_reads_no_words_below_the_least_count(spark):
+    text = plan(se.widened_terms(build_index(mixed(spark)), ["common"], least=3))
+    assert "GreaterThanOrEqual(df,3)" in text
+    found = se.widened_terms(build_index(mixed(spark)), ["common"], per_term=1000, least=4).select("neighbour").collect()
+    assert len(found) == 7 + 40
+
+
 def test_ranking_is_cut_before_the_shuffle(spark, tmp_path):
     scores = se.cosine_scores(docs(spark, tmp_path), ["some", "words"])
     assert "WindowGroupLimit" in plan(se.topk_per_query(scores, 5))
