@@ -17,13 +17,14 @@ in the input. Only the id column is carried along.
 
 from __future__ import annotations
 
-import re
 import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,9 +45,11 @@ NEAR = 0.001
 PROGRAMS, LEFT_OVER = 12, 0.1
 #: Bytes of the words and ids that a worker remembers, bytes of an entry besides, and the longest word that is remembered.
 REMEMBERED_BYTES, ENTRY_BYTES, REMEMBERED_LENGTH = 160 << 20, 190, 64
+#: Bytes of texts whose words are looked up together, and words that the tokenizer gets at once.
+TEXTS_AT_ONCE, ENCODED_AT_ONCE = 4 << 20, 10_000
 
-#: ASCII letters and then ASCII marks other than the apostrophe: two separate words to the tokenizer.
-_TAIL = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
+#: ASCII marks other than the apostrophe: after letters they are a word of their own to the tokenizer.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 #: (length, times in it) of each piece of a sequence; and how often each filling is used.
@@ -54,13 +57,23 @@ Filling = tuple[tuple[int, int], ...]
 Plan = list[tuple[Filling, int]]
 
 
-def _words(text: bytes) -> list[bytes]:
-    """Words of a text, lower-cased to share what is known of them where the tokenizer's composing of marks is not touched."""
-    if b"<|" in text:
-        return text.split()
-    if text.isascii():
-        return text.lower().split()
-    return [w.lower() if w.isascii() else w for w in text.split()]
+def _distinct(texts: Sequence[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(number of each word, words before each text and in all, words by number); ASCII ones in small letters if wished."""
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+    coded = split.values.dictionary_encode()
+    whole = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+    lines = pc.binary_join(whole, pa.scalar("\n", pa.large_string()))
+    words = lines[0].as_buffer().to_pybytes().split(b"\n")
+    if lower:
+        words = [w.lower() if w.isascii() else w for w in words]
+    return coded.indices.to_numpy(), split.offsets.to_numpy(), words
+
+
+def _letters(word: bytes) -> bool:
+    """Whether the tokenizer, which composes marks and lower-cases, sees letters alone."""
+    if word.isascii():
+        return word.isalpha()
+    return unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower().isalpha()
 
 
 class WordIds:
@@ -70,34 +83,60 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size() if self.suffix else 0, dtype=bool)
+        if self.suffix:
+            self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(self.suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.size = 0
 
     def of(self, texts: Sequence[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Little-endian 32-bit ids of each text; a word is looked up once for all of them."""
         if self.size > REMEMBERED_BYTES // 2:  # what is not met again until the next time is forgotten
             self.known, self.older, self.size = {}, self.known, 0
-        get = self.known.get
-        split = [_words(t) for t in texts]
-        found = [list(map(get, words)) for words in split]
-        late = [i for i, ids in enumerate(found) if None in ids]
-        if late:
-            needed = {w for i in late for w, ids in zip(split[i], found[i], strict=True) if ids is None}
-            once = self._learn(needed)
-            for i in late:
-                found[i] = [once[w] if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
-        return [b"".join(ids) for ids in found]
+        # Small letters share what is known of words, but the marks that the tokenizer composes are not to be touched.
+        marked = [b"<|" in t for t in texts]
+        if not any(marked):
+            return self._of(texts, True)
+        plain = iter(self._of([t for t, m in zip(texts, marked, strict=True) if not m], True))
+        other = iter(self._of([t for t, m in zip(texts, marked, strict=True) if m], False))
+        return [next(other if m else plain) for m in marked]
+
+    def _of(self, texts: Sequence[bytes], lower: bool) -> list[bytes]:
+        if not any(texts):
+            return [b""] * len(texts)
+        number, begins, words = _distinct(texts, lower)
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            once = self._learn({w for w, found in zip(words, ids, strict=True) if found is None and w})
+            once[b""] = b""  # before the first blank and after the last
+            ids = [once[w] if found is None else found for w, found in zip(words, ids, strict=True)]
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) >> 2
+        starts = np.cumsum(lengths) - lengths
+        taken = lengths[number]
+        ends = np.cumsum(taken)
+        # The ids of a word follow one another in `flat`.
+        out = flat[np.arange(ends[-1]) + np.repeat(starts[number] + taken - ends, taken)].tobytes()
+        cuts = (4 * np.append(0, ends)[begins]).tolist()
+        return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of new words; those of short words are remembered."""
-        parts = {w: m.groups() for w in words if (m := _TAIL.fullmatch(w))}
-        simple = (words - parts.keys()).union(*parts.values())
-        once = {w: self.known[w] if w in self.known else self.older[w] for w in simple if w in self.known or w in self.older}
+        stems, simple = {}, set()
+        for word in words:
+            stem = word.rstrip(MARKS)
+            if stem and len(stem) < len(word) and _letters(stem):
+                stems[word] = stem
+                simple.update((stem, word[len(stem):]))
+            else:
+                simple.add(word)
+        once = {w: ids for w in simple if (ids := self.known.get(w, self.older.get(w))) is not None}
         if len(once) < len(simple):
             self._encode([w for w in simple if w not in once], once)
-        for word, (stem, tail) in parts.items():
-            once[word] = once[stem] + once[tail]
+        for word, stem in stems.items():
+            once[word] = once[stem] + once[word[len(stem):]]
         for word, ids in once.items():
             if len(word) <= REMEMBERED_LENGTH and word not in self.known:
                 self.known[word] = ids
@@ -105,12 +144,31 @@ class WordIds:
         return once
 
     def _encode(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        """Ids of words not known yet; those of letters alone end where a token does that ends a word."""
+        letters = list(filter(_letters, words)) if self.suffix else []
+        for at in range(0, len(letters), ENCODED_AT_ONCE):
+            some = letters[at:at + ENCODED_AT_ONCE]
+            text = b" ".join(some).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cuts) != len(some) or cuts[-1] != len(ids):  # not cut at blanks alone
+                self._encode_by_place(some, into)
+                continue
+            self._cut(some, ids, [0, *cuts.tolist()], into)
+        rest = [w for w in words if w not in into]
+        if rest:
+            self._encode_by_place(rest, into)
+
+    def _encode_by_place(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
         encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         ids = np.array(encoded.ids, dtype="<u4")
         begins = np.cumsum([0] + [len(t) + 1 for t in texts])
         starts = np.fromiter((o[0] for o in encoded.offsets), dtype=np.int64, count=len(ids))
-        cuts = np.searchsorted(starts, begins, "left").tolist()
+        self._cut(words, ids, np.searchsorted(starts, begins, "left").tolist(), into)
+
+    @staticmethod
+    def _cut(words: list[bytes], ids: np.ndarray, cuts: list[int], into: dict[bytes, bytes]) -> None:
         data = ids.tobytes()
         for word, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
             into[word] = data[4 * a:4 * b]
@@ -127,6 +185,18 @@ def worker_words(path: str) -> WordIds:
     return held[path]
 
 
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches in tables of at least `TEXTS_AT_ONCE` bytes, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= TEXTS_AT_ONCE:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _pieces(path: str | None, sequence: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
@@ -134,9 +204,9 @@ def _pieces(path: str | None, sequence: int, with_ids: bool):
         words = worker_words(path or public_tokenizers.path("word_bpe_49k.json"))
         seen = np.zeros(sequence + 1, dtype=np.int64)
         part = TaskContext.get().partitionId()
-        for batch in batches:
+        for table in _filled(batches):
             rows, out, ids = [], [], []
-            for i, data in enumerate(words.of([t or b"" for t in binary(batch.column("text"))])):
+            for i, data in enumerate(words.of([t or b"" for t in binary(table.column("text"))])):
                 data = memoryview(data + END)
                 for k, at in enumerate(range(0, len(data), 4 * sequence)):
                     piece = data[at:at + 4 * sequence]
@@ -147,7 +217,8 @@ def _pieces(path: str | None, sequence: int, with_ids: bool):
                     seen[length] += 1
             piece, start, length, crc, rank = zip(*out, strict=True) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                [table.column("id").take(pa.array(rows, pa.int64())).combine_chunks(),
+                 pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                  pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary()),
                  pa.array([part] * len(rows), pa.int32()), pa.array(rank, pa.int64())],
                 names=["id", "piece", "start", "length", "ids_crc32", "ids", "part", "rank"])

@@ -57,3 +57,26 @@ def test_program_places_most_pieces(low, high, pieces):
             used[k] += times * n
     assert (used == counts).all() and lower == bound
     assert bound <= sum(t for _, t in whole) <= sum(t for _, t in fill_rest(counts, 2048))
+
+
+def test_a_word_is_looked_up_once_for_all_texts():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *of):
+            Counted.asked += 1
+            return super().get(*of)
+
+    words = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    words.known = Counted()
+    text = "a word, a word and a word; été. "
+    first = words.of([text.encode()])
+    Counted.asked = 0
+    assert words.of([(text * 50).encode()] * 40) == [first[0] * 50] * 40
+    assert Counted.asked <= len(set(text.split())) + 1  # and nothing, after the last blank
+
+
+@pytest.mark.parametrize("text", ["İ!?", "क़.", "İ क़", "été.", "中文!", "x</w> </w>y"])
+def test_letters_and_marks_after_them(text):
+    assert ids(text) == whole(text)
+    assert ids(f"{text} <| {text} a {text}") == whole(f"{text} <| {text} a {text}")
