@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Distinct words whose hashes a task remembers; beyond that it starts anew.
@@ -61,6 +62,36 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(windows(hashes, width))
 
 
+def numbered_words(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(number of each word, words before each text and in all, words by number): those of `bytes.split()`, each once."""
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+    coded = split.values.dictionary_encode()
+    if not len(coded.dictionary):
+        return np.zeros(0, dtype=np.int64), np.zeros(len(texts) + 1, dtype=np.int64), []
+    whole = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+    words = pc.binary_join(whole, pa.scalar("\n", pa.large_string()))[0].as_buffer().to_pybytes().split(b"\n")
+    number, begins = coded.indices.to_numpy(), split.offsets.to_numpy()
+    if b"" in words:  # before the first blank and after the last
+        real = number != words.index(b"")
+        number, begins = number[real], np.append(0, np.cumsum(real))[begins]
+    return number, begins, words
+
+
+def shingle_sets(texts: Sequence[bytes], width: int, known: WordHashes) -> list[np.ndarray]:
+    """`shingles` of each text's words; a word is hashed once for all of them."""
+    number, begins, words = numbered_words(texts)
+    hashes = known.of(words)[number]
+    runs = windows(hashes, width)
+    spans = zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)
+    return [distinct(runs[a:b - width + 1]) if b - a >= width else shingles(hashes[a:b], width) for a, b in spans]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values sorted, each once."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])]
+
+
 def binary(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a text column."""
     return column.cast(pa.binary()).to_pylist()

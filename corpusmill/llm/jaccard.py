@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import identified
 from corpusmill.llm.graph import components
-from corpusmill.llm.hashing import WordHashes, binary, mixed, shingles
-from corpusmill.session import spool
+from corpusmill.llm.hashing import WordHashes, binary, grouped, mixed, shingle_sets
+from corpusmill.session import discard, spool
 
 WIDTH = 5
 #: Similarity as a fraction, so that the comparison is one of whole numbers.
@@ -54,8 +54,11 @@ LINEAR = 4
 WORTH = 0.9
 #: What reading an entry of an inverted list costs, in rows of the join, besides those found in it.
 LIST_COST = 2.0
+#: Rows of postings that are compared with their neighbours together.
+MET_AT_ONCE = 1 << 16
 RESULTS = ("n_shingles", "component_id")
 
+_POSTING = "key long, rid long, at int"
 _PROFILE = "rid long, n_shingles long, digest binary, chunk int, counts binary"
 
 
@@ -71,7 +74,7 @@ def _profile(width: int):
 
         known, counts = WordHashes(), np.zeros(CLASSES, dtype=np.int64)
         for batch in batches:
-            sets = [shingles(known.of((text or b"").lower().split()), width) for text in binary(batch.column("text"))]
+            sets = shingle_sets([(text or b"").lower() for text in binary(batch.column("text"))], width, known)
             if sets:
                 counts += np.bincount((np.concatenate(sets) % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES)
             sizes = [len(found) for found in sets]
@@ -109,7 +112,7 @@ def class_levels(profile: DataFrame) -> tuple[np.ndarray, float]:
     summed = (profile.where(F.col("chunk").isNotNull()).select("chunk", "counts")
               .repartition("chunk").mapInArrow(_added, "chunk int, counts binary"))
     counts = np.zeros(CLASSES, dtype=np.int64)
-    for chunk, part in summed.toLocalIterator():
+    for chunk, part in spool(summed, "counts").toLocalIterator():
         counts[chunk * CHUNK:(chunk + 1) * CHUNK] = np.frombuffer(part, dtype=np.int64)
     total, mean = counts.sum(), counts.mean()
     ordered = np.sort(counts)
@@ -142,7 +145,7 @@ def join_keys(found: np.ndarray, levels: np.ndarray, heavy_from: int,
     need = int(least_common(n, threshold))
     take = min(n, n - need + SUBSET)
     order = levels[(found % np.uint64(CLASSES)).astype(np.int64)]
-    first = found[np.lexsort((found, order))[:take]] if n > take else found[np.lexsort((found, order))]
+    first = found[np.argsort(order, kind="stable")[:take]]
     keys, places = [found[:0]], [np.zeros(0, dtype=np.int32)]
     if n < heavy_from and len(first) >= SUBSET:
         i, j = np.triu_indices(len(first), 1)
@@ -160,8 +163,8 @@ def _postings(levels, heavy_from: int, width: int, threshold: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            keys = [join_keys(shingles(known.of((t or b"").lower().split()), width), levels.value, heavy_from, threshold)
-                    for t in binary(batch.column("text"))]
+            texts = [(text or b"").lower() for text in binary(batch.column("text"))]
+            keys = [join_keys(found, levels.value, heavy_from, threshold) for found in shingle_sets(texts, width, known)]
             rids = np.repeat(batch.column("rid").to_numpy(), [len(k) for k, _ in keys])
             flat = np.concatenate([k for k, _ in keys]) if keys else np.zeros(0, dtype=np.uint64)
             places = np.concatenate([p for _, p in keys]) if keys else np.zeros(0, dtype=np.int32)
@@ -172,23 +175,34 @@ def _postings(levels, heavy_from: int, width: int, threshold: tuple[int, int]):
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of keys that stand in several rows, from rows sorted by key."""
+    before, last = None, None  # the last row waits for the key that comes after it
+    for table in grouped(batches, MET_AT_ONCE):
+        table = table if last is None else pa.concat_tables([last, table])
+        keys = table.column("key").to_numpy()
+        same = keys[1:] == keys[:-1]
+        keep = same | np.append(len(same) > 0 and before == keys[0], same[:-1])[:len(same)]
+        yield from table.slice(0, len(same)).filter(pa.array(keep, pa.bool_())).to_batches()
+        before, last = keys[-2] if len(same) else before, table.slice(len(same))
+    if last is not None and len(last) and before == last.column("key")[0].as_py():
+        yield from last.to_batches()
+
+
 def _similar(width: int, threshold: tuple[int, int]):
     up, down = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            sets: dict[bytes, np.ndarray] = {}  # of this batch: a text is compared with many
-
-            def of(text: bytes) -> np.ndarray:
-                if text not in sets:
-                    sets[text] = shingles(known.of(text.lower().split()), width)
-                return sets[text]
-
+            pairs = list(zip(binary(batch.column("text_a")), binary(batch.column("text_b")), strict=True))
+            texts = list({text for pair in pairs for text in pair})  # a text is compared with many
+            sets = dict(zip(texts, shingle_sets([text.lower() for text in texts], width, known), strict=True))
             keep = []
-            for x, y in zip(binary(batch.column("text_a")), binary(batch.column("text_b")), strict=True):
-                a, b = of(x), of(y)
-                common = len(np.intersect1d(a, b, assume_unique=True))
+            for x, y in pairs:
+                a, b = sets[x], sets[y]
+                both = np.sort(np.concatenate([a, b]), kind="stable")  # merges the two
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(down * common >= up * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
@@ -242,7 +256,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     levels, list_length = class_levels(profile)
     sets = profile.where(F.col("n_shingles") > 0).select("rid", "n_shingles", "digest")
     # One record for each size that occurs, no more than there are words in the longest text.
-    sizes = {r[0]: r[1] for r in sets.groupBy("n_shingles").count().toLocalIterator()}
+    sizes = {r[0]: r[1] for r in sets.groupBy("n_shingles").count().collect()}
     heavy_from = boundary(sizes, list_length, threshold)
 
     # Written out, so that the join's sides are plain and a large class of copies can be split.
@@ -250,13 +264,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = spool(sets.join(classes, "digest").select("rid", "cid", F.col("n_shingles").alias("n")), "members")
 
     shared_levels = spark.sparkContext.broadcast(levels)  # 1 MB
-    postings = texts.mapInArrow(_postings(shared_levels, heavy_from, width, threshold), "key long, rid long, at int")
-    common = spool(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
-    held = postings.join(common, "key").join(members, "rid").select("key", "cid", "n", "at").distinct()
-    lists = spool(held, "lists")
-    heads = lists.groupBy("key").agg(F.min(F.struct("cid", "n", "at")).alias("head"), F.max("cid").alias("last"))
+    postings = texts.mapInArrow(_postings(shared_levels, heavy_from, width, threshold), _POSTING)
+    # A key has at most a row for each document and is read row by row, so all of its rows may be in one task.
+    met = spool(postings.repartition("key").sortWithinPartitions("key").mapInArrow(_met, _POSTING), "met")
+    # Copies have the keys of their representative.
+    firsts = members.where("rid = cid").select("cid", "n")
+    found = spool(met.join(firsts, F.col("rid") == F.col("cid")).select("key", "cid", "n", "at"), "lists")
+    discard(met)
+    heads = found.groupBy("key").agg(F.min(F.struct("cid", "n", "at")).alias("head"), F.max("cid").alias("last"))
     heads = spool(heads.where("head.cid != last").select("key", "head"), "heads")
-    lists = spool(lists.join(heads, "key").select("key", "cid", "n", "at", "head"), "lists")
+    lists = spool(found.join(heads, "key").select("key", "cid", "n", "at", "head"), "lists")
+    discard(found, heads)
 
     needed = lists.select(F.col("cid").alias("rid")).distinct()
     read = spool(texts.join(needed, "rid").select(F.col("rid").alias("cid"), "text"), "texts")
@@ -294,7 +312,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = members.join(merged.withColumnRenamed("id", "cid"), "cid", "left").select(
         "rid", F.coalesce("component", "cid").alias("component"))
     every = profile.where(F.col("chunk").isNull()).select("rid", "n_shingles").join(ids, "rid", "left")
-    return rows, numbered, spool(every.withColumn("component", F.coalesce("component", "rid")), "classes")
+    every = spool(every.withColumn("component", F.coalesce("component", "rid")), "classes")
+    discard(lists, read, open_, members, profile)
+    return rows, numbered, every
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,

@@ -24,13 +24,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import column_or_null
-from corpusmill.llm.hashing import binary
+from corpusmill.llm.hashing import binary, numbered_words
 from corpusmill.session import spool
 
 SEQUENCE = 2048
@@ -57,18 +56,6 @@ Filling = tuple[tuple[int, int], ...]
 Plan = list[tuple[Filling, int]]
 
 
-def _distinct(texts: Sequence[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(number of each word, words before each text and in all, words by number); ASCII ones in small letters if wished."""
-    split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
-    coded = split.values.dictionary_encode()
-    whole = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
-    lines = pc.binary_join(whole, pa.scalar("\n", pa.large_string()))
-    words = lines[0].as_buffer().to_pybytes().split(b"\n")
-    if lower:
-        words = [w.lower() if w.isascii() else w for w in words]
-    return coded.indices.to_numpy(), split.offsets.to_numpy(), words
-
-
 def _letters(word: bytes) -> bool:
     """Whether the tokenizer, which composes marks and lower-cases, sees letters alone."""
     if word.isascii():
@@ -104,13 +91,15 @@ class WordIds:
         return [next(other if m else plain) for m in marked]
 
     def _of(self, texts: Sequence[bytes], lower: bool) -> list[bytes]:
-        if not any(texts):
+        number, begins, words = numbered_words(texts)
+        if not len(number):
             return [b""] * len(texts)
-        number, begins, words = _distinct(texts, lower)
+        if lower:
+            words = [w.lower() if w.isascii() else w for w in words]
         ids = list(map(self.known.get, words))
         if None in ids:
             once = self._learn({w for w, found in zip(words, ids, strict=True) if found is None and w})
-            once[b""] = b""  # before the first blank and after the last
+            once[b""] = b""  # what is no word
             ids = [once[w] if found is None else found for w, found in zip(words, ids, strict=True)]
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) >> 2

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from corpusmill.llm import jaccard
 from corpusmill.llm.common import prepare
 from corpusmill.llm.grades import Grades, fit, grade
 from corpusmill.llm.jaccard import jaccard_join, one_of_each
@@ -18,6 +24,7 @@ from corpusmill.llm.sentencepiece import decode, encode
 from corpusmill.llm.sharding import shard_by_bytes, text_size
 from corpusmill.llm.substrings import remove_repeats
 from corpusmill.llm.toxicity import Chain, LinearModel, toxicity, train
+from corpusmill.session import discard, spool
 
 LONG = " ".join(f"word{i % 977}" for i in range(60_000))
 PLAIN = "the of and to a in is that for it " * 12
@@ -163,3 +170,47 @@ def test_stages(spark, docs, name, stage):
         out.collect()
         if stage is not corpus_pipeline.packed:
             assert out.columns == list(corpus_pipeline.COLUMNS)
+
+
+def test_postings_of_keys_that_meet_are_kept_across_batches(monkeypatch):
+    monkeypatch.setattr(jaccard, "MET_AT_ONCE", 2)
+    keys = [1, 2, 2, 2, 2, 3, 4, 4, 5]
+    batches = [pa.RecordBatch.from_pydict({"key": keys[i:i + 1], "rid": [i]}) for i in range(len(keys))]
+    assert [r for b in jaccard._met(iter(batches)) for r in b.column("rid").to_pylist()] == [1, 2, 3, 4, 6, 7]
+
+
+def shuffled(spark) -> set[str]:
+    return set(glob.glob(f"{spark.conf.get('spark.local.dir', '/tmp')}/**/shuffle_*.data", recursive=True))
+
+
+def test_what_was_shuffled_for_a_written_table_is_deleted(spark):
+    kept = shuffled(spark)
+    written = spool(spark.range(4000).groupBy((F.col("id") % 1000).alias("k")).count(), "counts")
+    until = time.time() + 10
+    while shuffled(spark) - kept and time.time() < until:  # in the background
+        time.sleep(0.2)
+    assert not shuffled(spark) - kept
+    assert written.count() == 1000
+
+
+def test_discarded_tables_are_gone(spark):
+    written = spool(spark.range(10).repartition(3), "numbers")
+    files = [f.removeprefix("file://") for f in written.inputFiles()]
+    assert all(os.path.exists(f) for f in files)
+    discard(written)
+    assert not any(os.path.exists(f) for f in files)
+
+
+def test_texts_are_read_twice_for_their_shingles(spark, monkeypatch):
+    tasks = []
+    kind = type(spark.range(1))
+    plain = kind.mapInArrow
+
+    def counted(df, fn, schema, *more):
+        if {"rid", "text"} == set(df.columns):
+            tasks.append(schema)
+        return plain(df, fn, schema, *more)
+
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    docs = spark.createDataFrame([(i, f"a b c d e f {i % 3}") for i in range(12)], "doc_id long, text string")
+    assert jaccard_join(docs).count() == 12 and len(tasks) == 2
