@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import prepare
 from corpusmill.llm.quality_rules import quality_rules
+from corpusmill.session import spool
 
 SF = "/root/testdata/sf0.01"
 RNG = random.Random(4)
@@ -48,3 +49,17 @@ def test_clean_documents_without_language_are_kept(spark, docs):
     judged = quality_rules(docs.withColumn("lang", F.lit(None).cast("string"))).join(labels, "doc_id").where("not base_failed")
     clean, junk = (judged.where(f"quality = {q}").agg(F.avg(F.col("kept").cast("int"))).first()[0] for q in (1, 0))
     assert clean > 0.99 and junk < 0.5
+
+
+def test_counts_are_written_beside_the_ids_alone(spark, monkeypatch):
+    rows = [(i, f"the word {i} of a line and more of it " * 8, "en", "a") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    written = []
+    monkeypatch.setattr("corpusmill.llm.quality_rules.spool", lambda df, label: written.append(set(df.columns)) or spool(df, label))
+    got = {r["doc_id"]: r for r in quality_rules(docs).collect()}
+    assert not written[0] & {"row", "text"} and "rid" in written[0]
+    twice = quality_rules(docs.union(docs)).collect()
+    null = quality_rules(docs.withColumn("doc_id", F.lit(None).cast("long"))).collect()
+    assert len(got) == len(null) == 40 and len(twice) == 80
+    assert sorted(r[1:] for r in null) == sorted(r[1:] for r in got.values())
+    assert {r["doc_id"]: r["n_words"] for r in twice} == {k: r["n_words"] for k, r in got.items()}
