@@ -109,3 +109,15 @@ def grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
             held, n = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+def filled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The batches in tables of at least so many bytes, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)

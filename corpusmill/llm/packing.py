@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import column_or_null
-from corpusmill.llm.hashing import binary, numbered_words
+from corpusmill.llm.hashing import binary, filled, numbered_words
 from corpusmill.session import spool
 
 SEQUENCE = 2048
@@ -174,18 +174,6 @@ def worker_words(path: str) -> WordIds:
     return held[path]
 
 
-def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The batches in tables of at least `TEXTS_AT_ONCE` bytes, but for the last."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.nbytes for b in held) >= TEXTS_AT_ONCE:
-            yield pa.Table.from_batches(held)
-            held = []
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _pieces(path: str | None, sequence: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
@@ -193,7 +181,7 @@ def _pieces(path: str | None, sequence: int, with_ids: bool):
         words = worker_words(path or public_tokenizers.path("word_bpe_49k.json"))
         seen = np.zeros(sequence + 1, dtype=np.int64)
         part = TaskContext.get().partitionId()
-        for table in _filled(batches):
+        for table in filled(batches, TEXTS_AT_ONCE):
             rows, out, ids = [], [], []
             for i, data in enumerate(words.of([t or b"" for t in binary(table.column("text"))])):
                 data = memoryview(data + END)
