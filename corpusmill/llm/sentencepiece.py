@@ -19,11 +19,13 @@ like a result column are replaced.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import sys
 from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cached_property
 
 import numpy as np
@@ -325,6 +327,18 @@ class Model:
         return pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), texts)
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the search for cycles: new words are many small objects and hold none."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def blank_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(text, number) of each word of the texts with a blank in front, and by number the words with all blanks before them, marked.
 
@@ -370,7 +384,8 @@ def _encoded(path: str | None):
         model = worker_model(path)
         for table in filled(batches, TEXTS_AT_ONCE):
             table = table.combine_chunks()
-            ids, scores = model.encode_all(table.column("_text").combine_chunks())
+            with uncollected():
+                ids, scores = model.encode_all(table.column("_text").combine_chunks())
             names = [n for n in table.column_names if n != "_text"]
             yield from pa.Table.from_arrays([*(table.column(n) for n in names), ids, scores], names=[*names, *RESULTS]).to_batches()
     return run
