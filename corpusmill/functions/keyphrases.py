@@ -27,7 +27,7 @@ should since so some such than that the their theirs them then there these they
 upon us very via was we were what when where whether which while who whom why will with within without would you your yours
 """.split())
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]|\n"
-#: Best phrases among which those that hold one another are dropped.
+#: Best phrases that `cross_check_mentions` chooses among, as its SQL does.
 POOL = 40
 
 
@@ -86,8 +86,9 @@ def _phrases(q: Column, max_n: int) -> Column:
     return bind(found, lambda f: F.filter(f, lambda p, i: (i == 0) | (p["phrase"] != F.get(f, i - 1)["phrase"])))
 
 
-def keyphrases(text: Column, top: int = 6, max_n: int = 3, stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    """array<struct<phrase, score>>: the best 1..max_n word phrases of a text."""
+def keyphrases(text: Column, top: int = 6, max_n: int = 3, stop_words: Sequence[str] = STOP_WORDS,
+               pool: int | None = None) -> Column:
+    """array<struct<phrase, score>>: the best 1..max_n word phrases of a text, chosen among all or, with `pool`, its best."""
     def within(a: Column, b: Column) -> Column:
         return F.contains(F.concat(F.lit(" "), b, F.lit(" ")), F.concat(F.lit(" "), a, F.lit(" ")))
 
@@ -95,6 +96,7 @@ def keyphrases(text: Column, top: int = 6, max_n: int = 3, stop_words: Sequence[
         clash = F.exists(kept, lambda k: within(k["phrase"], p["phrase"]) | within(p["phrase"], k["phrase"]))
         return F.when((F.size(kept) >= top) | clash, kept).otherwise(F.concat(kept, F.array(p)))
 
-    found = bind(_weighed(_runs(text, stop_words), max_n), lambda q: F.slice(_phrases(q, max_n), 1, POOL))
+    found = bind(_weighed(_runs(text, stop_words), max_n), lambda q: _phrases(q, max_n))
+    found = found if pool is None else F.slice(found, 1, pool)
     chosen = F.aggregate(found, F.array().cast("array<struct<order:double,phrase:string>>"), keep)
     return F.transform(chosen, lambda p: F.struct(p["phrase"].alias("phrase"), (-p["order"]).alias("score")))

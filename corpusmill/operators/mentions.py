@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
-from corpusmill.functions.keyphrases import keyphrases
+from corpusmill.functions.keyphrases import POOL, keyphrases
 from corpusmill.session import spool
 
 # The default filters, prompt format and questions.
@@ -156,7 +156,7 @@ def cross_check_mentions(papers: DataFrame, urls: DataFrame, order: str = "seq",
     marked = joined.select(F.col("id_num").alias("identifier"), "title", "category", "body", "urls",
                            tx.keywords_header(F.col("body")).alias("header"), tx.code_sentences(F.col("body")).alias("code"))
     listed = F.col("header").isNotNull() & (F.size("code") > 0)
-    phrases = F.transform(keyphrases(F.col("body"), top), lambda p: p["phrase"])
+    phrases = F.transform(keyphrases(F.col("body"), top, pool=POOL), lambda p: p["phrase"])
     keywords = F.when(listed, F.array("header")).otherwise(phrases)
     return marked.select("identifier", "title", keywords.alias("keywords"), "category",
                          F.col("code").alias("mentioned_software"), "urls")

@@ -4,6 +4,9 @@ import math
 import re
 from collections import Counter
 
+import duckdb
+
+from checks import ORACLES
 from conftest import rows
 from corpusmill.operators import search as se
 from corpusmill.operators import text_index as ti
@@ -97,6 +100,18 @@ def test_phrases_of_short_and_empty_texts(spark):
     assert max(r["rank"] for r in found) <= 2
 
 
+def test_phrases_go_on_below_many_that_clash(spark):
+    """Sixty phrases hold the best word and are dropped; the words after them still come."""
+    texts = [(1, " ".join(f"data item{i:02d}." for i in range(60))), (2, "aa bb"), (3, ""), (4, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = rows(se.keyphrases_topk(docs).select("doc_id", "phrase", "score", "rank"))
+    assert [(r[3], r[1]) for r in sorted(found, key=lambda r: r[3]) if r[0] == 1] == [(1, "data")] + [(i + 2, f"item{i:02d}") for i in range(5)]
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    assert sorted(connection.execute(ORACLES["keyphrases_topk"]).fetchall(), key=repr) == found
+
+
 def many(spark, n=600):
     """Two rare words in few documents, a frequent one in all; lengths differ, so weights do."""
     texts = [(i, "common " * (1 + i % 3) + f"filler{i % 50} " * (i % 40) + ("rare " * 3 if i % 97 == 5 else "") + ("odd" if i % 5 == 0 else ""))
